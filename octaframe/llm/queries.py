@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing
+from . import minhash, mixing
 from .common import table
 
 QUERIES = {}
@@ -31,3 +31,8 @@ def op1_pareto_mix(spark, sf_dir):
         F.col("mix_target").cast("double").alias("target"),
         F.col("mix_taken").cast("long").alias("taken"),
     )
+
+
+@query()
+def op5_odd_sketch_minhash(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
