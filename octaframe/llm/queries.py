@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import minhash, mixing
+from . import minhash, mixing, vectors
 from .common import table
 
 QUERIES = {}
@@ -36,3 +36,14 @@ def op1_pareto_mix(spark, sf_dir):
 @query()
 def op5_odd_sketch_minhash(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query(vectors.EPSILON_ORACLE)
+def op3_epsilon_grid_join(spark, sf_dir):
+    return vectors.epsilon_join(table(spark, sf_dir, "embeddings"))
+
+
+@query(vectors.TOP_K_ORACLE)
+def op7_exact_top_k(spark, sf_dir):
+    all_ = table(spark, sf_dir, "embeddings")
+    return vectors.top_k(all_, all_.where(F.col("vec_id") % 50 == 0))
