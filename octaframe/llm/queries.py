@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import minhash, mixing, vectors
+from . import minhash, mixing, urls, vectors, warc
 from .common import table
 
 QUERIES = {}
@@ -47,3 +47,13 @@ def op3_epsilon_grid_join(spark, sf_dir):
 def op7_exact_top_k(spark, sf_dir):
     all_ = table(spark, sf_dir, "embeddings")
     return vectors.top_k(all_, all_.where(F.col("vec_id") % 50 == 0))
+
+
+@query(urls.oracle())
+def op10_url_template_tree(spark, sf_dir):
+    return urls.judge(table(spark, sf_dir, "pages")).drop("purity")
+
+
+@query(warc.ORACLE)
+def op6_warc_source(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("target_uri")
