@@ -353,6 +353,16 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(WarcDataSource)
 
 
+def records(spark: SparkSession, path: str) -> DataFrame:
+    """A scan of the archives at path, to be filtered once.
+
+    Spark keeps what it pushed down with the loaded source, not with the branch
+    of the plan, so each differently filtered branch needs a call of its own.
+    """
+    register(spark)
+    return spark.read.format("warc").load(path)
+
+
 LEAST_SHARED = 100
 
 
@@ -398,8 +408,7 @@ def round_trip(pages: DataFrame) -> DataFrame:
     path = new_path(spark, "warc")
     archive(pages, path)
     number = lambda c: F.regexp_extract(c, r"urn:page:(-?\d+)>", 1).try_cast("long")
-    read = spark.read.format("warc").load(path)
-    full = read.where("record_type = 'response'").select(
+    full = records(spark, path).where("record_type = 'response'").select(
         number("record_id").alias("page_id"),
         F.octet_length("payload").cast("long").alias("payload_bytes"),
         F.sha2("payload", 256).alias("payload_digest"),
@@ -407,7 +416,7 @@ def round_trip(pages: DataFrame) -> DataFrame:
         F.lit(None).cast("long").alias("refers_to"),
         "target_uri",
     )
-    lean = read.where("record_type = 'revisit'").select(
+    lean = records(spark, path).where("record_type = 'revisit'").select(
         number("record_id").alias("page_id"),
         F.col("headers")["X-Payload-Length"].cast("long").alias("payload_bytes"),
         F.regexp_replace("payload_digest", "^sha256:", "").alias("payload_digest"),
