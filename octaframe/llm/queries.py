@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import minhash, mixing, urls, vectors, warc
+from . import minhash, mixing, toxicity, urls, vectors, warc
 from .common import table
 
 QUERIES = {}
@@ -57,3 +57,8 @@ def op10_url_template_tree(spark, sf_dir):
 @query(warc.ORACLE)
 def op6_warc_source(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages")).drop("target_uri")
+
+
+@query()
+def op2_kneser_ney_toxicity(spark, sf_dir):
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
