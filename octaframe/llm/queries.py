@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import minhash, mixing, toxicity, urls, vectors, warc
+from . import lines, minhash, mixing, toxicity, urls, vectors, warc
 from .common import table
 
 QUERIES = {}
@@ -62,3 +62,8 @@ def op6_warc_source(spark, sf_dir):
 @query()
 def op2_kneser_ney_toxicity(spark, sf_dir):
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query(lines.ORACLE)
+def op9_log_template_lines(spark, sf_dir):
+    return lines.drop_recurring(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
