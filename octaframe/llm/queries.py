@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import lines, minhash, mixing, toxicity, urls, vectors, warc
+from . import licenses, lines, minhash, mixing, packing, toxicity, urls, vectors, warc
 from .common import table
 
 QUERIES = {}
@@ -61,9 +61,19 @@ def op6_warc_source(spark, sf_dir):
 
 @query()
 def op2_kneser_ney_toxicity(spark, sf_dir):
-    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id"])
 
 
 @query(lines.ORACLE)
 def op9_log_template_lines(spark, sf_dir):
     return lines.drop_recurring(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
+@query()
+def op4_license_alignment(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op8_variable_best_fit(spark, sf_dir):
+    return packing.best_fit(table(spark, sf_dir, "documents"))

@@ -19,6 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import broadcast_if_small, cut
 
@@ -178,14 +179,16 @@ def _counts(rows: DataFrame) -> DataFrame:
     return cut(flat.groupBy("h", "key").agg(*(F.sum(n).alias(n) for n in names[2:])), "tox-counts")
 
 
-def _featured(model):
+def _featured(model, text: int, kept: int):
+    """The first ``kept`` columns with the features of column ``text``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for b in batches:
-            got = [m.features(x) for x in b.column(b.num_columns - 1).to_pylist()]
+            got = [m.features(x) for x in b.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[:-1], pa.array([x[0] for x in got], pa.float64()), pa.array([x[1] for x in got], pa.float64())],
-                names=[*b.schema.names[:-1], "mean", "peak"],
+                [*b.columns[:kept], pa.array([x[0] for x in got], pa.float64()), pa.array([x[1] for x in got], pa.float64())],
+                names=[*b.schema.names[:kept], "_mean", "_peak"],
             )
 
     return run
@@ -206,25 +209,33 @@ def _curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def score(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic"
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "toxic",
+    keep: list[str] | None = None,
 ) -> DataFrame:
-    """One row for each row of docs: its id, held_out, score, predicted, mean, peak.
+    """Columns ``keep`` of docs (all, if none are named) with held_out, score, predicted, mean, peak.
 
     Learns from the rows of labels whose fold (crc32 of the id as text, mod 5) is
     not 0; of these, at most about MAX_COUNTED are counted and MAX_FITTED fit the
     curve, chosen by a hash.  If an id has several labels the highest holds; null
     labels and ids are ignored.  A text that is null, empty or without words gets
     the score of no evidence.  A null id is not held out.  Without labels of both
-    classes every score is that of the base rate (0.0 without labels).
+    classes every score is that of the base rate (0.0 without labels).  Columns
+    of docs with the names of the results are replaced.
     """
-    spark = docs.sparkSession
+    spark, made = docs.sparkSession, ["held_out", "score", "predicted", "mean", "peak"]
+    docs = docs.drop(*[c for c in made if c not in (id_col, text_col)])
+    keep = [c for c in keep or docs.columns if c in docs.columns]
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     known = known.groupBy(F.col(id_col).alias("_l")).agg(F.max(label_col).cast("int").alias("_toxic"))
     known = cut(known.withColumn("_f", fold(F.col("_l"))).where("_f <> 0"), "tox-labels")
     n_count, n_fit = (known.where(F.col("_f").isin(*f)).count() for f in (COUNT_FOLDS, (FIT_FOLD,)))
     share = F.pmod(F.xxhash64("_l"), F.lit(1 << 30)) / float(1 << 30)
-    keep = F.when(F.col("_f") == FIT_FOLD, share < MAX_FITTED / max(n_fit, 1)).otherwise(share < MAX_COUNTED / max(n_count, 1))
-    known = cut(known.where(keep), "tox-known")
+    chosen = F.when(F.col("_f") == FIT_FOLD, share < MAX_FITTED / max(n_fit, 1)).otherwise(share < MAX_COUNTED / max(n_count, 1))
+    known = cut(known.where(chosen), "tox-known")
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
 
     def labelled(folds: tuple[int, ...]) -> DataFrame:
@@ -233,22 +244,20 @@ def score(
 
     model = _model(_counts(labelled(COUNT_FOLDS).select("_text", "_toxic")))
     sent = spark.sparkContext.broadcast(model)
-    got = labelled((FIT_FOLD,)).mapInArrow(_featured(sent), "_toxic int, mean double, peak double").toArrow()
+    got = labelled((FIT_FOLD,)).mapInArrow(_featured(sent, 1, 1), "_toxic int, _mean double, _peak double").toArrow()
     y = got["_toxic"].to_numpy().astype(np.float64)
     if 0 < y.sum() < len(y):
-        beta = _curve(np.c_[got["mean"].to_numpy(), got["peak"].to_numpy()], y)
+        beta = _curve(np.c_[got["_mean"].to_numpy(), got["_peak"].to_numpy()], y)
     else:
         rate = min(max(float(y.mean()) if len(y) else 0.0, 1e-9), 1 - 1e-9)
         beta = np.array([np.log(rate / (1 - rate)), 0.0, 0.0])
-    kind = dict(docs.dtypes)[id_col]
-    out = texts.mapInArrow(_featured(sent), f"_id {kind}, mean double, peak double")
-    z = F.lit(float(beta[0])) + F.col("mean") * float(beta[1]) + F.col("peak") * float(beta[2])
+    rows = docs.select(*keep, *[c for c in dict.fromkeys((id_col, text_col)) if c not in keep])
+    held = F.coalesce(fold(F.col(id_col)) == 0, F.lit(False))
+    rows = rows.select(*keep, held.alias("held_out"), *[c for c in rows.columns if c not in keep and c == text_col])
+    schema = StructType([*rows.schema.fields[: len(keep) + 1], StructField("_mean", DoubleType()), StructField("_peak", DoubleType())])
+    out = rows.mapInArrow(_featured(sent, rows.columns.index(text_col), len(keep) + 1), schema)
+    z = F.lit(float(beta[0])) + F.col("_mean") * float(beta[1]) + F.col("_peak") * float(beta[2])
     out = out.withColumn("score", 1 / (1 + F.exp(-z)))
     return out.select(
-        F.col("_id").alias(id_col),
-        F.coalesce(fold(F.col("_id")) == 0, F.lit(False)).alias("held_out"),
-        "score",
-        (F.col("score") >= 0.5).cast("int").alias("predicted"),
-        "mean",
-        "peak",
+        *keep, "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.col("_mean").alias("mean"), F.col("_peak").alias("peak")
     )
