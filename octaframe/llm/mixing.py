@@ -23,19 +23,20 @@ RANK_BUCKETS = 4096
 
 
 def waterfill(df: DataFrame, part: list[str], tie: str, weight: str, cap: str, total: str, out: str) -> DataFrame:
-    """Share ``total`` by ``weight`` within ``part``, nobody above ``cap``; the excess goes to the others by weight."""
+    """Share ``total`` by ``weight`` within ``part``, nobody above ``cap``; the excess goes to the others by weight.
+
+    In the order in which shares reach their caps, the level that is left for the
+    rest rises as long as caps are reached and falls afterwards: its peak is the
+    common level.
+    """
     q = F.col(cap) / F.col(weight)
     before = Window.partitionBy(*part).orderBy(q, F.col(tie).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*part)
     used = F.coalesce(F.sum(cap).over(before), F.lit(0))
     gone = F.coalesce(F.sum(weight).over(before), F.lit(0))
-    level = (F.col(total) - used) / (F.sum(weight).over(whole) - gone)
-    df = df.withColumn("_level", level)
-    fits = F.when(F.col("_level") * F.col(weight) <= F.col(cap), F.col("_level"))
-    df = df.withColumn("_level", F.min(fits).over(whole))
-    return df.withColumn(
-        out, F.when(F.col("_level").isNull(), F.col(cap)).otherwise(F.least(F.col(cap), F.col("_level") * F.col(weight)))
-    ).drop("_level")
+    df = df.withColumn("_level", (F.col(total) - used) / (F.sum(weight).over(whole) - gone))
+    df = df.withColumn("_level", F.max("_level").over(whole))
+    return df.withColumn(out, F.least(F.col(cap), F.col("_level") * F.col(weight))).drop("_level")
 
 
 def _odds(p: Column) -> Column:
@@ -162,14 +163,14 @@ s1 AS (SELECT *, CAST([3, 1, 2][1 + (row_number() OVER (ORDER BY source NULLS LA
   1.5::DOUBLE * sum(sz) OVER () AS t FROM s0),
 s2 AS (SELECT *, (t - coalesce(sum(cap) OVER bef, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER bef, 0)) AS l
   FROM s1 WINDOW bef AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-s3 AS (SELECT *, min(CASE WHEN l * w <= cap THEN l END) OVER () AS lv FROM s2),
-s AS (SELECT source, sz, CASE WHEN lv IS NULL THEN cap ELSE least(cap, lv * w) END AS target FROM s3),
+s3 AS (SELECT *, max(l) OVER () AS lv FROM s2),
+s AS (SELECT source, sz, least(cap, lv * w) AS target FROM s3),
 c0 AS (SELECT source, b, CAST(sum(n) AS DOUBLE) AS a FROM b GROUP BY source, b HAVING sum(n) > 0),
 c1 AS (SELECT c0.*, s.target, (1 + c0.b / 8.0::DOUBLE) * a AS w, a * 2 AS cap FROM c0 JOIN s ON c0.source IS NOT DISTINCT FROM s.source),
 c2 AS (SELECT *, (target - coalesce(sum(cap) OVER bef, 0)) / (sum(w) OVER (PARTITION BY source) - coalesce(sum(w) OVER bef, 0)) AS l
   FROM c1 WINDOW bef AS (PARTITION BY source ORDER BY cap / w, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-c3 AS (SELECT *, min(CASE WHEN l * w <= cap THEN l END) OVER (PARTITION BY source) AS lv FROM c2),
-c4 AS (SELECT source, b, a, (CASE WHEN lv IS NULL THEN cap ELSE least(cap, lv * w) END) / a AS m FROM c3),
+c3 AS (SELECT *, max(l) OVER (PARTITION BY source) AS lv FROM c2),
+c4 AS (SELECT source, b, a, least(cap, lv * w) / a AS m FROM c3),
 c AS (SELECT *, floor(m) AS whole, m - floor(m) AS p, sum((m - floor(m)) * a) OVER (PARTITION BY source) AS rest FROM c4),
 r AS (SELECT b.*, c.whole, c.p, c.rest, CASE WHEN c.p > 0 THEN (u / (1 - u)) / (c.p / (1 - c.p)) END AS q
   FROM b LEFT JOIN c ON b.source IS NOT DISTINCT FROM c.source AND b.b = c.b),
