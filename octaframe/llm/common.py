@@ -44,5 +44,13 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 200_000, max_bytes: int =
     return F.broadcast(df) if n <= max_rows and b <= max_bytes else df
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches that are handed to Python, whatever the length of texts."""
+    key, most = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+    now = int(str(spark.conf.get(key, "0")).removesuffix("b") or 0)
+    if not 0 < now <= most:
+        spark.conf.set(key, str(most))
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -18,6 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 # Notices of well-known licenses.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
@@ -42,7 +44,7 @@ _KNOWN: dict[str, int] = {}
 
 
 def _hashes(words: list[str]) -> np.ndarray:
-    if len(_KNOWN) > 2_000_000:
+    if len(_KNOWN) > 200_000:
         _KNOWN.clear()
     known, out = _KNOWN, []
     for w in words:
@@ -181,5 +183,6 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
     Repeated rows are scanned each.  An empty table gives an empty result.
     """
     kind = dict(docs.dtypes)[id_col]
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     return rows.mapInArrow(_scanner(templates or TEMPLATES), f"_id {kind}, {FOUND}").withColumnRenamed("_id", id_col)

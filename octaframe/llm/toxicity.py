@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import broadcast_if_small, cut
+from .common import broadcast_if_small, cut, small_batches
 
 FOLDS = 5
 #: Folds (of crc32 of the id) that are counted, and the one on which the curve is fitted; fold 0 is held out.
@@ -32,7 +32,7 @@ LEAST_TOXIC = 2
 #: Expressions in a window.
 WINDOW = 8
 #: Tokens that are counted at once.
-PIECE = 1 << 21
+PIECE = 1 << 20
 _TOKEN = re.compile(r"\w+")
 _KNOWN: dict[str, int] = {}
 
@@ -43,7 +43,7 @@ def fold(id_col: Column) -> Column:
 
 def _word_hashes(text: str | None) -> np.ndarray:
     words = _TOKEN.findall(text.lower()) if text else []
-    if len(_KNOWN) > 2_000_000:
+    if len(_KNOWN) > 200_000:
         _KNOWN.clear()
     known, out = _KNOWN, []
     for w in words:
@@ -227,6 +227,7 @@ def score(
     of docs with the names of the results are replaced.
     """
     spark, made = docs.sparkSession, ["held_out", "score", "predicted", "mean", "peak"]
+    small_batches(spark)
     docs = docs.drop(*[c for c in made if c not in (id_col, text_col)])
     keep = [c for c in keep or docs.columns if c in docs.columns]
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
