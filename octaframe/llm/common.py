@@ -47,8 +47,8 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 200_000, max_bytes: int =
 def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches that are handed to Python, whatever the length of texts."""
     key, most = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
-    now = int(str(spark.conf.get(key, "0")).removesuffix("b") or 0)
-    if not 0 < now <= most:
+    now = str(spark.conf.get(key, f"{1 << 30}b")).removesuffix("b")
+    if not now.isdigit() or int(now) > most:
         spark.conf.set(key, str(most))
 
 
