@@ -119,7 +119,10 @@ class Index:
         """(template, coverage, matched tokens, start, end) of each match; start and end are offsets of characters."""
         if not text or not len(self.keys):
             return []
-        words = _TOKEN.findall(low := text.lower())
+        low = text.lower()
+        if len(low) != len(text):  # letters that grow in lower case would move offsets and word boundaries
+            low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+        words = _TOKEN.findall(low)
         grams = _grams(_hashes(words))
         at = np.minimum(np.searchsorted(self.keys, grams), len(self.keys) - 1)
         hits = np.flatnonzero(self.keys[at] == grams)
@@ -142,9 +145,7 @@ class Index:
                     found.append((t, n, first, end))
         if not found:
             return []
-        # Lower-casing may change lengths; then the words of the text itself give the offsets.
-        spans = [m.span() for m in _TOKEN.finditer(low if len(low) == len(text) else text)]
-        spans += spans[-1:] * (len(words) - len(spans))
+        spans = [m.span() for m in _TOKEN.finditer(low)]
         # Of overlapping matches the one of most tokens stays, then that of best coverage.
         out = []
         for t, n, first, end in sorted(found, key=lambda x: (-x[1], -x[1] / len(self.tokens[x[0]]), x[2], x[0])):
