@@ -1,18 +1,52 @@
-"""Connected components of a link table by alternating star rounds.
+"""Connected components of a link table: contraction within bounded pieces, then star rounds.
 
-Every round uses aggregates that combine on the map side and joins on stored
-tables; no group of neighbours is gathered anywhere.  Tables between rounds go
-to the shared folder.
+Links are dealt into pieces of at most about PIECE rows, each contracted to a
+forest of stars by a task of its own.  One piece is the answer; several go
+through alternating star rounds, which use aggregates that combine on the map
+side and joins on stored tables, and gather no group of neighbours.  Tables
+between rounds go to the shared folder.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 
 MAX_ROUNDS = 60
+#: Links that one task contracts.
+PIECE = 500_000
+
+
+def reached(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node it reaches by left-right links), of nodes that reach a smaller one."""
+    nodes, inverse = np.unique(np.r_[left, right], return_inverse=True)
+    a, b = inverse[: len(left)], inverse[len(left) :]
+    label = np.arange(len(nodes))
+    while True:
+        before = label.copy()
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(label, label[a], low)
+        np.minimum.at(label, label[b], low)
+        while (label != label[label]).any():
+            label = label[label]
+        if (label == before).all():
+            break
+    moved = label != np.arange(len(nodes))
+    return nodes[moved], nodes[label[moved]]
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A piece of links (a, b) as stars: b is linked to the smallest id a that it reaches."""
+    held = [(x.column(0).to_numpy(), x.column(1).to_numpy()) for x in batches if x.num_rows]
+    if held:
+        b, a = reached(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]))
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -37,18 +71,25 @@ def components(edges: DataFrame) -> DataFrame:
     Self links, repeated links and either order are fine; ids in null links are
     ignored.  Ids without links do not appear.  The result is stored.
     """
-    ordered = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    now = cut(ordered.distinct(), "cc-edges")
+    ordered = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "cc-links")
+    pieces = max(1, -(-ordered.count() // PIECE))
+    dealt = ordered.repartition(1) if pieces == 1 else ordered.repartition(pieces, "a")
+    now = cut(dealt.mapInArrow(_contract, "a long, b long"), "cc-edges")
+    if pieces > 1:
+        now = _rounds(now.distinct())
+    roots = now.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct()
+    return now.select(F.col("b").alias("id"), F.col("a").alias("component")).union(roots)
+
+
+def _rounds(now: DataFrame) -> DataFrame:
+    """Star rounds until nothing changes: each id b is linked to the root a of its component."""
     mark = F.bit_xor(F.xxhash64("a", "b"))
     before = None
     for _ in range(MAX_ROUNDS):
         seen = tuple(now.agg(F.count("*"), mark).first())
         if seen[0] == 0 or seen == before:
-            break
+            return now
         before = seen
         large = cut(_large_star(now).select("a", "b").distinct(), "cc-large")
         now = cut(_small_star(large).select("a", "b").distinct(), "cc-edges")
-    else:
-        raise RuntimeError(f"components: no fixed point after {MAX_ROUNDS} rounds")
-    roots = now.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct()
-    return now.select(F.col("b").alias("id"), F.col("a").alias("component")).union(roots)
+    raise RuntimeError(f"components: no fixed point after {MAX_ROUNDS} rounds")
