@@ -8,11 +8,13 @@ the similarity of the two sets, the more precisely the higher it is.
 
 Classes that agree in a band are candidates.  A first round takes for each
 class the earlier class of highest estimate among all its bands, and confirms
-these pairs on the full sets.  A second round takes every other pair with a
-common band and a sufficient estimate whose ends are not connected yet, and
-confirms them too.  So large groups are linked by about one pair a member, and
-nothing is capped: buckets beyond BLOCK members are worked off in pairs of
-blocks, each a unit of its own.
+these pairs on the full sets.  In a second round, candidates that are not
+connected yet are put into clusters by their estimates alone, with a margin of
+four standard deviations.  Within a cluster the full sets of every two members
+of different components are compared, block against block, as a matrix
+product.  So tight groups take about one confirmation a member, loose ones are
+compared in full where they are held, no pair but the merging ones is ever
+emitted, and nothing is capped.
 """
 
 from __future__ import annotations
@@ -22,11 +24,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, cut
-from .components import components
+from .common import broadcast_if_small, cut, small_batches
+from .components import components, reached
 
 SHINGLE = 5
 BANDS, ROWS = 40, 5
@@ -35,8 +37,12 @@ SAMPLES = BANDS * ROWS
 BITS = 512
 #: Pairs below this estimate are not confirmed: over four standard deviations under 0.75.
 LEAST_ESTIMATE = 0.60
-#: Members of a bucket that are compared at once.
-BLOCK = 1024
+#: Members of a bucket whose sketches are compared in one unit, and members of a cluster whose sets are.
+BLOCK, SETS = 2048, 256
+#: Pairs, and shingles, that are held at once.
+PIECE, TERMS = 1 << 18, 1 << 13
+#: Buckets up to this size share units.
+SMALL = 64
 _M64 = np.uint64(0xFF51AFD7ED558CCD)
 _KNOWN: dict[bytes, int] = {}
 
@@ -55,7 +61,7 @@ def _words(text: str | None) -> list[bytes]:
 
 
 def _hashes(words: list[bytes]) -> np.ndarray:
-    if len(_KNOWN) > 2_000_000:
+    if len(_KNOWN) > 200_000:
         _KNOWN.clear()
     known, out = _KNOWN, []
     for w in words:
@@ -164,58 +170,96 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _popcounts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(a), len(b)), dtype=np.int32)
-    for w in range(a.shape[1]):
-        out += np.bitwise_count(a[:, w, None] ^ b[None, :, w])
-    return out
-
-
-def _matrix(column: pa.Array) -> np.ndarray:
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64)
 
 
-PAIRS = "a long, b long, est double"
+def _bucket_pairs(key: np.ndarray, sk: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """All (row, earlier row, odd bits) of equal key, in bounded pieces that end with a row; key is sorted."""
+    n = len(key)
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    first = np.repeat(starts, np.diff(np.r_[starts, n]))
+    count = np.arange(n) - first
+    upto = np.r_[0, np.cumsum(count)]
+    at = 0
+    while at < n:
+        end = max(at + 1, int(np.searchsorted(upto, upto[at] + PIECE, side="right")) - 1)
+        c = count[at:end]
+        row = np.repeat(np.arange(at, end), c)
+        other = np.repeat(first[at:end], c) + np.arange(len(row)) - np.repeat(upto[at:end] - upto[at], c)
+        odd = np.zeros(len(row), dtype=np.int64)
+        for w in range(sk.shape[1]):
+            odd += np.bitwise_count(sk[row, w] ^ sk[other, w])
+        yield row, other, odd
+        at = end
 
 
-def _pairs(a: np.ndarray, b: np.ndarray, est: np.ndarray) -> pa.Table:
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "est": pa.array(est, pa.float64())})
+PAIRS = "a long, b long, est double"
 
 
 def _best_earlier(t: pa.Table) -> pa.Table:
-    """For each member of a unit of a bucket, the smaller id of highest sufficient estimate."""
-    t = t.sort_by("id")
-    ids, sk = t["id"].to_numpy(), _matrix(t["sketch"].combine_chunks())
-    got: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for at in range(0, len(ids), BLOCK):
-        mine = slice(at, at + BLOCK)
-        odd = _popcounts(sk[mine], sk[max(0, at - BLOCK) : at + BLOCK])
-        lo = max(0, at - BLOCK)
-        cols = np.arange(lo, lo + odd.shape[1])
-        rows = np.arange(at, at + odd.shape[0])
-        odd[cols[None, :] >= rows[:, None]] = BITS
-        best = odd.argmin(axis=1)
-        est = estimate(odd[np.arange(len(rows)), best])
-        ok = est >= LEAST_ESTIMATE
-        got.append((ids[cols[best[ok]]], ids[rows[ok]], est[ok]))
+    """For each member of a bucket, the member of smaller id with the highest estimate, if that suffices."""
+    t = t.sort_by([("key", "ascending"), ("id", "ascending")])
+    ids = t["id"].to_numpy()
+    got = []
+    for row, other, odd in _bucket_pairs(t["key"].to_numpy(), _matrix(t["sketch"])):
+        if len(row):
+            starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+            least = np.minimum.reduceat((odd << 40) | other, starts)
+            est = estimate(least >> 40)
+            ok = est >= LEAST_ESTIMATE
+            got.append((ids[(least & ((1 << 40) - 1))[ok]], ids[row[starts][ok]], est[ok]))
     a, b, e = (np.concatenate(x) for x in zip(*got, strict=True)) if got else (np.array([]),) * 3
-    return _pairs(a, b, e)
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "est": pa.array(e, pa.float64())})
+
 
+MERGES = "a long, b long"
 
-def _unconnected(t: pa.Table) -> pa.Table:
-    """All pairs of a unit with a sufficient estimate whose ends are in different components."""
-    ids, comp, side = t["id"].to_numpy(), t["comp"].to_numpy(), t["side"].to_numpy()
-    sk = _matrix(t["sketch"].combine_chunks())
+
+def _merges(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.Table:
+    a, b = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 2
+    a, b = reached(a, b)
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _alike(t: pa.Table) -> pa.Table:
+    """Merges of components by the estimates between members of a bucket, or of two blocks of one."""
+    t = t.sort_by([("key", "ascending"), ("id", "ascending")])
+    comp, side = t["comp"].to_numpy(), t["side"].to_numpy()
+    found = []
+    for row, other, odd in _bucket_pairs(t["key"].to_numpy(), _matrix(t["sketch"])):
+        ok = (comp[row] != comp[other]) & (side[row] * side[other] <= 0)
+        ok[ok] = estimate(odd[ok]) >= LEAST_ESTIMATE
+        if ok.any():
+            found.append(reached(comp[row[ok]], comp[other[ok]]))
+    return _merges(found)
+
+
+def _compared(t: pa.Table) -> pa.Table:
+    """Merges of components by the full sets of the members of a block, or of two blocks."""
+    comp, side = t["comp"].to_numpy(), t["side"].to_numpy()
+    sets = [shingle_set(_hashes(_words(x))) for x in t["text"].to_pylist()]
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    new = np.r_[True, flat[1:] != flat[:-1]]
+    term = np.cumsum(new) - 1
+    often = np.bincount(term)[term] > 1  # a shingle of one document is in no intersection
+    owner, term = owner[often], term[often]
+    term = np.cumsum(np.r_[True, term[1:] != term[:-1]]) - 1 if len(term) else term
     left, right = np.flatnonzero(side <= 0), np.flatnonzero(side >= 0)
-    out = []
-    for at in range(0, len(left), 256):
-        x = left[at : at + 256]
-        est = estimate(_popcounts(sk[x], sk[right]))
-        ok = (est >= LEAST_ESTIMATE) & (comp[x][:, None] != comp[right][None, :])
-        i, j = np.nonzero(ok)
-        a, b = ids[x[i]], ids[right[j]]
-        out.append(_pairs(np.minimum(a, b), np.maximum(a, b), est[i, j]))
-    return pa.concat_tables(out) if out else _pairs(*(np.array([]),) * 3)
+    common = np.zeros((len(left), len(right)))
+    for at in range(0, int(term[-1]) + 1 if len(term) else 0, TERMS):
+        lo, hi = np.searchsorted(term, [at, at + TERMS])
+        m = np.zeros((len(sets), TERMS), dtype=np.float32)
+        m[owner[lo:hi], term[lo:hi] - at] = 1
+        common += m[left] @ m[right].T
+    union = sizes[left][:, None] + sizes[right][None, :] - common
+    close = (100 * common >= 75 * union) & (common > 0) & (comp[left][:, None] != comp[right][None, :])
+    i, j = np.nonzero(close)
+    return _merges([(comp[left[i]], comp[right[j]])])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,16 +280,48 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of texts whose _id is among ids (one column), chosen before anything is shuffled where ids are few."""
+    asked = cut(ids.toDF("_e").distinct(), "mh-asked")
+    return texts.join(broadcast_if_small(asked, 2_000_000, 32 << 20), F.col("_id") == F.col("_e"), "left_semi")
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
-    """pairs (a, b) that hold on the full sets; texts (_id, _text) has a row for each class."""
-    ends = cut(pairs.select(F.col("a").alias("_e")).union(pairs.select(F.col("b"))).distinct(), name + "-ends")
-    mine = texts.join(broadcast_if_small(ends, 2_000_000, 32 << 20), F.col("_id") == F.col("_e"), "left_semi")
+    """pairs (a, b) that hold on the full sets."""
+    mine = _texts_of(texts, pairs.select("a").union(pairs.select("b")))
     ta = mine.select(F.col("_id").alias("a"), F.col("_text").alias("ta"))
     tb = mine.select(F.col("_id").alias("b"), F.col("_text").alias("tb"))
     full = pairs.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb")
     return cut(full.mapInArrow(_confirm, "a long, b long"), name + "-links")
 
 
+def _within_clusters(clusters: DataFrame, comp: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
+    """Merges of components by full comparison within clusters.
+
+    clusters: (id, component) of components; comp: (id, component) of classes.
+    Members are put into blocks by component, so that blocks that hold one
+    component alone are never compared with each other.
+    """
+    ids = reps.select(F.col("id").alias("rid")).distinct()
+    named = ids.join(comp, F.col("rid") == F.col("id"), "left").select("rid", F.coalesce("component", "rid").alias("comp"))
+    named = named.join(clusters.select(F.col("id").alias("c"), F.col("component").alias("cluster")), F.col("comp") == F.col("c")).drop("c")
+    rank = F.row_number().over(Window.partitionBy("cluster").orderBy("comp", "rid"))
+    placed = cut(named.withColumn("block", F.floor((rank - 1) / SETS)), "mh-clusters")
+    blocks = placed.groupBy("cluster", "block").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+    blocks = cut(blocks, "mh-blocks")
+    others = blocks.select(F.col("cluster").alias("k"), F.col("block").alias("block2"), F.col("c0").alias("d0"), F.col("c1").alias("d1"))
+    torn = (F.col("c0") < F.col("c1")) | (F.col("d0") < F.col("d1")) | (F.col("c0") != F.col("d0"))
+    units = blocks.join(others, (F.col("cluster") == F.col("k")) & (F.col("block") <= F.col("block2")) & torn)
+    units = cut(units.select("cluster", F.col("block").alias("u0"), F.col("block2").alias("u1")), "mh-units")
+    sides = units.select("cluster", "u0", "u1", F.when(F.col("u0") == F.col("u1"), 0).otherwise(-1).alias("side"), F.col("u0").alias("block"))
+    sides = sides.union(units.where("u0 < u1").select("cluster", "u0", "u1", F.lit(1), "u1"))
+    work = placed.join(sides, ["cluster", "block"])
+    mine = _texts_of(texts, placed.select("rid"))
+    work = work.join(mine.select(F.col("_id"), F.col("_text").alias("text")), F.col("rid") == F.col("_id"))
+    work = work.select("cluster", "u0", "u1", "side", "comp", "text")
+    return cut(work.groupBy("cluster", "u0", "u1").applyInArrow(_compared, MERGES), "mh-more")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id, kept.
 
@@ -256,6 +332,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     empty table gives an empty result.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     slim = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     sigs = cut(slim.mapInArrow(_signatures, SIGNATURE), "mh-signatures")
     sets = sigs.where("same is not null and _id is not null")
@@ -271,25 +348,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = cut(banded.join(shared, "key").select("key", "id"), "mh-members")
     drawn = reps.select(F.col("id").alias("sid"), "sketch")
 
-    # Large buckets are dealt out over units by the order of ids.
+    # Small buckets share units; large ones are dealt out over several by the order of ids.
     counts = members.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"))
-    counts = counts.where(F.col("n") > 8 * BLOCK)
-    wide = broadcast_if_small(cut(counts, "mh-wide"))
+    wide = broadcast_if_small(cut(counts.where(F.col("n") > SMALL), "mh-wide"))
     placed = members.join(wide, "key", "left")
     share = (F.col("id") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1)
-    unit = F.when(F.col("n").isNull(), 0).otherwise(F.floor(share * F.ceil(F.col("n") / (4 * BLOCK))))
-    placed = placed.select("key", unit.cast("long").alias("unit"), "id")
+    shared_units = max(1, members.count() // 4096)
+    placed = placed.select(
+        F.coalesce(F.when(F.col("n").isNotNull(), F.col("key")), F.pmod(F.xxhash64("key"), F.lit(shared_units))).alias("g"),
+        F.coalesce(F.floor(share * F.ceil(F.col("n") / BLOCK)), F.lit(-1)).cast("long").alias("unit"),
+        "key",
+        "id",
+    )
     # The smallest id of a wide bucket joins every unit, so that units hang together.
-    heads = placed.where("unit > 0").groupBy("key", "unit").agg(F.count("*").alias("n")).join(wide.select("key", "lo"), "key")
-    placed = placed.union(heads.select("key", "unit", F.col("lo").alias("id")))
-    loaded = placed.join(drawn, F.col("id") == F.col("sid")).select("key", "unit", "id", "sketch")
-    best = loaded.groupBy("key", "unit").applyInArrow(_best_earlier, PAIRS)
+    heads = placed.where("unit > 0").select("g", "unit", "key").distinct().join(wide.select("key", "lo"), "key")
+    placed = placed.union(heads.select("g", "unit", "key", F.col("lo").alias("id")))
+    loaded = placed.join(drawn, F.col("id") == F.col("sid")).drop("sid")
+    best = loaded.groupBy("g", "unit").applyInArrow(_best_earlier, PAIRS)
     best = best.groupBy("b").agg(F.max(F.struct("est", "a")).alias("top")).select(F.col("top.a").alias("a"), "b")
     first = cut(best, "mh-first")
 
-    texts = slim.join(
-        broadcast_if_small(reps.select(F.col("id").alias("rid")).distinct(), 2_000_000, 32 << 20), F.col("_id") == F.col("rid"), "left_semi"
-    )
+    texts = slim.where("_id is not null")
     links = _confirmed(first, texts, "mh-first")
     comp = cut(components(links), "mh-comp")
 
@@ -302,25 +381,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     open_ = named.join(torn, "key")
     blocks = F.ceil(F.col("n") / BLOCK)
     place = F.floor((F.col("id") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1) * blocks)
-    open_ = open_.withColumn("blocks", blocks).withColumn("at", place)
     # A unit is a pair of blocks; side tells the one of a member, 0 within one block.
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    open_ = open_.select("key", "id", "comp", "at", other.alias("with"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
+    open_ = open_.select("key", "n", "id", "comp", place.alias("at"), other.alias("with"))
+    small = F.col("n") <= SMALL
     open_ = open_.select(
-        "key",
-        F.least("at", "with").alias("u0"),
+        F.when(small, F.pmod(F.xxhash64("key"), F.lit(max(1, torn.count() // 512)))).otherwise(F.col("key")).alias("g"),
+        F.when(small, -1).otherwise(F.least("at", "with")).alias("u0"),
         F.greatest("at", "with").alias("u1"),
         F.signum(F.col("at") - F.col("with")).cast("int").alias("side"),
+        "key",
         "id",
         "comp",
     )
     loaded = open_.join(drawn, F.col("id") == F.col("sid")).drop("sid")
-    rest = loaded.groupBy("key", "u0", "u1").applyInArrow(_unconnected, PAIRS).select("a", "b").distinct()
-    rest = cut(rest.join(first, ["a", "b"], "left_anti"), "mh-rest")
-    if not rest.isEmpty():
-        more = _confirmed(rest, texts, "mh-rest")
+    alike = cut(loaded.groupBy("g", "u0", "u1").applyInArrow(_alike, MERGES), "mh-alike")
+    if not alike.isEmpty():
+        more = _within_clusters(components(alike), comp, reps, texts)
         if not more.isEmpty():
-            comp = cut(components(links.union(more)), "mh-comp")
+            base = comp.select(F.col("id").alias("a"), F.col("component").alias("b"))
+            comp = cut(components(base.union(more)), "mh-comp")
 
     # Ids with several texts tie the classes of these texts together.
     tied = sets.select("_id", "same").distinct().groupBy("_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("_id").alias("tid"))
@@ -336,6 +416,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = out.withColumn("_node", node)
     small = broadcast_if_small(comp, 2_000_000, 48 << 20)
     out = out.join(small, F.col("_node") == F.col("id"), "left")
-    component = F.coalesce("component", "_node")
+    component = F.when(F.col("_id").isNotNull(), F.coalesce("component", "_node"))
     kept = F.coalesce(F.col("_id") == component, F.lit(True))
     return out.select(F.col("_id").alias("doc_id"), "n_shingles", component.alias("component_id"), kept.alias("kept"))

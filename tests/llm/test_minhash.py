@@ -2,7 +2,9 @@ import random
 import re
 
 import numpy as np
+import pytest
 
+from octaframe.llm import components as components_module
 from octaframe.llm import minhash
 from octaframe.llm.components import components
 
@@ -96,7 +98,9 @@ def test_odd_sketch_estimates():
         assert abs(np.mean(errors)) < 0.03 and np.std(errors) < 0.06
 
 
-def test_components(spark):
+@pytest.mark.parametrize("piece", [1 << 20, 40])
+def test_components(spark, monkeypatch, piece):
+    monkeypatch.setattr(components_module, "PIECE", piece)
     edges = [(i, i + 1) for i in range(50)] + [(100, 7), (200, 201), (201, 200), (5, 5), (None, 3)] + [(1000, 1000 + k) for k in range(1, 300)]
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     want = {i: 0 for i in range(51)} | {100: 0, 200: 200, 201: 200} | {1000 + k: 1000 for k in range(300)}
