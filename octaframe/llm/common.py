@@ -39,6 +39,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 def broadcast_if_small(df: DataFrame, max_rows: int = 200_000, max_bytes: int = 16 << 20) -> DataFrame:
     """Hint a broadcast only after df (stored, so cheap to count) is shown to have few rows and bytes."""
     wide = [F.coalesce(F.octet_length(c), F.lit(0)) for c, t in df.dtypes if t in ("string", "binary")]
+    wide += [F.coalesce(16 * F.size(c), F.lit(0)) for c, t in df.dtypes if t.startswith("array")]
     size = sum(wide, F.lit(8 * len(df.columns)))
     n, b = df.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
     return F.broadcast(df) if n <= max_rows and b <= max_bytes else df

@@ -27,22 +27,22 @@ SUPPORT, STAY = 3, 0.7
 LONG_LINE, LONG_DOCS, OTHER_DOCS = 50, 2, 3
 
 
-def _tokens(line: Column) -> Column:
-    words = F.filter(F.split(line, r"[\x20\x09-\x0D]+"), lambda t: t != "")
-    return F.transform(words, lambda t: F.when(t.rlike("[0-9]"), VARIABLE).otherwise(t))
+def _masked(line: Column) -> Column:
+    """Tokens joined by single spaces, those with digits variable.  The costly patterns run on the lines that need them."""
+    odd = line.rlike(r"[\x09-\x0D]|\x20\x20")
+    plain = F.trim(F.when(odd, F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")).otherwise(line))
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(plain, "[^ ]*[0-9][^ ]*", VARIABLE)).otherwise(plain)
 
 
 def _lined(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Lines that are not blank: id, text hash, position, tokens, hashes of the line, leaf."""
+    """Lines that are not blank: id, text hash, position, masked line, its tokens, its hashes, leaf."""
     rows = docs.select(
         F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("_pos", "_line")
     )
-    rows = rows.withColumn("_t", _tokens(F.col("_line"))).where(F.size("_t") > 0).drop("_line")
-    whole = F.array_join("_t", " ")
-    lead = [F.coalesce(F.get("_t", F.lit(i)), F.lit("")) for i in range(LEADING)]
-    return rows.select(
-        "_id", "_th", "_pos", "_t", F.xxhash64(whole).alias("_h"), F.hash(whole).alias("_g"), F.xxhash64(F.size("_t"), *lead).alias("_leaf")
-    )
+    rows = rows.select("_id", "_th", "_pos", _masked(F.col("_line")).alias("_m")).where("_m <> ''")
+    length = F.length("_m") - F.length(F.replace("_m", F.lit(" "), F.lit(""))) + 1
+    leaf = F.xxhash64(length, F.substring_index("_m", " ", LEADING))
+    return rows.select("_id", "_th", "_pos", "_m", length.alias("_len"), F.xxhash64("_m").alias("_h"), F.hash("_m").alias("_g"), leaf.alias("_leaf"))
 
 
 def _templates(lines: DataFrame, lined: DataFrame) -> DataFrame:
@@ -50,7 +50,8 @@ def _templates(lines: DataFrame, lined: DataFrame) -> DataFrame:
     different = lines.select("_leaf", "_h", "_g").distinct()
     several = cut(different.groupBy("_leaf").agg(F.count("*").alias("_k")).where(F.col("_k") >= SUPPORT).select("_leaf"), "line-leaves")
     some = lined.join(broadcast_if_small(several.withColumnRenamed("_leaf", "_l2"), 1_000_000), F.col("_leaf") == F.col("_l2"), "left_semi")
-    some = cut(some.select("_leaf", "_h", "_g", "_t").distinct(), "line-several")
+    some = cut(some.select("_leaf", "_h", "_g", "_m").distinct(), "line-several")
+    some = some.select("_leaf", "_h", "_g", F.split("_m", " ", -1).alias("_t"))
     spread = some.select("_leaf", "_h", "_g", F.posexplode("_t").alias("_p", "_w"))
     support = spread.groupBy("_leaf", "_p", "_w").agg(F.count("*").alias("_n")).where(F.col("_n") >= SUPPORT)
     stays = spread.join(cut(support.select("_leaf", "_p", "_w"), "line-support"), ["_leaf", "_p", "_w"], "left_semi")
@@ -74,7 +75,7 @@ def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     docs = docs.drop("n_lines", "n_dropped")
     lined = _lined(docs, id_col, text_col)
-    lines = cut(lined.select("_id", "_th", "_pos", F.size("_t").alias("_len"), "_h", "_g", "_leaf"), "line-lines")
+    lines = cut(lined.drop("_m"), "line-lines")
     general = _templates(lines, lined)
     named = lines.join(broadcast_if_small(general), (F.col("_h") == F.col("_fh")) & (F.col("_g") == F.col("_fg")), "left")
     named = named.select("_id", "_th", "_pos", "_len", F.coalesce("_xh", "_h").alias("_a"), F.coalesce("_xg", "_g").alias("_b"))
