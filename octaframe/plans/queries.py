@@ -1,38 +1,416 @@
-"""Registered queries of the library and their DuckDB counterparts."""
+"""Registered queries of the library and their DuckDB counterparts.
+
+All of them run over whole tables and whole texts.
+"""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..catalog import codec_methods, codec_options, methods
+from ..functions import checksums as sums
+from ..functions import codec
+from ..operators import analysis, dictionary, frames
+from ..sources import framed
+from ..streaming import frames as streaming
+
 QUERIES = {}
 ORACLE_SQL = {}
+#: The bytes of the blob b as a list, in DuckDB.
+BYTES = "list_transform(regexp_extract_all(hex(b), '..'), lambda x: ('0x' || x)::INTEGER)"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def query(sql: str | None = None):
-    """Register the decorated function under its own name, with its oracle."""
+def query(sql: str | None = None, name: str | None = None):
+    """Register the decorated function, with its oracle if it has one."""
 
     def add(fn):
-        QUERIES[fn.__name__] = fn
+        QUERIES[name or fn.__name__] = fn
         if sql is not None:
-            ORACLE_SQL[fn.__name__] = sql
+            ORACLE_SQL[name or fn.__name__] = sql
         return fn
 
     return add
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all machines share; a temporary one where no such folder is set."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = "file://" + tempfile.mkdtemp(prefix="octaframe-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/octaframe/{name}-{uuid.uuid4().hex}"
+
+
 @query(
-    "SELECT lang, count(*) AS n_docs, CAST(sum(octet_length(encode(text))) AS BIGINT) AS raw_bytes "
-    "FROM documents GROUP BY lang"
+    "SELECT lang, count(*) AS n_docs, CAST(sum(octet_length(encode(text))) AS BIGINT) AS raw_bytes, true AS all_round_trip FROM documents GROUP BY lang"
 )
 def compression_report(spark, sf_dir):
-    """Documents and UTF-8 bytes by language."""
-    return (
-        table(spark, sf_dir, "documents")
-        .groupBy("lang")
-        .agg(F.count("*").alias("n_docs"), F.sum(F.octet_length("text")).alias("raw_bytes"))
+    """Documents, UTF-8 bytes and whether zlib brings all of them back, by language."""
+    docs = table(spark, sf_dir, "documents").select("lang", F.encode("text", "UTF-8").alias("b"))
+    docs = docs.withColumn("back", codec.decode(codec.encode("b", "zlib"), "zlib"))
+    return docs.groupBy("lang").agg(
+        F.count("*").alias("n_docs"), F.sum(F.octet_length("b")).alias("raw_bytes"), F.every(F.col("back") == F.col("b")).alias("all_round_trip")
+    )
+
+
+def _round_trip(method: str):
+    def run(spark, sf_dir):
+        docs = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("b"))
+        # Early ZIP streams do not say where they end: the container does, here the length of the value.
+        docs = docs.withColumn("back", codec.decode(codec.encode("b", method), method))
+        back = F.substring("back", F.lit(1), F.octet_length("b")) if method in ("reduce", "implode") else F.col("back")
+        return docs.select("doc_id", F.octet_length(back).cast("long").alias("n_bytes"), (back == F.col("b")).alias("ok"))
+
+    run.__doc__ = f"decode(encode(text)) by {method} for every document."
+    return run
+
+
+for _m in methods():
+    query("SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes, true AS ok FROM documents", f"roundtrip_{_m.name}")(_round_trip(_m.name))
+
+
+@query("SELECT doc_id, sha256(encode(text)) AS digest FROM documents")
+def sha256_documents(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", sums.sha256("text").alias("digest"))
+
+
+@query(
+    f"""WITH t AS (SELECT list(r ORDER BY n) AS t FROM (SELECT n, list_reduce(list_prepend(CAST(n AS BIGINT), range(0, 8)),
+      lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS r FROM range(0, 256) x(n))),
+    d AS (SELECT doc_id, {BYTES} AS v FROM (SELECT doc_id, encode(text) AS b FROM documents))
+    SELECT doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(v, lambda x: x::BIGINT)),
+      lambda c, x: xor(c // 256, t.t[CAST(xor(c % 256, x) AS INTEGER) + 1])), 4294967295::BIGINT) AS crc FROM d, t"""
+)
+def crc32_documents(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", sums.crc32("text").alias("crc"))
+
+
+_ADLER = """CAST((n + list_sum(list_transform(v, lambda x, i: (n - i + 1) * x))) % 65521 * 65536 + (1 + list_sum(v)) % 65521 AS BIGINT)"""
+
+
+@query(f"SELECT doc_id, CASE WHEN n = 0 THEN 1 ELSE {_ADLER} END AS adler FROM (SELECT doc_id, {BYTES} AS v, octet_length(b) AS n FROM (SELECT doc_id, encode(text) AS b FROM documents))")
+def adler32_documents(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", sums.adler32("text").alias("adler"))
+
+
+@query(f"SELECT source, {_ADLER} AS adler32, n AS length FROM (SELECT source, {BYTES} AS v, CAST(octet_length(b) AS BIGINT) AS n FROM (SELECT source, encode(string_agg(text, '' ORDER BY doc_id)) AS b FROM documents GROUP BY source))")
+def adler32_combine_by_source(spark, sf_dir):
+    """Adler-32 of each source's texts in the order of ids, from the sums of the texts."""
+    docs = table(spark, sf_dir, "documents")
+    parts = docs.select("source", "doc_id", sums.adler32("text").alias("a"), F.octet_length("text").cast("long").alias("n"))
+    return sums.combine_adler32(parts, ["source"], "doc_id", "a", "n")
+
+
+@query()
+def checksums_documents(spark, sf_dir):
+    """Sums that SQL lacks: XXH32 and XXH64 with seed 0, CRC-64 of xz, the CRC of bzip2."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(
+        "doc_id", sums.xxh32("text").alias("xxh32"), sums.xxh64("text").alias("xxh64"), sums.crc64("text").alias("crc64"), sums.bzip2_crc("text").alias("bzip2_crc")
     )
+
+
+_EACH = f"SELECT lang, unnest({BYTES}) AS byte FROM (SELECT lang, encode(text) AS b FROM documents)"
+
+
+@query(f"SELECT lang, byte, count(*) AS n FROM ({_EACH}) GROUP BY lang, byte")
+def byte_histogram(spark, sf_dir):
+    return analysis.byte_histogram(table(spark, sf_dir, "documents"), "text", ["lang"])
+
+
+@query(
+    f"SELECT lang, CAST(sum(n) AS BIGINT) AS bytes, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) AS entropy FROM (SELECT lang, byte, count(*) AS n FROM ({_EACH}) GROUP BY lang, byte) GROUP BY lang"
+)
+def entropy_by_lang(spark, sf_dir):
+    got = analysis.entropy(analysis.byte_histogram(table(spark, sf_dir, "documents"), "text", ["lang"]), ["lang"])
+    return got.withColumn("entropy", F.round("entropy", 6))
+
+
+_PAIRS = f"SELECT doc_id, i, v[i] AS cur, v[i - 1] AS prev FROM (SELECT doc_id, {BYTES} AS v FROM (SELECT doc_id, encode(text) AS b FROM documents)), unnest(range(1, len(v) + 1)) u(i)"
+
+
+@query(
+    f"""WITH p AS ({_PAIRS}), s AS (SELECT doc_id, i, sum(CASE WHEN i > 1 AND cur = prev THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM p)
+    SELECT run_length, count(*) AS n FROM (SELECT count(*) AS run_length FROM s GROUP BY doc_id, run) GROUP BY run_length"""
+)
+def rle_runs(spark, sf_dir):
+    """Maximal runs of equal bytes in the documents by length."""
+    return analysis.run_lengths(table(spark, sf_dir, "documents"), "text", [])
+
+
+@query(
+    f"""WITH p AS ({_PAIRS}), s AS (SELECT doc_id, i, sum(CASE WHEN i > 1 AND cur = prev THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM p),
+    r AS (SELECT doc_id, run, count(*) AS n FROM s GROUP BY doc_id, run),
+    k AS (SELECT doc_id, run, n // 128 + CASE WHEN n % 128 >= 2 THEN 1 ELSE 0 END AS tokens, CASE WHEN n % 128 = 1 THEN 1 ELSE 0 END AS lit FROM r),
+    g AS (SELECT *, sum(CASE WHEN tokens > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY run) AS grp FROM k),
+    l AS (SELECT doc_id, grp, sum(lit) AS lits, sum(tokens) AS tokens FROM g GROUP BY doc_id, grp)
+    SELECT doc_id, CAST(sum(2 * tokens + lits + (lits + 127) // 128) AS BIGINT) AS size FROM l GROUP BY doc_id"""
+)
+def rle_encoded_size(spark, sf_dir):
+    """Bytes of each document in PackBits."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.octet_length(codec.encode("text", "rle")).cast("long").alias("size"))
+
+
+@query(f"SELECT doc_id, CAST(sum((cur - CASE WHEN i > 1 THEN prev ELSE 0 END + 256) % 256) AS BIGINT) AS total FROM ({_PAIRS}) GROUP BY doc_id")
+def delta_filter(spark, sf_dir):
+    """Sum of the delta-filtered bytes of each document."""
+    hist = F.pandas_udf(lambda s: s.map(lambda b: sum(bytes(b))), "long")
+    return table(spark, sf_dir, "documents").select("doc_id", hist(codec.encode("text", "delta")).alias("total"))
+
+
+@query("SELECT n_nationkey, list_transform(v, lambda x, i: CASE WHEN i <= 2 THEN x ELSE (x - v[i - 2] + 256) % 256 END) AS d FROM (SELECT n_nationkey, " + BYTES + " AS v FROM (SELECT n_nationkey, encode(n_name) AS b FROM nation))")
+def delta_native(spark, sf_dir):
+    """Delta of distance 2 over short values by built-in functions."""
+    nation = table(spark, sf_dir, "nation")
+    return nation.select("n_nationkey", analysis.delta(analysis.bytes_of("n_name"), 2).alias("d"))
+
+
+@query(
+    f"""WITH c AS (SELECT prev, cur, count(*) AS n FROM ({_PAIRS}) WHERE i > 1 GROUP BY prev, cur)
+    SELECT * FROM (SELECT prev, cur, n, CAST(row_number() OVER (PARTITION BY prev ORDER BY n DESC, cur) AS INTEGER) AS rank FROM c WHERE n >= 3) WHERE rank <= 32"""
+)
+def bigram_followers_top32(spark, sf_dir):
+    """Follower sets over the bytes of the documents."""
+    return analysis.followers(analysis.bigrams(table(spark, sf_dir, "documents"), "text", []))
+
+
+@query(
+    "SELECT dmer, count(*) AS n FROM (SELECT unnest(list_transform(range(0, greatest(length(h) // 2 - 7, 0)), lambda i: substr(h, CAST(2 * i + 1 AS INTEGER), 16))) AS dmer FROM (SELECT hex(encode(html)) AS h FROM pages)) GROUP BY dmer"
+)
+def dmer_counts(spark, sf_dir):
+    """Sequences of 8 bytes in the pages, with their counts."""
+    return analysis.dmer_counts(table(spark, sf_dir, "pages"), "html").select(F.hex("dmer").alias("dmer"), "n")
+
+
+@query(
+    """WITH l AS (SELECT p_size AS symbol, CAST(ceil(log2(p.n / c.n)) + 1 AS BIGINT) AS length FROM (SELECT p_size, count(*)::DOUBLE AS n FROM part GROUP BY p_size) c, (SELECT count(*)::DOUBLE AS n FROM part) p)
+    SELECT symbol, length, CAST(coalesce(sum(pow(2, m - length)) OVER (ORDER BY length, symbol ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / pow(2, m - length) AS BIGINT) AS code
+    FROM (SELECT *, max(length) OVER () AS m FROM l)"""
+)
+def canonical_huffman_codes(spark, sf_dir):
+    """Canonical codes for part sizes, with lengths from their frequencies."""
+    part = table(spark, sf_dir, "part")
+    total = float(part.count())
+    lengths = part.groupBy(F.col("p_size").alias("symbol")).agg((F.ceil(F.log2(F.lit(total) / F.count("*"))) + 1).cast("long").alias("length"))
+    return analysis.canonical_codes(lengths, [])
+
+
+@query(
+    """WITH r AS (SELECT n_nationkey, i, substr(n_name, CAST(i + 1 AS INTEGER)) || substr(n_name, 1, CAST(i AS INTEGER)) AS t FROM nation, unnest(range(0, length(n_name))) u(i)),
+    s AS (SELECT *, row_number() OVER (PARTITION BY n_nationkey ORDER BY t, i) - 1 AS n FROM r)
+    SELECT n_nationkey, string_agg(right(t, 1), '' ORDER BY n) AS bwt, CAST(min(CASE WHEN i = 0 THEN n END) AS INTEGER) AS origin FROM s GROUP BY n_nationkey"""
+)
+def bwt_names(spark, sf_dir):
+    """Burrows-Wheeler transform of the nations' names."""
+    return analysis.burrows_wheeler(table(spark, sf_dir, "nation"), "n_nationkey", "n_name")
+
+
+@query(
+    f"""WITH v AS (SELECT n_nationkey, {BYTES} AS v FROM (SELECT n_nationkey, encode(n_name) AS b FROM nation)),
+    e AS (SELECT n_nationkey, v, i, v[i] AS x, list_position(list_reverse(v[1:i - 1]), v[i]) AS back FROM v, unnest(range(1, len(v) + 1)) u(i))
+    SELECT n_nationkey, list(CAST(CASE WHEN back IS NOT NULL THEN len(list_distinct(v[i - back + 1:i - 1]))
+      ELSE x + len(list_filter(list_distinct(v[1:i - 1]), lambda y: y > x)) END AS INTEGER) ORDER BY i) AS ranks FROM e GROUP BY n_nationkey"""
+)
+def mtf_names(spark, sf_dir):
+    """Move-to-front ranks of the bytes of the nations' names."""
+    return table(spark, sf_dir, "nation").select("n_nationkey", analysis.move_to_front("n_name").alias("ranks"))
+
+
+@query(
+    "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'zstd' WHEN 1 THEN 'lz4' WHEN 2 THEN 'gzip' WHEN 3 THEN 'bzip2' WHEN 4 THEN 'xz' ELSE 'zlib' END AS method FROM documents"
+)
+def detect_mix(spark, sf_dir):
+    """Documents encoded by a method each, and the method that detection names; every other one behind a skippable frame."""
+    docs = table(spark, sf_dir, "documents")
+    packed = None
+    for i, name in enumerate(("zstd", "lz4", "gzip", "bzip2", "xz", "zlib")):
+        part = docs.where(F.col("doc_id") % 6 == i).select("doc_id", codec.encode("text", name).alias("b"))
+        packed = part if packed is None else packed.unionByName(part)
+    skip = F.concat(frames.skippable_frame(F.encode(F.lit("note"), "UTF-8"), 3), F.col("b"))
+    mixed = packed.withColumn("b", F.when(F.floor(F.col("doc_id") / 6) % 2 == 1, skip).otherwise(F.col("b")))
+    return mixed.select("doc_id", codec.detect("b").alias("method"))
+
+
+@query("SELECT count(*) AS n FROM range(0, 65536) t(x) WHERE x // 256 % 16 = 8 AND x // 256 < 128 AND x % 31 = 0")
+def zlib_header_guess_count(spark, sf_dir):
+    """Pairs of bytes that pass for a zlib header."""
+    pair = F.unhex(F.lpad(F.hex("id"), 4, "0"))
+    return spark.range(65536).where(codec.zlib_header(pair)).agg(F.count("*").alias("n"))
+
+
+@query(
+    """SELECT doc_id, n + 5 * (greatest(1, (n + 2047) // 2048) + 1) AS deflate, n + 5 * (greatest(1, (n + 2047) // 2048) + 1) + 18 AS gzip, n + n // 50 + 1024 AS bzip2,
+    n + 6 * greatest(1, (n + 16383) // 16384) + 64 AS lzma2, n + 19 + greatest(1, (n + 4194303) // 4194304) * 4 + 4 AS lz4, n + 18 + 3 * (greatest(1, (n + 131071) // 131072) + 1) AS zstd,
+    ((n + 3 + n // 3838) * 12 + 7) // 8 + 1 AS lzw, CASE WHEN n = 0 THEN 0 ELSE n + greatest(1, (n + 2) // 3) + 1 END AS rle, n + 44 + 6 * greatest(1, (n + 16383) // 16384) + CASE WHEN n = 0 THEN 0 ELSE 155 END AS xz,
+    n + 8 * greatest(1, (n + 32767) // 32768) + 32 AS deflate64, CASE WHEN n = 0 THEN 2 ELSE n + 3 * greatest(1, (n + 65535) // 65536) + 3 END AS brotli, 2 * n + 16 AS shrink, 5 * n + 9000 AS reduce, 3 * n + 1024 AS implode,
+    n AS delta, CAST(NULL AS BIGINT) AS lzma FROM (SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS n FROM documents)"""
+)
+def encode_bounds(spark, sf_dir):
+    """Most bytes that each document can take, by method."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("long").alias("n"))
+    names = ("deflate", "gzip", "bzip2", "lzma2", "lz4", "zstd", "lzw", "rle", "xz", "deflate64", "brotli", "shrink", "reduce", "implode", "delta", "lzma")
+    return docs.select("doc_id", *(codec.encode_bound("n", m).alias(m) for m in names))
+
+
+@query(
+    "SELECT doc_id, CAST(f AS INTEGER) AS frame_no, CAST(f * 4096 AS BIGINT) AS d_off, CAST(least(4096, n - f * 4096) AS BIGINT) AS d_len FROM (SELECT doc_id, octet_length(encode(text)) AS n FROM documents), unnest(range(0, (n + 4095) // 4096)) u(f)"
+)
+def seek_frames_index(spark, sf_dir):
+    """Frames of 4096 bytes of each document."""
+    return frames.slices(table(spark, sf_dir, "documents"), "doc_id", "text", 4096).drop("data")
+
+
+@query("SELECT doc_id, substr(hex(encode(text)), 2 * 3000 + 1, 2 * 2500) AS data FROM documents WHERE octet_length(encode(text)) > 3000")
+def seek_range_read(spark, sf_dir):
+    """Bytes 3000 to 5500 of each document from its frames."""
+    table_ = frames.frame_table(table(spark, sf_dir, "documents"), "doc_id", "text", 4096)
+    return frames.range_read(table_, "doc_id", 3000, 2500).select("doc_id", F.hex("data").alias("data"))
+
+
+@query("SELECT doc_id, CAST((octet_length(encode(text)) + 4095) // 4096 AS BIGINT) AS n_frames FROM documents")
+def zstd_walk_frames(spark, sf_dir):
+    """Frames that a walk over the seekable file of each document finds."""
+    frames.register_walks(spark)
+    packed = table(spark, sf_dir, "documents").select("doc_id", codec.encode("text", "zstd", zstd__seekable=True, zstd__seekable_frame_size=4096).alias("b"))
+    walked = packed.lateralJoin(frames.ZstdWalk(F.col("b").outer()))
+    return walked.groupBy("doc_id").agg(F.count_if(F.col("kind") == "frame").alias("n_frames"))
+
+
+@query("SELECT doc_id, CAST(greatest(1, (octet_length(encode(text)) + 65535) // 65536) AS BIGINT) AS n_blocks FROM documents WHERE octet_length(encode(text)) > 0")
+def lz4_walk_blocks(spark, sf_dir):
+    """Blocks of the LZ4 frame of each document."""
+    frames.register_walks(spark)
+    packed = table(spark, sf_dir, "documents").where(F.octet_length("text") > 0).select("doc_id", codec.encode("text", "lz4", lz4__block_size=65536).alias("b"))
+    return packed.lateralJoin(frames.Lz4Walk(F.col("b").outer())).groupBy("doc_id").agg(F.count_if(F.col("kind").isin("block", "raw")).alias("n_blocks"))
+
+
+@query("SELECT doc_id, CAST(7 AS BIGINT) AS header_size, true AS checksum, CAST(65536 AS BIGINT) AS block_size FROM documents")
+def peek_lz4(spark, sf_dir):
+    """Header facts of the LZ4 frame of each document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", codec.encode("text", "lz4", lz4__content_checksum=True, lz4__block_size=65536).alias("b"))
+    facts = codec.peek("b", "lz4")
+    return docs.select("doc_id", *(facts[n].alias(n) for n in ("header_size", "checksum", "block_size")))
+
+
+@query("SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS content_size FROM documents")
+def peek_zstd(spark, sf_dir):
+    """Sizes that Zstandard frames of the documents state."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", codec.encode("text", "zstd").alias("b"))
+    return docs.select("doc_id", codec.peek("b", "zstd")["content_size"].alias("content_size"))
+
+
+@query("SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes, true AS ok FROM documents")
+def filter_chain_roundtrip(spark, sf_dir):
+    """xz with a chain of delta and x86 filters."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("b"))
+    docs = docs.withColumn("back", codec.decode(codec.encode("b", "xz", xz__filters="delta:4,x86"), "xz"))
+    return docs.select("doc_id", F.octet_length("back").cast("long").alias("n_bytes"), (F.col("back") == F.col("b")).alias("ok"))
+
+
+@query("SELECT CASE WHEN doc_id % 2 = 0 THEN 'CORRUPT' ELSE 'OK' END AS status, count(*) AS n FROM documents GROUP BY 1")
+def try_decode_corrupt(spark, sf_dir):
+    """Statuses of gzip values of which every other one lacks its last byte."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", codec.encode("text", "gzip").alias("b"))
+    broken = F.substring("b", F.lit(1), F.octet_length("b") - 1)
+    tried = codec.try_decode(F.when(F.col("doc_id") % 2 == 0, broken).otherwise(F.col("b")), "gzip")
+    return docs.select(tried["status"].alias("status")).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("SELECT lang, source, count(*) AS n_docs, CAST(sum(octet_length(encode(text))) AS BIGINT) AS raw_bytes FROM documents GROUP BY ROLLUP (lang, source)")
+def ratio_rollup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.rollup("lang", "source").agg(F.count("*").alias("n_docs"), F.sum(F.octet_length("text")).alias("raw_bytes"))
+
+
+@query()
+def ratio_by_method(spark, sf_dir):
+    """Bytes of the documents by method and language, with rollup: the size report of fast methods."""
+    docs = table(spark, sf_dir, "documents").select("lang", F.encode("text", "UTF-8").alias("b"))
+    sized = docs.select("lang", F.octet_length("b").alias("raw"), *(F.octet_length(codec.encode("b", m)).alias(m) for m in ("deflate", "gzip", "bzip2", "xz", "zstd")))
+    long = sized.unpivot(["lang", "raw"], ["deflate", "gzip", "bzip2", "xz", "zstd"], "method", "packed")
+    return long.rollup("method", "lang").agg(F.sum("raw").alias("raw_bytes"), F.sum("packed").alias("packed_bytes"))
+
+
+@query("SELECT * FROM (VALUES ('deflate.wrong'), ('no.such')) t(key)")
+def options_unknown_keys(spark, sf_dir):
+    """Option keys that the catalog does not know."""
+    asked = spark.createDataFrame([("deflate.level",), ("deflate.wrong",), ("zstd.level",), ("no.such",)], "key string")
+    return asked.join(codec_options(spark).select("key"), "key", "left_anti")
+
+
+@query()
+def catalog_options(spark, sf_dir):
+    return codec_options(spark)
+
+
+@query()
+def catalog_methods(spark, sf_dir):
+    return codec_methods(spark)
+
+
+@query(
+    "SELECT time_bucket(INTERVAL '1 day', ts, TIMESTAMP '1970-01-01') AS start, count(*) AS messages, CAST(sum(octet_length(encode(props))) AS BIGINT) AS bytes FROM events GROUP BY 1"
+)
+def event_frames_tumbling(spark, sf_dir):
+    """Frames of the events of each day."""
+    events = table(spark, sf_dir, "events")
+    got = streaming.windowed_frames(events.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "1 day", ["event_id"], "props")
+    return got.select(F.col("start").cast("timestamp_ntz").alias("start"), "messages", "bytes")
+
+
+@query(
+    "SELECT event_type AS key, CAST(sum(octet_length(encode(props))) AS BIGINT) AS bytes, true AS ok FROM events WHERE octet_length(encode(props)) > 0 GROUP BY 1"
+)
+def streaming_event_frames(spark, sf_dir):
+    """The events as a stream in several micro-batches: bytes by type, and whether the decoded frames have the length and the running CRC told."""
+    path, events = shared_path(spark, "stream"), table(spark, sf_dir, "events")
+    events.select("event_id", "event_type", "props").repartition(3, "event_id").write.parquet(path + "/in")
+    stream = spark.readStream.schema("event_id long, event_type string, props string").option("maxFilesPerTrigger", 1).parquet(path + "/in")
+    out = streaming.encode_stream(stream, "event_type", ["event_id"], "props")
+    run = out.writeStream.format("parquet").option("checkpointLocation", path + "/state").outputMode("append").trigger(availableNow=True).start(path + "/out")
+    run.awaitTermination()
+    read = spark.read.schema(streaming.FRAMES).parquet(path + "/out")
+    plain = codec.decode("frame", "zstd")
+    parts = F.array_sort(F.collect_list(F.struct("frame_no", F.hex(plain).alias("h"), "running_crc32")))
+    whole = read.groupBy("key").agg(F.sum("d_len").alias("bytes"), parts.alias("_p"))
+    data = F.unhex(F.array_join(F.transform("_p", lambda x: x["h"]), ""))
+    return whole.select("key", "bytes", ((F.octet_length(data) == F.col("bytes")) & (F.crc32(data) == F.element_at("_p", -1)["running_crc32"])).alias("ok"))
+
+
+@query("SELECT CAST(page_id AS VARCHAR) AS key, CAST(octet_length(encode(html)) AS BIGINT) AS d_len, sha256(encode(html)) AS digest FROM pages")
+def framed_source(spark, sf_dir):
+    """The pages written as framed files and read back."""
+    framed.register(spark)
+    path = shared_path(spark, "framed")
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("key"), F.encode("html", "UTF-8").alias("data"))
+    pages.write.format("framed").mode("append").save(path)
+    return spark.read.format("framed").load(path).select("key", "d_len", F.sha2("data", 256).alias("digest"))
+
+
+@query("SELECT CAST(page_id AS VARCHAR) AS key FROM pages WHERE octet_length(encode(html)) > 4000 AND CAST(page_id AS VARCHAR) LIKE '1%'")
+def framed_source_pushdown(spark, sf_dir):
+    """Frames chosen by their index alone."""
+    framed.register(spark)
+    path = shared_path(spark, "framed")
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("key"), F.encode("html", "UTF-8").alias("data"))
+    pages.write.format("framed").mode("append").save(path)
+    return spark.read.format("framed").load(path).where("d_len > 4000 and key like '1%'").select("key")
+
+
+@query()
+def dictionary_gain(spark, sf_dir):
+    """Bytes of the benchmark texts without and with a dictionary trained on the pages."""
+    trained = dictionary.train(table(spark, sf_dir, "pages"), "html", capacity=8192)
+    pages = table(spark, sf_dir, "pages").select(F.encode("html", "UTF-8").alias("b"))
+    with_ = {"options": {"zlib.dictionary": trained}} if trained else {}
+    sized = pages.select(F.octet_length("b").alias("raw"), F.octet_length(codec.encode("b", "zlib")).alias("plain"), F.octet_length(codec.encode("b", "zlib", **with_)).alias("with_dictionary"))
+    return sized.agg(F.sum("raw").alias("raw_bytes"), F.sum("plain").alias("plain_bytes"), F.sum("with_dictionary").alias("dictionary_bytes"))

@@ -1,0 +1,150 @@
+import random
+import zlib
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from octaframe import catalog
+from octaframe.codecs import checksums as kernels
+from octaframe.codecs import zstds
+from octaframe.errors import CodecError
+from octaframe.functions import checksums, codec
+from octaframe.functions.codec import decode_bytes, encode_bytes
+from octaframe.operators import analysis, dictionary, frames
+from octaframe.sources import framed
+
+R = random.Random(3)
+VALUES = [None, b"", b"a", b"aab", b"abc" * 500, bytes(range(256)) * 4, R.randbytes(3000), b"\0" * 1000]
+
+
+@pytest.fixture(scope="module")
+def blobs(spark):
+    return spark.createDataFrame([(i, bytearray(v) if v is not None else None) for i, v in enumerate(VALUES)], "id long, b binary")
+
+
+def test_encode_decode_columns(blobs):
+    for method in ("zlib", "rle", "lz4", "zstd"):
+        got = blobs.select("id", codec.decode(codec.encode("b", method), method).alias("x")).collect()
+        assert [r.x if r.x is None else bytes(r.x) for r in sorted(got)] == VALUES
+
+
+def test_options_are_checked_when_the_column_is_made():
+    with pytest.raises(CodecError):
+        codec.encode("b", "zlib", deflate__level=11)
+    with pytest.raises(CodecError):
+        codec.encode("b", "nothing")
+
+
+def test_try_decode(blobs):
+    got = blobs.select("id", codec.try_decode("b", "gzip").alias("t")).collect()
+    assert [r.t if r.t is None else r.t.status for r in sorted(got)] == [None] + ["CORRUPT"] * 7
+
+
+def test_detect_peek_and_skippable(spark):
+    names = ["zstd", "lz4", "gzip", "bzip2", "xz", "zlib"]
+    rows = [(n, bytearray(encode_bytes(b"hello" * 50, n))) for n in names] + [(None, bytearray(b"PK\3\4....")), (None, bytearray(b"ab"))]
+    df = spark.createDataFrame(rows, "name string, b binary")
+    assert all(r.name == r.d for r in df.select("name", codec.detect("b").alias("d")).collect())
+    skip = frames.skippable_frame(F.lit(b"meta"), 2)
+    assert all(r.name == r.d for r in df.where("name is not null").select("name", codec.detect(F.concat(skip, skip, F.col("b"))).alias("d")).collect())
+    z = df.where("name = 'zstd'").select(codec.peek("b", "zstd").alias("p")).first().p
+    assert z.content_size == 250 and not z.checksum
+    assert df.where("name = 'gzip'").select(codec.peek("b", "zstd").alias("p")).first().p is None
+
+
+def test_bounds_agree_with_integers(blobs):
+    for m in catalog.methods():
+        got = blobs.select(F.octet_length("b").alias("n"), codec.encode_bound(F.octet_length("b"), m.name).alias("x")).where("n is not null").collect()
+        for r in got:
+            assert r.x == (None if m.bound is None else m.bound(catalog.IntArith, r.n, m.validated({}))), m.name
+
+
+def test_ratio_predicate(spark):
+    df = spark.createDataFrame([(0, 5), (1, 10), (1, 11), (1 << 60, 1 << 62)], "a long, b long")
+    assert [r.x for r in df.select(codec.within_ratio(F.col("a"), F.col("b"), 10).alias("x")).collect()] == [True, True, False, True]
+
+
+def test_user_methods(spark, blobs):
+    catalog.register(catalog.Method("reverse", "test", lambda b, o: b[::-1], lambda b, o: b[::-1]))
+    assert encode_bytes(b"abc", "reverse") == b"cba"
+
+
+def test_checksum_columns(blobs):
+    got = {r.id: r for r in blobs.select("id", checksums.adler32("b").alias("a"), checksums.xxh64("b").alias("x"), checksums.crc64("b").alias("c"), checksums.xxh64_seed42("b").alias("s")).collect()}
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    for i, v in enumerate(VALUES):
+        if v is None:
+            assert got[i].a is None and got[i].s is None
+        else:
+            assert (got[i].a, got[i].x, got[i].c, got[i].s) == (zlib.adler32(v), signed(kernels.xxh64(v)), signed(kernels.crc64(v)), signed(kernels.xxh64(v, 42)))
+
+
+def test_combined_adler(spark):
+    parts = [(g, i, R.randbytes(R.randrange(2000))) for g in "ab" for i in range(20)]
+    df = spark.createDataFrame([(g, i, zlib.adler32(b), len(b)) for g, i, b in parts], "g string, i long, a long, n long")
+    got = {r.g: (r.adler32, r.length) for r in checksums.combine_adler32(df, ["g"], "i", "a", "n").collect()}
+    for g in "ab":
+        whole = b"".join(b for k, _, b in parts if k == g)
+        assert got[g] == (zlib.adler32(whole), len(whole))
+
+
+def test_statistics(blobs):
+    real = [v for v in VALUES if v is not None]
+    assert {r.byte: r.n for r in analysis.byte_histogram(blobs, "b", []).collect()} == Counter(b for v in real for b in v)
+    assert {(r.prev, r.cur): r.n for r in analysis.bigrams(blobs, "b", []).collect()} == Counter(p for v in real for p in zip(v, v[1:]))
+    for d in (6, 8):
+        want = Counter(v[i : i + d] for v in real for i in range(len(v) - d + 1))
+        assert {bytes(r.dmer): r.n for r in analysis.dmer_counts(blobs, "b", d).collect()} == want
+
+
+def test_range_reads_and_seek_tables(blobs):
+    table = frames.frame_table(blobs, "id", "b", 256, "zstd").cache()
+    for offset, length in ((0, 10), (250, 20), (300, 700), (2990, 100), (5000, 1)):
+        got = {r.id: bytes(r.data) for r in frames.range_read(table, "id", offset, length).collect()}
+        assert got == {i: v[offset : offset + length] for i, v in enumerate(VALUES) if v and len(v) > offset}
+    tables = {r.id: bytes(r.seek_table) for r in frames.seek_table(table, "id").collect()}
+    for r in table.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("frame_no", "frame"))).alias("f")).collect():
+        whole = b"".join(bytes(x.frame) for x in r.f) + tables[r.id]
+        assert sum(x[1] for x in zstds.read_seek_table(whole)) == len(VALUES[r.id])
+        assert decode_bytes(whole, "zstd") == VALUES[r.id]
+
+
+def test_partitioning_does_not_change_frames(blobs):
+    a = frames.frame_table(blobs, "id", "b", 100).select("id", "frame_no", "frame").collect()
+    b = frames.frame_table(blobs.repartition(5), "id", "b", 100).select("id", "frame_no", "frame").collect()
+    assert sorted(a) == sorted(b)
+
+
+def test_framed_source(spark, tmp_path):
+    framed.register(spark)
+    path = str(tmp_path / "f")
+    rows = [(f"k{i}", bytearray(b"x" * i)) for i in range(30)] + [(None, None)]
+    spark.createDataFrame(rows, "key string, data binary").repartition(3).write.format("framed").option("method", "lz4").mode("append").save(path)
+    read = lambda: spark.read.format("framed").option("framesPerPartition", 4).load(path)
+    assert sorted(((r.key, bytes(r.data)) for r in read().collect()), key=str) == sorted([(k, bytes(d or b"")) for k, d in rows], key=str)
+    few = read().where("d_len >= 10 and key like 'k1%'")
+    assert "Filter" not in few._jdf.queryExecution().executedPlan().toString().replace("RuntimeFilters", "")
+    assert sorted(r.key for r in few.collect()) == [f"k{i}" for i in range(10, 20)]
+    spark.createDataFrame(rows[:2], "key string, data binary").write.format("framed").mode("append").save(path)
+    assert read().count() == 33
+
+
+def test_dictionary_helps(spark):
+    lines = [f'{{"user": {R.randrange(10**6)}, "action": "purchase_completed", "currency": "EUR", "amount": {R.randrange(1000)}}}'.encode() for _ in range(400)]
+    df = spark.createDataFrame([(bytearray(x),) for x in lines[:300]], "b binary")
+    trained = dictionary.train(df, "b", 1024)
+    plain = sum(len(encode_bytes(x, "zlib")) for x in lines[300:])
+    assert 0 < len(trained) <= 1024 and sum(len(encode_bytes(x, "zlib", {"zlib.dictionary": trained})) for x in lines[300:]) < 0.8 * plain
+    assert dictionary.train(df.limit(0), "b") == b""
+
+
+def test_brute_force_of_unoracled_queries(spark):
+    import __spark_entry__ as entry
+
+    got = entry.queries()["checksums_documents"](spark, "/root/testdata/sf0.001").collect()
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    assert all(r.xxh32 == kernels.xxh32(texts[r.doc_id]) and r.bzip2_crc == kernels.bzip2_crc(texts[r.doc_id]) for r in got)
+    assert entry.entry(spark).count() >= 1
+    sizes = entry.queries()["dictionary_gain"](spark, "/root/testdata/sf0.001").first()
+    assert sizes.dictionary_bytes < sizes.plain_bytes < sizes.raw_bytes
