@@ -1,8 +1,13 @@
-"""Brotli: streams of stored meta-blocks, and their reading.  Compressed meta-blocks are not supported yet."""
+"""Brotli: the Arrow library's codec, and stored meta-blocks of our own for level 0 or where it is missing.
+
+Compressed streams state the library's window of 22 bits; brotli.lgwin holds
+for stored streams.
+"""
 
 from __future__ import annotations
 
 from ..errors import LIMIT, UNSUPPORTED, CodecError, corrupt
+from . import native
 from .bits import LsbReader, LsbWriter
 
 CHUNK = 65536
@@ -20,6 +25,8 @@ def _window(w: LsbWriter, bits: int) -> None:
 
 
 def encode(data: bytes, o: dict) -> bytes:
+    if o["brotli.level"] and native.has("brotli"):
+        return native.compress(data, "brotli", o["brotli.level"])
     w = LsbWriter()
     _window(w, o["brotli.lgwin"])
     for at in range(0, len(data), CHUNK):
@@ -47,8 +54,11 @@ def window_bits(src: LsbReader) -> int:
 
 def decode(data: bytes, o: dict) -> bytes:
     src, out, most = LsbReader(data), bytearray(), o["limits.max_output_bytes"]
-    if o["limits.max_window_bytes"] and 1 << window_bits(src) > o["limits.max_window_bytes"]:
+    window = 1 << window_bits(src)
+    if o["limits.max_window_bytes"] and window > o["limits.max_window_bytes"]:
         raise CodecError(LIMIT, "window size")
+    if native.has("brotli"):
+        return native.stream(data, "brotli", most)
     while True:
         last = src.bits(1)
         if last and src.bits(1):

@@ -1,10 +1,11 @@
-"""LZ4 frames and blocks."""
+"""LZ4 frames and blocks.  Blocks without history and frames without dictionary use the Arrow library's codec where it is there."""
 
 from __future__ import annotations
 
 import struct
 
 from ..errors import INVALID_ARG, LIMIT, CodecError, corrupt
+from . import native
 from .bits import copy_match, greedy
 from .checksums import xxh32
 
@@ -18,6 +19,8 @@ def _length(n: int) -> bytes:
 
 def block_encode(data: bytes, history: bytes = b"") -> bytes:
     """One block; matches start 12 bytes before the end at most and leave 5 literals."""
+    if not history and native.has("lz4_raw"):
+        return native.compress(data, "lz4_raw")
     out, start = bytearray(), len(history)
     whole = history + data
     for lo, hi, distance, n in greedy(whole, start, 65535, 4, 1 << 30, 12):
@@ -125,8 +128,11 @@ def frame_info(data: bytes, at: int = 0) -> dict:
     }
 
 
-def walk(data: bytes):
-    """Events (kind, offset, size, payload offset, payload size) of frames, blocks and skippable frames; nothing is decoded."""
+def walk(data: bytes, first: bool = False):
+    """Events (kind, offset, size, payload offset, payload size) of frames, blocks and skippable frames; nothing is decoded.
+
+    first: end after the first frame.
+    """
     at = 0
     while at + 4 <= len(data):
         magic = struct.unpack_from("<I", data, at)[0]
@@ -160,9 +166,36 @@ def walk(data: bytes):
         if at > len(data):
             raise corrupt("LZ4 frame is truncated")
         yield "frame", start, at - start, start, at - start
+        if first:
+            return
+
+
+def _native_frames(data: bytes, o: dict) -> bytes:
+    """Frames without dictionary, found by a walk and decoded by the library, which checks their sums and sizes."""
+    out, most, frames, at = bytearray(), o["limits.max_output_bytes"], 0, 0
+    if not data:
+        raise corrupt("LZ4 frame is truncated")
+    for kind, start, size, _, _ in walk(data, not o["lz4.concat"]):
+        if kind == "header":
+            info = frame_info(data, start)
+            if o["limits.max_block_bytes"] and info["block_size"] > o["limits.max_block_bytes"]:
+                raise CodecError(LIMIT, "block size")
+        if kind == "frame":
+            out += native.stream(data[start : start + size], "lz4", most - len(out) if most else 0)
+            if most and len(out) > most:
+                raise CodecError(LIMIT, f"more than {most} bytes of output")
+            frames += 1
+        at = start + size
+    if o["lz4.concat"] and at < len(data):
+        raise corrupt("bytes after the last frame")
+    if not frames and at < len(data):
+        raise corrupt("LZ4 frame is truncated")
+    return bytes(out)
 
 
 def decode(data: bytes, o: dict) -> bytes:
+    if not o["lz4.dictionary"] and native.has("lz4"):
+        return _native_frames(data, o)
     out, at, most, frames = bytearray(), 0, o["limits.max_output_bytes"], 0
     dictionary = (o["lz4.dictionary"] or b"")[-65536:]
     while at < len(data) or not frames:

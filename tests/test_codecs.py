@@ -138,3 +138,16 @@ def test_walks():
     rows = zstds.read_seek_table(z)
     assert sum(r[1] for r in rows) == len(data) and [e[0] for e in zstds.walk(z)].count("frame") == len(rows)
     assert decode_bytes(lz4.skippable(b"x") + encode_bytes(b"abc", "lz4"), "lz4") == b"abc"
+
+
+def test_without_the_native_library(monkeypatch):
+    from octaframe.codecs import native
+
+    packed = {m: encode_bytes(SHAPES[14][1], m) for m in ("lz4",)}
+    monkeypatch.setattr(native, "has", lambda name: False)
+    for _, data in SHAPES:
+        for m, o in (("lz4", {}), ("lz4", {"lz4.content_checksum": True, "lz4.block_size": 65536}), ("brotli", {})):
+            assert decode_bytes(encode_bytes(data, m, o), m, {"limits.max_expansion_ratio": 0}) == data
+    assert decode_bytes(packed["lz4"], "lz4") == SHAPES[14][1]
+    with pytest.raises(CodecError):
+        decode_bytes(encode_bytes(b"abc" * 100, "lz4")[:-2], "lz4")
