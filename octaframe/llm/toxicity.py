@@ -1,12 +1,15 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Words and word pairs of the labelled rows are counted by class.  The lowest
-order is shared: the continuation count of a word, that is, the number of
-different words before it in either class.  Expressions that toxic rows show
-less than twice back off to it in both classes and so speak for neither.  A
-document's score comes from the difference of its length-normalised toxic and
-ordinary log-likelihoods, over the whole text and over its most toxic window,
-through a logistic curve that is fitted on rows that the counts leave out.
+As Kneser and Ney have it, a word counts by the contexts it continues: in each
+class, by the number of different words before it in the labelled rows.  So a
+passage that was copied a thousand times weighs as much as one.  Counts are
+discounted, and what the discounts free goes to shared backoff counts, the
+contexts of the word in both classes together.  Rare expressions, which toxic
+rows show in fewer than LEAST_TOXIC contexts, rest on the shared counts alone
+and speak for neither class.  A document's score comes from the difference of
+its length-normalised toxic and ordinary log-likelihoods, over the whole text
+and over its most toxic window, through a logistic curve that is fitted on
+rows that the counts leave out.
 """
 
 from __future__ import annotations
@@ -101,28 +104,19 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    """Log-likelihood ratios of the expressions of toxic rows, as sorted keys and values."""
+    """Log-likelihood ratios of the words of toxic rows, as sorted keys and values."""
 
-    def __init__(self, words: np.ndarray, word_llr: np.ndarray, pairs: np.ndarray, pair_llr: np.ndarray):
-        o, p = np.argsort(words), np.argsort(pairs)
-        self.words, self.word_llr, self.pairs, self.pair_llr = words[o], word_llr[o], pairs[p], pair_llr[p]
-
-    @staticmethod
-    def _find(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(keys):
-            return np.zeros(len(asked), dtype=bool), np.zeros(len(asked))
-        at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-        hit = keys[at] == asked
-        return hit, np.where(hit, values[at], 0.0)
+    def __init__(self, words: np.ndarray, llr: np.ndarray):
+        order = np.argsort(words)
+        self.words, self.llr = words[order], llr[order]
 
     def features(self, text: str | None) -> tuple[float, float]:
         """Length-normalised log-likelihood difference of the text and of its most toxic window."""
-        h, w = _expressions(text)
-        if not len(w):
+        _, w = _expressions(text)
+        if not len(w) or not len(self.words):
             return 0.0, 0.0
-        _, llr = self._find(self.words, self.word_llr, w)
-        hit, pair = self._find(self.pairs, self.pair_llr, _pair_keys(h, w))
-        total = np.r_[0.0, np.cumsum(np.where(hit, pair, llr))]
+        at = np.minimum(np.searchsorted(self.words, w), len(self.words) - 1)
+        total = np.r_[0.0, np.cumsum(np.where(self.words[at] == w, self.llr[at], 0.0))]
         n = min(WINDOW, len(w))
         return float(total[-1] / len(w)), float(((total[n:] - total[:-n]) / n).max())
 
@@ -130,53 +124,32 @@ class Model:
 def _discounted(count: np.ndarray, of: list[float]) -> np.ndarray:
     """Counts less the discounts of modified Kneser-Ney smoothing; of: how many words have the counts 1 to 4."""
     y = of[0] / max(of[0] + 2 * of[1], 1)
-    cut_off = [0.0] + [n - (n + 1) * y * of[n] / of[n - 1] if of[n - 1] else n * 0.75 for n in (1, 2, 3)]
-    return np.maximum(count - np.clip(cut_off, 0, None)[np.minimum(count, 3).astype(int)], 0)
+    less = [0.0] + [n - (n + 1) * y * of[n] / of[n - 1] if of[n - 1] else n * 0.75 for n in (1, 2, 3)]
+    return np.maximum(count - np.clip(less, 0, None)[np.minimum(count, 3).astype(int)], 0)
 
 
 def _model(counts: DataFrame) -> Model:
-    """Model from stored counts: rows of words (pair is null) and of pairs that toxic rows show often enough."""
-    of = [F.count_if(F.col(c) == n) for c in ("wt", "wo") for n in (1, 2, 3, 4)]
-    sums = counts.where("h is null").agg(F.sum("wt"), F.sum("wo"), F.sum("cont"), F.count_if(F.col("wt") > 0), F.count_if(F.col("wo") > 0), *of)
-    nt, no, types, vt, vo, *of = (float(x or 0) for x in sums.first())
+    """Model from stored counts (word, toxic, ordinary and shared contexts)."""
+    of = [F.count_if(F.col(c) == n) for c in ("toxic", "ordinary") for n in (1, 2, 3, 4)]
+    types = [F.count_if(F.col(c) > 0) for c in ("toxic", "ordinary")]
+    nt, no, shared, vt, vo, *of = (float(x or 0) for x in counts.agg(F.sum("toxic"), F.sum("ordinary"), F.sum("shared"), *types, *of).first())
     if not nt or not no:
-        return Model(*(np.zeros(0, np.uint64), np.zeros(0)) * 2)
-    words = counts.where(f"h is null and wt >= {LEAST_TOXIC}").toArrow()
-    pairs = counts.where("h is not null and h <> 0").select("h", "key", "ct", "co").toArrow()
-    col = lambda t, c: t[c].to_numpy().astype(np.float64)
-    key = words["key"].to_numpy().view(np.uint64)
-    shared = col(words, "cont") / types
-    # Both classes give the shared count the same weight, that of the pooled counts.
-    weight = (vt + vo) / (nt + no)
-    pt = _discounted(col(words, "wt"), of[:4]) / nt + weight * shared
-    po = _discounted(col(words, "wo"), of[4:]) / no + weight * shared
-    order = np.argsort(key)
-    at_w = order[np.minimum(np.searchsorted(key[order], pairs["key"].to_numpy().view(np.uint64)), max(len(key) - 1, 0))] if len(key) else np.zeros(0, int)
-    at_h = order[np.minimum(np.searchsorted(key[order], pairs["h"].to_numpy().view(np.uint64)), max(len(key) - 1, 0))] if len(key) else np.zeros(0, int)
-    if not len(key):
-        return Model(*(np.zeros(0, np.uint64), np.zeros(0)) * 2)
-    ht, ho = col(words, "ht")[at_h], col(words, "ho")[at_h]
-    follow = (col(words, "ft")[at_h] + col(words, "fo")[at_h]) / np.maximum(ht + ho, 1)
-    qt = _discounted(col(pairs, "ct"), of[:4]) / np.maximum(ht, 1) + follow * pt[at_w]
-    qo = _discounted(col(pairs, "co"), of[4:]) / np.maximum(ho, 1) + follow * po[at_w]
-    pair_key = _pair_keys(pairs["h"].to_numpy().view(np.uint64), pairs["key"].to_numpy().view(np.uint64))
-    return Model(key, np.log(pt / po), pair_key, np.log(qt / qo))
+        return Model(np.zeros(0, np.uint64), np.zeros(0))
+    words = counts.where(F.col("toxic") >= LEAST_TOXIC).toArrow()
+    toxic, ordinary, both = (words[c].to_numpy().astype(np.float64) for c in ("toxic", "ordinary", "shared"))
+    # Both classes give the shared counts the same weight, that of the pooled counts.
+    backoff = (vt + vo) / (nt + no) * both / shared
+    llr = np.log(_discounted(toxic, of[:4]) / nt + backoff) - np.log(_discounted(ordinary, of[4:]) / no + backoff)
+    return Model(words["word"].to_numpy().view(np.uint64), llr)
 
 
 def _counts(rows: DataFrame) -> DataFrame:
-    """Stored counts of rows (text, toxic): words with their class, continuation and context counts, and toxic pairs."""
+    """Stored counts of rows (text, toxic): word, and its different contexts in toxic, in ordinary and in all rows."""
     pairs = rows.mapInArrow(_counted, "h long, w long, ct long, co long").groupBy("h", "w").agg(F.sum("ct").alias("ct"), F.sum("co").alias("co"))
-    zero, none = F.lit(0).cast("long"), F.lit(None).cast("long")
-    names = ["h", "key", "wt", "wo", "cont", "ht", "ho", "ft", "fo", "ct", "co"]
-    one = lambda c: (c > 0).cast("long")
-    ct, co = F.col("ct"), F.col("co")
-    as_row = lambda *v: F.struct(*(x.alias(n) for x, n in zip(v, names, strict=True)))
-    word = as_row(none, F.col("w"), ct, co, F.lit(1).cast("long"), *[zero] * 6)
-    context = as_row(none, F.col("h"), *[zero] * 3, ct, co, one(ct), one(co), zero, zero)
-    pair = as_row(F.col("h"), F.col("w"), *[zero] * 7, ct, co)
-    each = F.when(ct >= LEAST_TOXIC, F.array(word, context, pair)).otherwise(F.array(word, context))
-    flat = pairs.select(F.inline(each))
-    return cut(flat.groupBy("h", "key").agg(*(F.sum(n).alias(n) for n in names[2:])), "tox-counts")
+    by_word = pairs.groupBy(F.col("w").alias("word")).agg(
+        F.count_if(F.col("ct") > 0).alias("toxic"), F.count_if(F.col("co") > 0).alias("ordinary"), F.count("*").alias("shared")
+    )
+    return cut(by_word, "tox-counts")
 
 
 def _featured(model, text: int, kept: int):
