@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from octaframe.llm import lines, minhash, mixing, packing, toxicity
-from octaframe.llm.common import broadcast_if_small, cut, table, word_count
+from octaframe.llm.common import broadcast_if_small, cut, forget, stored, table, word_count
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,7 +67,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents; what a stage stored on its way is deleted once its result is written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
+        first = len(stored)
         docs = cut(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        forget(spark, stored[first:-1])
+        del stored[first:-1]
     return docs

@@ -25,8 +25,13 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Paths that new_path gave out, in order, until forget() is told of them.
+stored: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/octaframe/{name}-{uuid.uuid4().hex}"
+    stored.append(f"{shared_dir(spark)}/octaframe/{name}-{uuid.uuid4().hex}")
+    return stored[-1]
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -53,5 +58,18 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(most))
 
 
+def positional(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with columns c0, c1, ..., and the new name of each old one: no name of a user can clash with one of ours."""
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
+def forget(spark: SparkSession, paths: list[str]) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

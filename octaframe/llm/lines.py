@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, cut
+from .common import broadcast_if_small, cut, positional
 
 LEADING = 3
 VARIABLE = "<*>"
@@ -73,7 +73,8 @@ def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Columns of docs named n_lines and n_dropped are replaced.  An empty table
     gives an empty result.
     """
-    docs = docs.drop("n_lines", "n_dropped")
+    docs, names = positional(docs.drop("n_lines", "n_dropped"))
+    id_col, text_col = names[id_col], names[text_col]
     lined = _lined(docs, id_col, text_col)
     lines = cut(lined.drop("_m"), "line-lines")
     general = _templates(lines, lined)
@@ -99,7 +100,7 @@ def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             text_col: F.when(F.col("_drop").isNull(), F.col(text_col)).otherwise(text),
         }
     )
-    return out.select(*docs.columns, "n_lines", "n_dropped")
+    return out.select(*(F.col(c).alias(n) for n, c in names.items()), "n_lines", "n_dropped")
 
 
 ORACLE = rf"""

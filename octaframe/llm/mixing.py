@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, cut, word_count
+from .common import broadcast_if_small, cut, positional, word_count
 
 RANK_BUCKETS = 4096
 
@@ -71,7 +71,8 @@ def mix(
     table gives an empty result.
     """
     made = ["mix_size", "mix_source_size", "mix_target", "mix_copies", "mix_taken"]
-    docs = docs.drop(*made)
+    docs, names = positional(docs.drop(*made))
+    id_col, text_col, source_col = names[id_col], names[text_col], names[source_col]
     sized = cut(
         docs.select(
             F.col(source_col).alias("_s"),
@@ -148,7 +149,7 @@ def mix(
     copies = F.when(F.col("mix_size") > 0, F.col("_whole") + drawn.cast("int")).otherwise(0)
     out = out.withColumn("mix_copies", copies.cast("int"))
     out = out.withColumn("mix_taken", F.col("mix_copies") * F.col("mix_size"))
-    return out.select(*docs.columns, *made)
+    return out.select(*(F.col(c).alias(n) for n, c in names.items()), *made)
 
 
 ORACLE = r"""

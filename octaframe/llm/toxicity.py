@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import broadcast_if_small, cut, small_batches
+from .common import broadcast_if_small, cut, positional, small_batches
 
 FOLDS = 5
 #: Folds (of crc32 of the id) that are counted, and the one on which the curve is fitted; fold 0 is held out.
@@ -201,8 +201,7 @@ def score(
     """
     spark, made = docs.sparkSession, ["held_out", "score", "predicted", "mean", "peak"]
     small_batches(spark)
-    docs = docs.drop(*[c for c in made if c not in (id_col, text_col)])
-    keep = [c for c in keep or docs.columns if c in docs.columns]
+    kept = [c for c in keep or docs.columns if c in docs.columns and (c not in made or c in (id_col, text_col))]
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     known = known.groupBy(F.col(id_col).alias("_l")).agg(F.max(label_col).cast("int").alias("_toxic"))
     known = cut(known.withColumn("_f", fold(F.col("_l"))).where("_f <> 0"), "tox-labels")
@@ -210,6 +209,8 @@ def score(
     share = F.pmod(F.xxhash64("_l"), F.lit(1 << 30)) / float(1 << 30)
     chosen = F.when(F.col("_f") == FIT_FOLD, share < MAX_FITTED / max(n_fit, 1)).otherwise(share < MAX_COUNTED / max(n_count, 1))
     known = cut(known.where(chosen), "tox-known")
+    docs, names = positional(docs)
+    id_col, text_col, keep = names[id_col], names[text_col], [names[c] for c in kept]
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
 
     def labelled(folds: tuple[int, ...]) -> DataFrame:
@@ -233,5 +234,5 @@ def score(
     z = F.lit(float(beta[0])) + F.col("_mean") * float(beta[1]) + F.col("_peak") * float(beta[2])
     out = out.withColumn("score", 1 / (1 + F.exp(-z)))
     return out.select(
-        *keep, "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.col("_mean").alias("mean"), F.col("_peak").alias("peak")
+        *(F.col(names[c]).alias(c) for c in kept), "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.col("_mean").alias("mean"), F.col("_peak").alias("peak")
     )

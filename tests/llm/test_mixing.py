@@ -5,6 +5,7 @@ from octaframe.llm import mixing
 SCHEMA = "doc_id long, text string, source string, mix_size string"
 
 
+
 def docs(spark):
     rows = [(i, "w " * (1 + i * 7 % 40), f"s{i % 4}", "x") for i in range(400)]
     rows += [(None, "a b c", None, "x"), (900, None, "s1", "x"), (901, "", None, "x"), (902, " \t\n", "s2", None), (5, "w " * 36, "s1", "x")]
@@ -50,3 +51,14 @@ def test_empty(spark):
 def test_native(spark):
     plan = mixing.mix(docs(spark))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_names_of_columns_do_not_clash(spark):
+    from octaframe.llm import lines, toxicity
+
+    rows = [(1, "some words here", "a", "1", "2", "3", "4"), (2, None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _s string, _key string, _mean string, c0 string")
+    assert mixing.mix(df).select(*df.columns).collect() == df.collect()
+    assert lines.drop_recurring(df).select(*df.columns).collect() == df.collect()
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
+    assert toxicity.score(df, labels).select(*df.columns).collect() == df.collect()
