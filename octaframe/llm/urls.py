@@ -5,7 +5,7 @@ level below each host, a segment that is one of many and rare becomes a
 wildcard.  Then siblings that differ in one segment alone, and whose labelled
 shares of blocked pages do not differ statistically, are merged.  A template
 is rejected when its share of blocked pages, smoothed by that of its host and
-of all pages, reaches a threshold.  Every step is an aggregation with map-side
+of all pages, is above a threshold.  Every step is an aggregation with map-side
 sums and an equality join.  The steps are SQL, the same for any engine.
 """
 
@@ -99,9 +99,8 @@ def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
 
     Labels of the tree are the verdicts of the rules (a bounded list).  A null url
     or one without :// has an empty host and path.  Repeated rows are judged
-    alike and each counts as a page.  Without any labelled page every purity is
-    one half, below no threshold of one half: all is blocked, so give rules that
-    label something.  An empty table gives an empty result.
+    alike and each counts as a page.  Where nothing is labelled every purity is one
+    half, which does not reject.  An empty table gives an empty result.
     """
     spark = pages.sparkSession
     url = F.coalesce(F.col(url_col), F.lit(""))
@@ -131,7 +130,7 @@ def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
     on = [F.col(c) == F.col("m_" + c) for c in ("host", "s1", "s2", "s3", "s4")]
     told = purity.withColumnsRenamed({c: "m_" + c for c in ("host", "s1", "s2", "s3", "s4")})
     out = seen.join(broadcast_if_small(told, max_rows=500_000, max_bytes=64 << 20), on, "left")
-    own = F.when(F.col("purity") >= REJECT, "block").otherwise("allow")
+    own = F.when(F.col("purity") > REJECT, "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", F.coalesce("said", own).alias("verdict"), "template", "purity")
 
 
@@ -147,6 +146,6 @@ x1 AS (SELECT *, {rule} AS rule, {verdict} AS said, string_split(regexp_replace(
 x AS (SELECT *, coalesce(m[2], '') AS s1, coalesce(m[3], '') AS s2, coalesce(m[4], '') AS s3, coalesce(array_to_string(m[5:], '/'), '') AS s4 FROM x1),
 w0 AS (SELECT host, s1, s2, s3, s4, count(*) AS n, count(said) AS lab, count(CASE WHEN said = 'block' THEN 1 END) AS blk FROM x GROUP BY ALL),
 {ctes}, total AS (SELECT sum(lab) AS lab, sum(blk) AS blk FROM w0), m AS ({purity})
-SELECT x.page_id, x.host, x.path, x.rule, coalesce(x.said, CASE WHEN m.purity >= {REJECT} THEN 'block' ELSE 'allow' END) AS verdict, m.template
+SELECT x.page_id, x.host, x.path, x.rule, coalesce(x.said, CASE WHEN m.purity > {REJECT} THEN 'block' ELSE 'allow' END) AS verdict, m.template
 FROM x LEFT JOIN m ON x.host = m.host AND x.s1 = m.s1 AND x.s2 = m.s2 AND x.s3 = m.s3 AND x.s4 = m.s4
 """
