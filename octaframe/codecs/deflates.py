@@ -74,6 +74,7 @@ def gzip_header(o: dict) -> bytes:
         raise CodecError(INVALID_ARG, "gzip names hold no zero byte")
     extra = o["gzip.extra"] or b""
     flags = o["gzip.text"] | o["gzip.header_crc"] << 1 | bool(extra) << 2 | bool(name) << 3 | bool(comment) << 4
+    flags |= o["gzip.header_flags"] or 0
     level = o["deflate.level"]
     xfl = o["gzip.xfl"] if o["gzip.xfl"] is not None else 2 if level == 9 else 4 if level <= 1 else 0
     head = struct.pack("<4BIBB", 0x1F, 0x8B, 8, flags, o["gzip.mtime"], xfl, o["gzip.os"])

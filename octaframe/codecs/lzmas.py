@@ -14,6 +14,7 @@ from .checksums import crc64
 # Filter ids and check ids of the xz format.
 FILTER_IDS = {"delta": 3, "x86": 4, "powerpc": 5, "ia64": 6, "arm": 7, "armthumb": 8, "sparc": 9, "arm64": 10, "riscv": 11}
 CHECKS = {"none": 0, "crc32": 1, "crc64": 4, "sha256": 10}
+UNSTATED = (1 << 64) - 1
 CHECK_SIZE = {0: 0, 1: 4, 4: 8, 10: 32}
 
 
@@ -41,14 +42,20 @@ def _chain(kind: int, o: dict, p: str) -> dict:
 
 
 def lzma_encode(data: bytes, o: dict) -> bytes:
-    f = _chain(lzma.FILTER_LZMA1, o, "lzma")
-    return lzma.compress(data, lzma.FORMAT_RAW if o["lzma.raw"] else lzma.FORMAT_ALONE, filters=[f])
+    """With lzma.uncompressed_size the header states it; the library writes its end marker all the same."""
+    f, size = _chain(lzma.FILTER_LZMA1, o, "lzma"), o["lzma.uncompressed_size"]
+    if size not in (UNSTATED, len(data)):
+        raise CodecError(INVALID_ARG, "lzma.uncompressed_size differs from the input")
+    out = lzma.compress(data, lzma.FORMAT_RAW if o["lzma.raw"] else lzma.FORMAT_ALONE, filters=[f])
+    return out if o["lzma.raw"] or size == UNSTATED else out[:5] + struct.pack("<Q", size) + out[13:]
 
 
 def lzma_decode(data: bytes, o: dict) -> bytes:
     out, most = bytearray(), o["limits.max_output_bytes"]
     if o["lzma.raw"]:
         z = lzma.LZMADecompressor(lzma.FORMAT_RAW, filters=[_chain(lzma.FILTER_LZMA1, o, "lzma")])
+        if o["lzma.uncompressed_size"] != UNSTATED:
+            return _stated(z, data, o["lzma.uncompressed_size"], most)
     else:
         _window(o, struct.unpack_from("<I", data, 1)[0] if len(data) >= 13 else 0)
         z = lzma.LZMADecompressor(lzma.FORMAT_ALONE)
@@ -56,6 +63,24 @@ def lzma_decode(data: bytes, o: dict) -> bytes:
     return bytes(out)
 
 
+def _stated(z: lzma.LZMADecompressor, data: bytes, size: int, most: int) -> bytes:
+    """The first ``size`` bytes of a stream that need not have an end marker."""
+    if most and size > most:
+        raise CodecError(LIMIT, f"more than {most} bytes of output")
+    out, piece = bytearray(), data
+    while len(out) < size and not z.eof:
+        try:
+            out += z.decompress(piece, size - len(out))
+        except (lzma.LZMAError, EOFError) as e:
+            raise corrupt(str(e)) from e
+        piece = b""
+        if len(out) < size and not z.eof and z.needs_input:
+            break
+    if len(out) < size:
+        raise corrupt("stream is truncated")
+    return bytes(out)
+
+
 def _window(o: dict, size: int) -> None:
     if o["limits.max_window_bytes"] and size > o["limits.max_window_bytes"]:
         raise CodecError(LIMIT, f"a dictionary of {size} bytes")

@@ -142,6 +142,8 @@ def decode(data: bytes, o: dict) -> bytes:
     out = bytearray()
     for at, n in frames if o["zstd.concat"] else frames[:1]:
         head = frame_header(data, at)
+        if o["zstd.dictionary_id"] is not None and head["dictionary_id"] not in (None, o["zstd.dictionary_id"]):
+            raise CodecError(INVALID_ARG, f"the frame names dictionary {head['dictionary_id']}")
         if o["limits.max_window_bytes"] and (head["window_size"] or 0) > max(o["limits.max_window_bytes"], 1024) and head["content_size"] != head["window_size"]:
             raise CodecError(LIMIT, f"a window of {head['window_size']} bytes")
         r = z.ZstdDecompressor(dict_data=z.ZstdCompressionDict(d) if d else None, max_window_size=1 << 31).stream_reader(data[at : at + n])

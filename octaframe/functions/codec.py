@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..catalog import find, methods
-from ..errors import INTERNAL, LIMIT, OK, CodecError
+from ..errors import INTERNAL, OK, CodecError
 
 
 def encode_bytes(data: bytes, method: str, options: dict | None = None) -> bytes:
@@ -173,20 +173,19 @@ def within_ratio(inputs: Column, outputs: Column, ratio: int) -> Column:
     return F.lit(True) if not ratio else (inputs == 0) | (outputs <= inputs.cast("decimal(38,0)") * ratio)
 
 
-def register_functions(spark) -> None:
-    """SQL functions encode_<method>, decode_<method> and try_decode_<method> with default options."""
-    for m in methods():
-        name = m.name
+def _sql_function(fn, method: str):
+    @F.pandas_udf("binary")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda b: None if b is None else fn(b, method))
 
-        def enc(s: pd.Series, name=name) -> pd.Series:
-            return s.map(lambda b: None if b is None else encode_bytes(b, name))
+    return run
 
-        def dec(s: pd.Series, name=name) -> pd.Series:
-            return s.map(lambda b: None if b is None else decode_bytes(b, name))
 
-        enc.__annotations__ = dec.__annotations__ = {"s": pd.Series, "return": pd.Series}
-        spark.udf.register(f"encode_{name}", F.pandas_udf(enc, "binary"))
-        spark.udf.register(f"decode_{name}", F.pandas_udf(dec, "binary"))
+def register_functions(spark) -> None:
+    """SQL functions encode_<method> and decode_<method> with default options."""
+    for m in methods():
+        spark.udf.register(f"encode_{m.name}", _sql_function(encode_bytes, m.name))
+        spark.udf.register(f"decode_{m.name}", _sql_function(decode_bytes, m.name))
 
 
-__all__ = ["LIMIT", "decode", "decode_bytes", "detect", "encode", "encode_bound", "encode_bytes", "peek", "try_decode", "within_output", "within_ratio", "zlib_header"]
+__all__ = ["decode", "decode_bytes", "detect", "encode", "encode_bound", "encode_bytes", "peek", "register_functions", "try_decode", "within_output", "within_ratio", "zlib_header"]

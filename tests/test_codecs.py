@@ -151,3 +151,24 @@ def test_without_the_native_library(monkeypatch):
     assert decode_bytes(packed["lz4"], "lz4") == SHAPES[14][1]
     with pytest.raises(CodecError):
         decode_bytes(encode_bytes(b"abc" * 100, "lz4")[:-2], "lz4")
+
+
+def test_stated_sizes_and_ids():
+    for _, data in SHAPES:
+        packed = encode_bytes(data, "lzma", {"lzma.uncompressed_size": len(data)})
+        assert int.from_bytes(packed[5:13], "little") == len(data) and lzma.decompress(packed, lzma.FORMAT_ALONE) == data
+        raw = encode_bytes(data, "lzma", {"lzma.raw": True})
+        assert decode_bytes(raw, "lzma", {"lzma.raw": True, "lzma.uncompressed_size": len(data)}) == data
+    with pytest.raises(CodecError):
+        encode_bytes(b"abc", "lzma", {"lzma.uncompressed_size": 4})
+    assert encode_bytes(b"abc", "gzip", {"gzip.header_flags": 1})[3] == 1
+
+
+def test_seek_tables_that_lie():
+    z = encode_bytes(b"abc" * 2000, "zstd", {"zstd.seekable": True, "zstd.seekable_frame_size": 1024})
+    assert zstds.read_seek_table(z[:-1]) is None and zstds.read_seek_table(b"") is None
+    for at, value in ((-5, 0x04), (-9, 0xFF)):
+        bad = bytearray(z)
+        bad[at] = value
+        with pytest.raises(CodecError):
+            zstds.read_seek_table(bytes(bad))

@@ -148,3 +148,49 @@ def test_brute_force_of_unoracled_queries(spark):
     assert entry.entry(spark).count() >= 1
     sizes = entry.queries()["dictionary_gain"](spark, "/root/testdata/sf0.001").first()
     assert sizes.dictionary_bytes < sizes.plain_bytes < sizes.raw_bytes
+
+
+def test_sql_functions(spark, blobs):
+    codec.register_functions(spark)
+    frames.register_walks(spark)
+    blobs.createOrReplaceTempView("blobs")
+    got = spark.sql("SELECT id, decode_lz4(encode_lz4(b)) AS x FROM blobs ORDER BY id").collect()
+    assert [r.x if r.x is None else bytes(r.x) for r in got] == VALUES
+    walked = spark.sql("SELECT id, w.kind FROM (SELECT id, encode_zstd(b) AS z FROM blobs) t, LATERAL zstd_walk(t.z) w WHERE w.kind = 'frame'")
+    assert walked.count() == len(VALUES) - 1
+
+
+def test_move_to_front_and_burrows_wheeler(spark):
+    words = ["banana", "a", "mississippi", "zz"]
+    df = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i long, w string")
+    for r in df.select("w", analysis.move_to_front("w").alias("m")).collect():
+        order, want = list(range(256)), []
+        for b in r.w.encode():
+            want.append(order.index(b))
+            order.insert(0, order.pop(want[-1]))
+        assert r.m == want
+    for r in analysis.burrows_wheeler(df, "i", "w").collect():
+        w = words[r.i]
+        turns = sorted((w[k:] + w[:k], k) for k in range(len(w)))
+        assert r.bwt == "".join(t[-1] for t, _ in turns) and turns[r.origin][1] == 0
+
+
+def test_streaming_replay_gives_the_same_frames(spark, tmp_path):
+    from octaframe.streaming import frames as streaming
+
+    schema = "id long, k string, v string"
+    for part in range(3):
+        rows = [(part * 10 + i, "ab"[i % 2], f"m{part}-{i};") for i in range(6)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+
+    def run(name):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+        out = streaming.encode_stream(stream, "k", ["id"], "v")
+        q = out.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / f"{name}-state")).trigger(availableNow=True).start(str(tmp_path / name))
+        q.awaitTermination()
+        return sorted(spark.read.parquet(str(tmp_path / name)).collect())
+
+    one, two = run("one"), run("two")
+    assert one == two and len(one) == 6
+    whole = b"".join(decode_bytes(bytes(r.frame), "zstd") for r in one if r.key == "a")
+    assert zlib.crc32(whole) == [r.running_crc32 for r in one if r.key == "a"][-1] and len(whole) == sum(r.d_len for r in one if r.key == "a")
