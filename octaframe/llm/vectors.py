@@ -314,12 +314,13 @@ def _top(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tupl
 def _accumulated(matrix: np.ndarray, index: _Postings, n: int) -> np.ndarray:
     """Dense scores of sparse query rows: every term scatters its weighted postings."""
     scores = np.zeros((len(matrix), n), dtype=matrix.dtype)
+    one = np.empty_like(scores)
     for t, s, e in zip(index.terms, index.bounds[:-1], index.bounds[1:], strict=True):
         if t >= matrix.shape[1]:
             break
         users = np.flatnonzero(matrix[:, t])
         if len(users) == len(scores) and e - s == n:
-            scores += matrix[:, t, None] * index.weight[s:e]
+            scores += np.multiply(matrix[:, t, None], index.weight[None, s:e], out=one)
         elif len(users):
             scores[users[:, None], index.row[s:e]] += matrix[users, t, None] * index.weight[s:e]
     return scores
@@ -338,7 +339,8 @@ def _searcher(block, k: int):
                 sizes = np.diff(b.column(1).offsets.to_numpy())
                 flat = b.column(1).flatten().to_numpy()
                 top = max((int(np.abs(x).max(initial=0).astype(object)) for x in (matrix, flat)), default=0)
-                exact = object if top * top * max(matrix.shape[1], 1) >= 1 << 62 else np.int64
+                most = top * top * max(matrix.shape[1], 1)
+                exact = np.int32 if most < 1 << 31 else np.int64 if most < 1 << 62 else object
                 index = _Postings(sizes, flat.astype(exact))
                 for q in range(0, len(own), QUERY_TILE):
                     mine = own[q : q + QUERY_TILE]
