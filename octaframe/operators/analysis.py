@@ -126,6 +126,57 @@ def canonical_codes(lengths: DataFrame, keys: list[str]) -> DataFrame:
     return spans.select(*keys, "symbol", "length", (before / F.pow(F.lit(2.0), F.col("_l") - F.col("length"))).cast("long").alias("code"))
 
 
+def limited_lengths(counts: list[int], most: int) -> list[int]:
+    """Lengths of an optimal prefix code of at most ``most`` bits, by package-merge; counts are positive."""
+    n = len(counts)
+    if n > 1 << most:
+        raise ValueError(f"{n} symbols do not fit {most} bits")
+    if n == 1:
+        return [1]
+    leaves = sorted((c, (i,)) for i, c in enumerate(counts))
+    level = leaves
+    for _ in range(most - 1):
+        pairs = [(a[0] + b[0], a[1] + b[1]) for a, b in zip(level[::2], level[1::2], strict=False)]
+        level = sorted(leaves + pairs, key=lambda x: x[0])
+    out = [0] * n
+    for _, symbols in level[: 2 * n - 2]:
+        for i in symbols:
+            out[i] += 1
+    return out
+
+
+def huffman_lengths(histogram: DataFrame, keys: list[str], most: int = 15) -> DataFrame:
+    """keys, byte, n, length of the byte in an optimal prefix code for the group; groups have 256 rows at most."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("byte")
+        return pdf.assign(length=limited_lengths(pdf["n"].tolist(), most))
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in histogram.schema.fields)
+    return histogram.groupBy(*keys).applyInPandas(run, fields + ", length int")
+
+
+def repeated_positions(df: DataFrame, key: str, value: str, k: int = 8, window: int = 32768) -> DataFrame:
+    """key, positions, repeated: places of k bytes, and those whose bytes occurred up to ``window`` bytes before: what a match finder can use."""
+
+    def counts(v) -> tuple[int, int]:
+        x = np.frombuffer(bytes(v), dtype=np.uint8) if v is not None else np.zeros(0, np.uint8)
+        if len(x) < k:
+            return 0, 0
+        rows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(x, k)).view(f"V{k}").ravel()
+        _, same = np.unique(rows, return_inverse=True)
+        order = np.argsort(same, kind="stable")
+        near = (same[order][1:] == same[order][:-1]) & (np.diff(order) <= window)
+        return len(rows), int(near.sum())
+
+    @F.pandas_udf("positions long, repeated long")
+    def run(s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([counts(v) for v in s], columns=["positions", "repeated"])
+
+    got = df.select(key, run(F.col(value).cast("binary")).alias("_r"))
+    return got.select(key, "_r.positions", "_r.repeated")
+
+
 def burrows_wheeler(df: DataFrame, key: str, value: str) -> DataFrame:
     """key, the last column of the sorted rotations of short strings, and the row of the string itself (from 0)."""
     text = F.col(value)

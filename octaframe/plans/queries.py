@@ -191,6 +191,23 @@ def dmer_counts(spark, sf_dir):
     return analysis.dmer_counts(table(spark, sf_dir, "pages"), "html").select(F.hex("dmer").alias("dmer"), "n")
 
 
+@query()
+def huffman_lengths_by_lang(spark, sf_dir):
+    """Lengths of optimal codes of at most 12 bits for the bytes of each language."""
+    return analysis.huffman_lengths(analysis.byte_histogram(table(spark, sf_dir, "documents"), "text", ["lang"]), ["lang"], 12)
+
+
+@query(
+    """WITH h AS (SELECT item_id, hex(encode(text)) AS h FROM benchmark),
+    d AS (SELECT item_id, i, substr(h, CAST(2 * i + 1 AS INTEGER), 16) AS m FROM h, unnest(range(0, greatest(length(h) // 2 - 7, 0))) u(i)),
+    l AS (SELECT item_id, i - lag(i) OVER (PARTITION BY item_id, m ORDER BY i) AS back FROM d)
+    SELECT h.item_id, count(l.item_id) AS positions, count(CASE WHEN back <= 32768 THEN 1 END) AS repeated FROM h LEFT JOIN l ON h.item_id = l.item_id GROUP BY h.item_id"""
+)
+def repeated_windows(spark, sf_dir):
+    """Places in the benchmark texts where a match finder of 8 bytes and 32 KiB finds one."""
+    return analysis.repeated_positions(table(spark, sf_dir, "benchmark"), "item_id", "text")
+
+
 @query(
     """WITH l AS (SELECT p_size AS symbol, CAST(ceil(log2(p.n / c.n)) + 1 AS BIGINT) AS length FROM (SELECT p_size, count(*)::DOUBLE AS n FROM part GROUP BY p_size) c, (SELECT count(*)::DOUBLE AS n FROM part) p)
     SELECT symbol, length, CAST(coalesce(sum(pow(2, m - length)) OVER (ORDER BY length, symbol ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / pow(2, m - length) AS BIGINT) AS code

@@ -194,3 +194,24 @@ def test_streaming_replay_gives_the_same_frames(spark, tmp_path):
     assert one == two and len(one) == 6
     whole = b"".join(decode_bytes(bytes(r.frame), "zstd") for r in one if r.key == "a")
     assert zlib.crc32(whole) == [r.running_crc32 for r in one if r.key == "a"][-1] and len(whole) == sum(r.d_len for r in one if r.key == "a")
+
+
+def test_limited_huffman_lengths():
+    import heapq
+
+    for n, most in ((2, 1), (5, 3), (40, 15), (256, 8), (200, 9)):
+        counts = [R.randrange(1, 2 ** R.randrange(1, 20)) for _ in range(n)]
+        got = analysis.limited_lengths(counts, most)
+        assert max(got) <= most and sum(2.0**-x for x in got) == 1.0
+        heap = list(counts)
+        heapq.heapify(heap)
+        best = 0
+        while len(heap) > 1:
+            heapq.heappush(heap, x := heapq.heappop(heap) + heapq.heappop(heap))
+            best += x
+        cost = sum(c * x for c, x in zip(counts, got))
+        assert cost >= best
+        free = analysis.limited_lengths(counts, 40) if n < 100 else None
+        assert free is None or sum(c * x for c, x in zip(counts, free)) == best
+    with pytest.raises(ValueError):
+        analysis.limited_lengths([1, 1, 1], 1)
