@@ -50,14 +50,13 @@ def brute_pack(sizes, caps):
         fit = [b for b in bins if b[0] >= n]
         if fit:
             room = min(b[0] for b in fit)
-            b = [b for b in fit if b[0] == room][-1] if len([1 for b in fit if b[0] == room]) == 1 else None
-            b = b or max((b for b in fit if b[0] == room), key=lambda b: b[2])
+            b = max((b for b in fit if b[0] == room), key=lambda b: b[2])  # the one touched last
         else:
             cap = min((c for c in caps if c >= n), key=lambda c: (packing.cost(c) / min(c, left), -c))
             bins.append(b := [cap, len(bins), 0, 0])
         b[0] -= n
         b[3] += n
-        b[2] = i if False else len(where)
+        b[2] = len(where)
         where[i] = b[1]
         left -= n
     return [where[i] for i in range(len(sizes))], [min(c for c in caps if c >= b[3]) for b in bins]
