@@ -1,22 +1,79 @@
+from collections import Counter
+
+import duckdb
+import pytest
+
 import corpus_pipeline
-from octaframe.llm import minhash
-
-
-def test_stages_take_effect(spark):
-    sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    names = [n for n, _ in corpus_pipeline.STAGES]
-    assert names == ["toxicity", "line dedup", "near dedup", "mixing", "packing"]
-    before = docs
-    for name, stage in corpus_pipeline.STAGES:
-        after = corpus_pipeline.cut(stage(spark, before, sf), "test")
-        if name != "packing":
-            assert after.dtypes == docs.dtypes
-        if name == "near dedup":
-            kept = {r.doc_id for r in minhash.near_duplicates(before).where("kept").collect()}
-            assert sorted(r.doc_id for r in after.collect()) == sorted(kept)
-        assert 0 < after.count()
-        before = after
+from octaframe.llm import lines, mixing, toxicity
+from tests.llm.test_minhash import brute
+
+SF = "/root/testdata/sf0.001"
+
+
+def in_sql(docs, sql):
+    """Rows of a query over docs as the table documents."""
+    con = duckdb.connect()
+    con.register("rows", docs.toArrow())
+    con.sql("CREATE TABLE documents AS SELECT * FROM rows")
+    return con.sql(sql).fetchall()
+
+
+@pytest.fixture(scope="module")
+def tables(spark):
+    """The input of each stage, and the last result."""
+    out = [spark.read.parquet(f"{SF}/documents.parquet")]
+    for _, stage in corpus_pipeline.STAGES:
+        out.append(corpus_pipeline.cut(stage(spark, out[-1], SF), "test"))
+    return out
+
+
+def test_stages_and_columns(tables):
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line dedup", "near dedup", "mixing", "packing"]
+    assert all(t.dtypes == tables[0].dtypes for t in tables[:5]) and all(t.count() for t in tables)
+
+
+def test_toxic_documents_go(spark, tables):
+    scored = toxicity.score(tables[0], spark.read.parquet(f"{SF}/labels.parquet"))
+    assert sorted(r.doc_id for r in scored.where("predicted = 0").collect()) == sorted(r.doc_id for r in tables[1].collect())
+
+
+def test_recurring_lines_go(tables):
+    want = {}
+    for doc, _, dropped, text in in_sql(tables[1], lines.ORACLE):
+        if not dropped or text.split():
+            want[doc] = text
+    assert {r.doc_id: r.text for r in tables[2].collect()} == want
+    changed = {r.doc_id: r for r in tables[2].collect()}
+    assert all(r.n_chars == len(r.text) for r in changed.values() if r.text != {x.doc_id: x.text for x in tables[1].collect()}[r.doc_id])
+
+
+def test_one_of_each_group_stays(tables):
+    groups = brute([(r.doc_id, r.text) for r in tables[2].collect()])
+    assert sorted(r.doc_id for r in tables[3].collect()) == sorted(i for i, (_, c) in groups.items() if i == c)
+
+
+def test_sources_are_mixed(tables):
+    want = Counter()
+    for doc, size, _, _, taken in in_sql(tables[3], mixing.ORACLE):
+        want[doc] += taken // size if size else 0
+    assert Counter(r.doc_id for r in tables[4].collect()) == +want
+
+
+def test_all_words_are_packed(tables):
+    words, packed = Counter(), Counter()
+    for r in tables[4].collect():
+        words[r.doc_id] += len(r.text.split())
+    fill, caps = Counter(), {}
+    for r in tables[5].collect():
+        packed[r.doc_id] += r.length
+        fill[r.bin_id] += r.length
+        caps[r.bin_id] = r.capacity
+    assert packed == words and all(fill[b] <= caps[b] for b in caps)
+
+
+def test_run_gives_the_rows_of_the_stages(spark, tables):
+    key = lambda df: sorted((r.doc_id, r.piece, r.length) for r in df.collect())
+    assert key(corpus_pipeline.run(spark, SF)) == key(tables[5])
 
 
 def test_repeated_rows_stay_once(spark):
