@@ -44,7 +44,7 @@ _KNOWN: dict[str, int] = {}
 
 
 def _hashes(words: list[str]) -> np.ndarray:
-    if len(_KNOWN) > 200_000:
+    if len(_KNOWN) > 100_000:
         _KNOWN.clear()
     known, out = _KNOWN, []
     for w in words:

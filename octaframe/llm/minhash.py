@@ -38,7 +38,7 @@ BITS = 512
 #: Pairs below this estimate are not confirmed: over four standard deviations under 0.75.
 LEAST_ESTIMATE = 0.60
 #: Members of a bucket whose sketches are compared in one unit, and members of a cluster whose sets are.
-BLOCK, SETS = 2048, 256
+BLOCK, SETS = 2048, 128
 #: Pairs, and shingles, that are held at once.
 PIECE, TERMS = 1 << 18, 1 << 13
 #: Buckets up to this size share units.
@@ -61,7 +61,7 @@ def _words(text: str | None) -> list[bytes]:
 
 
 def _hashes(words: list[bytes]) -> np.ndarray:
-    if len(_KNOWN) > 200_000:
+    if len(_KNOWN) > 100_000:
         _KNOWN.clear()
     known, out = _KNOWN, []
     for w in words:

@@ -35,7 +35,7 @@ LEAST_TOXIC = 2
 #: Expressions in a window.
 WINDOW = 8
 #: Tokens that are counted at once.
-PIECE = 1 << 20
+PIECE = 1 << 19
 _TOKEN = re.compile(r"\w+")
 _KNOWN: dict[str, int] = {}
 
@@ -46,7 +46,7 @@ def fold(id_col: Column) -> Column:
 
 def _word_hashes(text: str | None) -> np.ndarray:
     words = _TOKEN.findall(text.lower()) if text else []
-    if len(_KNOWN) > 200_000:
+    if len(_KNOWN) > 100_000:
         _KNOWN.clear()
     known, out = _KNOWN, []
     for w in words:
