@@ -139,6 +139,35 @@ def test_dictionary_helps(spark):
     assert dictionary.train(df.limit(0), "b") == b""
 
 
+def greedy_dictionary(values, capacity, segment, d):
+    """The best segment of all again and again, scored by the repeated d-mers that are not covered."""
+    counts = Counter(v[i : i + d] for v in values for i in range(len(v) - d + 1))
+    counts = {k: n for k, n in counts.items() if n > 1}
+    own = {s: {s[i : i + d] for i in range(len(s) - d + 1)} for v in values for s in (v[at : at + segment] for at in range(0, len(v), segment))}
+    score = lambda s: sum(counts.get(x, 0) for x in own[s])
+    left, out = sorted(own, key=lambda s: (-score(s), s)), b""
+    while len(out) < capacity and (best := max(left, key=score)) and score(best):
+        out = best[: capacity - len(out)] + out
+        for x in own[best]:
+            counts.pop(x, None)
+    return out
+
+
+@pytest.mark.parametrize("d", [6, 8])
+def test_dictionary_keeps_content_behind_boilerplate(spark, d):
+    r = random.Random(5)
+    text = lambda n: bytes(r.randrange(97, 123) for _ in range(n))
+    boilerplate, others = text(60), [text(64) for _ in range(6)]
+    values = [boilerplate + text(4) for _ in range(300)] + [x for x in others for _ in range(3)]
+    df = spark.createDataFrame([(bytearray(x),) for x in [*values, b"", b"abc"]] + [(None,)], "b binary").repartition(3)
+    trained = dictionary.train(df, "b", 512, 64, d)
+    assert all(x in trained for x in [boilerplate, *others])
+    assert trained == greedy_dictionary(values, 512, 64, d)
+    long = [text(150) * 2 + text(9) for _ in range(40)]
+    df = spark.createDataFrame([(bytearray(x),) for x in long], "b binary")
+    assert dictionary.train(df, "b", 1000, 64, d) == greedy_dictionary(long, 1000, 64, d)
+
+
 def test_brute_force_of_unoracled_queries(spark):
     import __spark_entry__ as entry
 
