@@ -1,12 +1,14 @@
 """Line dedup by a log-template tree of fixed depth.
 
-A line is a sequence of tokens; tokens with digits are variable at once.  The
-tree has the token count on its first level and the leading tokens below; a
+A line is a sequence of tokens; tokens with digits are variable at once, if the
+other tokens are most of the line.  A line of which they are not (a row of a
+table, scores, dates) is in no leaf and is its own template, digits and all.
+The tree has the token count on its first level and the leading tokens below; a
 leaf is thus known from the line alone.  In a leaf with several different
 lines, a token that few of them have at its position is variable too, if the
-tokens that stay are most of the line.  What is left is the line's template.
-Templates that recur across documents are dropped, but for the document of
-smallest id that has them.
+tokens that stay, those with digits not among them, are most of the line.  What
+is left is the line's template.  Templates that recur across documents are
+dropped, but for the document of smallest id that has them.
 
 Lines travel as hashes.  Support is counted by (leaf, position, token), never
 gathered by leaf, so a leaf of any size is spread out.
@@ -21,43 +23,49 @@ from .common import broadcast_if_small, cut, positional
 
 LEADING = 3
 VARIABLE = "<*>"
+WITH_DIGITS = "[^ ]*[0-9][^ ]*"
 #: Different lines of a leaf that must share a token at a position for it to stay; share of tokens that must stay.
 SUPPORT, STAY = 3, 0.7
 #: Documents in which a template must recur: long lines, and others.
 LONG_LINE, LONG_DOCS, OTHER_DOCS = 50, 2, 3
 
 
-def _masked(line: Column) -> Column:
-    """Tokens joined by single spaces, those with digits variable.  The costly patterns run on the lines that need them."""
+def _spaced(line: Column) -> Column:
+    """Tokens joined by single spaces.  The costly pattern runs on the lines that need it."""
     odd = line.rlike(r"[\x09-\x0D]|\x20\x20")
-    plain = F.trim(F.when(odd, F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")).otherwise(line))
-    return F.when(line.rlike("[0-9]"), F.regexp_replace(plain, "[^ ]*[0-9][^ ]*", VARIABLE)).otherwise(plain)
+    return F.trim(F.when(odd, F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")).otherwise(line))
 
 
 def _lined(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Lines that are not blank: id, text hash, position, masked line, its tokens, its hashes, leaf."""
+    """Lines that are not blank: id, text hash, position, masked line, its tokens, its hashes, leaf; lines mostly of digits are not masked and have no leaf."""
     rows = docs.select(
         F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("_pos", "_line")
     )
-    rows = rows.select("_id", "_th", "_pos", _masked(F.col("_line")).alias("_m")).where("_m <> ''")
+    rows = rows.select("_id", "_th", "_pos", _spaced(F.col("_line")).alias("_m")).where("_m <> ''")
     length = F.length("_m") - F.length(F.replace("_m", F.lit(" "), F.lit(""))) + 1
-    leaf = F.xxhash64(length, F.substring_index("_m", " ", LEADING))
-    return rows.select("_id", "_th", "_pos", "_m", length.alias("_len"), F.xxhash64("_m").alias("_h"), F.hash("_m").alias("_g"), leaf.alias("_leaf"))
+    digits = F.when(F.col("_m").rlike("[0-9]"), F.regexp_count("_m", F.lit(WITH_DIGITS))).otherwise(0)
+    rows = rows.select("_id", "_th", "_pos", "_m", length.alias("_len"), digits.alias("_digits"))
+    most = F.col("_len") - F.col("_digits") >= STAY * F.col("_len")
+    masked = F.when(most & (F.col("_digits") > 0), F.regexp_replace("_m", WITH_DIGITS, VARIABLE)).otherwise(F.col("_m"))
+    rows = rows.select("_id", "_th", "_pos", masked.alias("_m"), "_len", most.alias("_most"))
+    leaf = F.when(F.col("_most"), F.xxhash64("_len", F.substring_index("_m", " ", LEADING)))
+    return rows.select("_id", "_th", "_pos", "_m", "_len", F.xxhash64("_m").alias("_h"), F.hash("_m").alias("_g"), leaf.alias("_leaf"))
 
 
 def _templates(lines: DataFrame, lined: DataFrame) -> DataFrame:
     """(_h, _g) of lines that a leaf generalises -> hashes of the template."""
-    different = lines.select("_leaf", "_h", "_g").distinct()
+    different = lines.where("_leaf is not null").select("_leaf", "_h", "_g").distinct()
     several = cut(different.groupBy("_leaf").agg(F.count("*").alias("_k")).where(F.col("_k") >= SUPPORT).select("_leaf"), "line-leaves")
     some = lined.join(broadcast_if_small(several.withColumnRenamed("_leaf", "_l2"), 1_000_000), F.col("_leaf") == F.col("_l2"), "left_semi")
     some = cut(some.select("_leaf", "_h", "_g", "_m").distinct(), "line-several")
     some = some.select("_leaf", "_h", "_g", F.split("_m", " ", -1).alias("_t"))
-    spread = some.select("_leaf", "_h", "_g", F.posexplode("_t").alias("_p", "_w"))
+    spread = some.select("_leaf", "_h", "_g", F.posexplode("_t").alias("_p", "_w")).where(F.col("_w") != VARIABLE)
     support = spread.groupBy("_leaf", "_p", "_w").agg(F.count("*").alias("_n")).where(F.col("_n") >= SUPPORT)
     stays = spread.join(cut(support.select("_leaf", "_p", "_w"), "line-support"), ["_leaf", "_p", "_w"], "left_semi")
     kept = stays.groupBy("_leaf", "_h", "_g").agg(F.collect_set("_p").alias("_keep"))
     found = some.join(kept, ["_leaf", "_h", "_g"])
-    found = found.where((F.size("_keep") >= STAY * F.size("_t")) & (F.size("_keep") < F.size("_t")))
+    more = F.size("_keep") < F.size(F.filter("_t", lambda t: t != VARIABLE))
+    found = found.where((F.size("_keep") >= STAY * F.size("_t")) & more)
     template = F.array_join(F.transform("_t", lambda t, i: F.when(F.array_contains("_keep", i), t).otherwise(VARIABLE)), " ")
     return cut(found.select(F.col("_h").alias("_fh"), F.col("_g").alias("_fg"), F.xxhash64(template).alias("_xh"), F.hash(template).alias("_xg")), "line-templates")
 
