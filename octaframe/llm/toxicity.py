@@ -29,8 +29,8 @@ from .common import broadcast_if_small, cut, positional, small_batches
 FOLDS = 5
 #: Folds (of crc32 of the id) that are counted, and the one on which the curve is fitted; fold 0 is held out.
 COUNT_FOLDS, FIT_FOLD = (1, 2, 3), 4
-#: Bounds of the labelled rows that are used: for the counts, and for the curve.
-MAX_COUNTED, MAX_FITTED = 1_000_000, 50_000
+#: Bound of the labelled rows that fit the curve; all others are counted.
+MAX_FITTED = 50_000
 LEAST_TOXIC = 2
 #: Expressions in a window.
 WINDOW = 8
@@ -192,8 +192,8 @@ def score(
     """Columns ``keep`` of docs (all, if none are named) with held_out, score, predicted, mean, peak.
 
     Learns from the rows of labels whose fold (crc32 of the id as text, mod 5) is
-    not 0; of these, at most about MAX_COUNTED are counted and MAX_FITTED fit the
-    curve, chosen by a hash.  If an id has several labels the highest holds; null
+    not 0; of these, all of the folds COUNT_FOLDS are counted, and at most about
+    MAX_FITTED of the others, chosen by a hash, fit the curve.  If an id has several labels the highest holds; null
     labels and ids are ignored.  A text that is null, empty or without words gets
     the score of no evidence.  A null id is not held out.  Without labels of both
     classes every score is that of the base rate (0.0 without labels).  Columns
@@ -205,10 +205,9 @@ def score(
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     known = known.groupBy(F.col(id_col).alias("_l")).agg(F.max(label_col).cast("int").alias("_toxic"))
     known = cut(known.withColumn("_f", fold(F.col("_l"))).where("_f <> 0"), "tox-labels")
-    n_count, n_fit = (known.where(F.col("_f").isin(*f)).count() for f in (COUNT_FOLDS, (FIT_FOLD,)))
+    n_fit = known.where(F.col("_f") == FIT_FOLD).count()
     share = F.pmod(F.xxhash64("_l"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = F.when(F.col("_f") == FIT_FOLD, share < MAX_FITTED / max(n_fit, 1)).otherwise(share < MAX_COUNTED / max(n_count, 1))
-    known = cut(known.where(chosen), "tox-known")
+    known = cut(known.where((F.col("_f") != FIT_FOLD) | (share < MAX_FITTED / max(n_fit, 1))), "tox-known")
     docs, names = positional(docs)
     id_col, text_col, keep = names[id_col], names[text_col], [names[c] for c in kept]
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))

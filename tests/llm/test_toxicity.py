@@ -44,6 +44,16 @@ def test_labels_of_held_out_rows_do_not_matter(spark):
     assert sorted((r.doc_id, round(r.score, 9)) for r in a.collect()) == sorted((r.doc_id, round(r.score, 9)) for r in b.collect())
 
 
+def test_all_labelled_rows_are_counted(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_COUNTED", 100, raising=False)
+    rows, labels = corpus(600)
+    seen, counts = [], toxicity._counts
+    monkeypatch.setattr(toxicity, "_counts", lambda some: seen.append(some.count()) or counts(some))
+    docs, known = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, LABELS)
+    toxicity.score(docs, known, keep=["doc_id"])
+    assert seen == [known.where(toxicity.fold(known.doc_id).isin(*toxicity.COUNT_FOLDS)).count()]
+
+
 def test_no_labels_and_empty(spark):
     docs = spark.createDataFrame([(1, "a b", "x")], DOCS)
     none = spark.createDataFrame([], LABELS)
