@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import cut
 
 MAX_ROUNDS = 60
-#: Links that one task contracts.
+#: Links that one task contracts; a star of more is dealt over several tasks.
 PIECE = 500_000
 
 
@@ -73,7 +73,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     ordered = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "cc-links")
     pieces = max(1, -(-ordered.count() // PIECE))
-    dealt = ordered.repartition(1) if pieces == 1 else ordered.repartition(pieces, "a")
+    dealt = ordered.repartition(1) if pieces == 1 else ordered.repartition(pieces, "a", "b")
     now = cut(dealt.mapInArrow(_contract, "a long, b long"), "cc-edges")
     if pieces > 1:
         now = _rounds(now.distinct())

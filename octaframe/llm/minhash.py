@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, cut, small_batches
@@ -37,8 +37,10 @@ SAMPLES = BANDS * ROWS
 BITS = 512
 #: Pairs below this estimate are not confirmed: over four standard deviations under 0.75.
 LEAST_ESTIMATE = 0.60
-#: Members of a bucket whose sketches are compared in one unit, and members of a cluster whose sets are.
-BLOCK, SETS = 2048, 128
+#: Members of a bucket whose sketches are compared in one unit, about, and members of a cluster whose sets are.
+BLOCK, SETS = 1024, 128
+#: Rows of small buckets that share a unit, about, and partners of a class that are confirmed in one group of rows.
+SHARED, PARTNERS = 1024, 256
 #: Pairs, and shingles, that are held at once.
 PIECE, TERMS = 1 << 18, 1 << 13
 #: Buckets up to this size share units.
@@ -67,7 +69,9 @@ def _hashes(words: list[bytes]) -> np.ndarray:
     for w in words:
         h = known.get(w)
         if h is None:
-            h = known[w] = xxhash.xxh64_intdigest(w)
+            h = xxhash.xxh64_intdigest(w)
+            if len(w) <= 64:  # so that the memory of what is known is bounded
+                known[w] = h
         out.append(h)
     return np.array(out, dtype=np.uint64)
 
@@ -287,11 +291,14 @@ def _texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
-    """pairs (a, b) that hold on the full sets."""
+    """pairs (a, b), b different in all, that hold on the full sets; the partners of a class a are dealt out in parts."""
     mine = _texts_of(texts, pairs.select("a").union(pairs.select("b")))
-    ta = mine.select(F.col("_id").alias("a"), F.col("_text").alias("ta"))
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).alias("parts"))
+    ta = mine.join(parts, F.col("_id") == F.col("a")).select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("_text").alias("ta"))
     tb = mine.select(F.col("_id").alias("b"), F.col("_text").alias("tb"))
-    full = pairs.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb")
+    dealt = pairs.join(broadcast_if_small(cut(parts.where("parts > 1"), name + "-many"), 1_000_000), "a", "left")
+    dealt = dealt.select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).alias("part"))
+    full = dealt.join(tb, "b").join(ta, ["a", "part"]).select("a", "b", "ta", "tb")
     return cut(full.mapInArrow(_confirm, "a long, b long"), name + "-links")
 
 
@@ -300,13 +307,23 @@ def _within_clusters(clusters: DataFrame, comp: DataFrame, reps: DataFrame, text
 
     clusters: (id, component) of components; comp: (id, component) of classes.
     Members are put into blocks by component, so that blocks that hold one
-    component alone are never compared with each other.
+    component alone are never compared with each other: a component of more
+    than SETS members has blocks of its own, others share blocks, dealt by hash.
     """
     ids = reps.select(F.col("id").alias("rid")).distinct()
     named = ids.join(comp, F.col("rid") == F.col("id"), "left").select("rid", F.coalesce("component", "rid").alias("comp"))
     named = named.join(clusters.select(F.col("id").alias("c"), F.col("component").alias("cluster")), F.col("comp") == F.col("c")).drop("c")
-    rank = F.row_number().over(Window.partitionBy("cluster").orderBy("comp", "rid"))
-    placed = cut(named.withColumn("block", F.floor((rank - 1) / SETS)), "mh-clusters")
+    named = cut(named, "mh-clusters")
+    sizes = cut(named.groupBy("cluster", "comp").agg(F.count("*").alias("m")), "mh-sizes")
+    large = F.col("m") > SETS
+    totals = sizes.groupBy(F.col("cluster").alias("k")).agg(F.ceil(F.sum(F.when(~large, F.col("m")).otherwise(0)) / SETS).alias("few"))
+    many = broadcast_if_small(cut(sizes.where(large).select(F.col("comp").alias("c2"), "m"), "mh-large"), 1_000_000)
+    totals = broadcast_if_small(cut(totals, "mh-totals"), 1_000_000)
+    # Components have ids of their own, so a hash of the component and the part tells the block of a large one.
+    own = F.xxhash64("comp", F.pmod(F.xxhash64("rid"), F.ceil(F.col("m") / SETS)))
+    placed = named.join(many, F.col("comp") == F.col("c2"), "left").join(totals, F.col("cluster") == F.col("k"))
+    placed = placed.withColumn("block", F.when(F.col("m").isNotNull(), own).otherwise(F.pmod(F.xxhash64("comp", F.lit(5)), F.greatest(F.col("few"), F.lit(1)))))
+    placed = cut(placed.select("rid", "comp", "cluster", "block"), "mh-placed")
     blocks = placed.groupBy("cluster", "block").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"))
     blocks = cut(blocks, "mh-blocks")
     others = blocks.select(F.col("cluster").alias("k"), F.col("block").alias("block2"), F.col("c0").alias("d0"), F.col("c1").alias("d1"))
@@ -325,7 +342,10 @@ def _within_clusters(clusters: DataFrame, comp: DataFrame, reps: DataFrame, text
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id, kept.
 
-    Ids are of type long.  Texts that are null, empty or without words have an
+    Ids are of type long, anywhere in its range (others are cast; an id that is
+    no number counts as null).  Equal sketches are taken in the order of ids.
+    Whole texts of any length count.  Other columns of docs are not looked at,
+    whatever their names.  Texts that are null, empty or without words have an
     empty set and are linked with nothing.  Texts of fewer words than a shingle
     are one shingle.  Rows of one id are one node: their links are joined.  A
     null id is linked with nothing, has a null component_id and is kept.  An
@@ -333,7 +353,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     small_batches(spark)
-    slim = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    slim = docs.select(F.col(id_col).try_cast("long").alias("_id"), F.col(text_col).alias("_text"))
     sigs = cut(slim.mapInArrow(_signatures, SIGNATURE), "mh-signatures")
     sets = sigs.where("same is not null and _id is not null")
     classes = cut(sets.groupBy("same").agg(F.min("_id").alias("rep")), "mh-classes")
@@ -348,20 +368,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = cut(banded.join(shared, "key").select("key", "id"), "mh-members")
     drawn = reps.select(F.col("id").alias("sid"), "sketch")
 
-    # Small buckets share units; large ones are dealt out over several by the order of ids.
-    counts = members.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"))
+    # Small buckets share units; large ones are dealt out over several by a hash of the id.
+    counts = members.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lo"))
     wide = broadcast_if_small(cut(counts.where(F.col("n") > SMALL), "mh-wide"))
     placed = members.join(wide, "key", "left")
-    share = (F.col("id") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1)
-    shared_units = max(1, members.count() // 4096)
+    shared_units = max(1, members.count() // SHARED)
     placed = placed.select(
         F.coalesce(F.when(F.col("n").isNotNull(), F.col("key")), F.pmod(F.xxhash64("key"), F.lit(shared_units))).alias("g"),
-        F.coalesce(F.floor(share * F.ceil(F.col("n") / BLOCK)), F.lit(-1)).cast("long").alias("unit"),
+        F.coalesce(F.pmod(F.xxhash64("id", F.lit(3)), F.ceil(F.col("n") / BLOCK)), F.lit(-1)).cast("long").alias("unit"),
         "key",
         "id",
     )
     # The smallest id of a wide bucket joins every unit, so that units hang together.
-    heads = placed.where("unit > 0").select("g", "unit", "key").distinct().join(wide.select("key", "lo"), "key")
+    heads = placed.where("unit >= 0").select("g", "unit", "key").distinct().join(wide, "key")
+    heads = heads.where(F.col("unit") != F.pmod(F.xxhash64("lo", F.lit(3)), F.ceil(F.col("n") / BLOCK)))
     placed = placed.union(heads.select("g", "unit", "key", F.col("lo").alias("id")))
     loaded = placed.join(drawn, F.col("id") == F.col("sid")).drop("sid")
     best = loaded.groupBy("g", "unit").applyInArrow(_best_earlier, PAIRS)
@@ -374,19 +394,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     named = members.join(comp.withColumnRenamed("id", "cid"), F.col("id") == F.col("cid"), "left")
     named = cut(named.select("key", "id", F.coalesce("component", "id").alias("comp")), "mh-named")
-    torn = named.groupBy("key").agg(
-        F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")
-    )
-    torn = cut(torn.where("c0 < c1").select("key", "n", "lo", "hi"), "mh-torn")
+    torn = named.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("n"))
+    torn = cut(torn.where("c0 < c1").select("key", "n"), "mh-torn")
     open_ = named.join(torn, "key")
+    open_rows = torn.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     blocks = F.ceil(F.col("n") / BLOCK)
-    place = F.floor((F.col("id") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1) * blocks)
+    place = F.pmod(F.xxhash64("id", F.lit(3)), blocks)
     # A unit is a pair of blocks; side tells the one of a member, 0 within one block.
     other = F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
     open_ = open_.select("key", "n", "id", "comp", place.alias("at"), other.alias("with"))
     small = F.col("n") <= SMALL
     open_ = open_.select(
-        F.when(small, F.pmod(F.xxhash64("key"), F.lit(max(1, torn.count() // 512)))).otherwise(F.col("key")).alias("g"),
+        F.when(small, F.pmod(F.xxhash64("key"), F.lit(max(1, open_rows // SHARED)))).otherwise(F.col("key")).alias("g"),
         F.when(small, -1).otherwise(F.least("at", "with")).alias("u0"),
         F.greatest("at", "with").alias("u1"),
         F.signum(F.col("at") - F.col("with")).cast("int").alias("side"),

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from octaframe.llm import components as components_module
 from octaframe.llm import minhash
@@ -105,3 +106,64 @@ def test_components(spark, monkeypatch, piece):
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     want = {i: 0 for i in range(51)} | {100: 0, 200: 200, 201: 200} | {1000 + k: 1000 for k in range(300)}
     assert got == want
+
+
+@pytest.mark.parametrize("ids", ["hashed", "outlier"])
+def test_ids_of_any_spread(spark, monkeypatch, ids):
+    """Copies of one text with a few edits, under ids all over the range of a long, or close ones and one far away."""
+    rng = random.Random(8)
+    n = 400 if ids == "hashed" else 3000
+    names = [rng.randrange(-(1 << 63), 1 << 63) for _ in range(n)] if ids == "hashed" else [-(1 << 62), *range(1 << 61, (1 << 61) + n - 1)]
+    base = [f"w{k}" for k in range(90)]
+    texts = []
+    for _ in range(n):
+        text = list(base)
+        for _ in range(rng.randrange(4)):
+            text[rng.randrange(90)] = f"x{rng.random()}"
+        texts.append(text)
+    monkeypatch.setattr(minhash, "BLOCK", 64)
+    docs = spark.createDataFrame([(i, " ".join(t), None) for i, t in zip(names, texts)], SCHEMA)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()}
+    # All sets against all others, by one product of matrices over the shingles that several texts have.
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in texts]
+    counts = {}
+    for x in sets:
+        for t in x:
+            counts[t] = counts.get(t, 0) + 1
+    place = {t: k for k, t in enumerate(t for t, c in counts.items() if c > 1)}
+    m = np.zeros((n, len(place)), np.float32)
+    for i, x in enumerate(sets):
+        m[i, [place[t] for t in x if t in place]] = 1
+    size = np.array([len(x) for x in sets])
+    rank = np.argsort(np.argsort(names))
+    by = np.argsort(names)
+    label = rank.copy()
+    links = []
+    for at in range(0, n, 500):
+        common = m[at : at + 500] @ m.T
+        i, j = np.nonzero(100 * common >= 75 * (size[at : at + 500, None] + size[None, :] - common))
+        links.append((i + at, j))
+    i, j = (np.concatenate(x) for x in zip(*links))
+    while True:
+        low = label.copy()
+        np.minimum.at(low, i, label[j])
+        if (low == label).all():
+            break
+        label = low
+    assert got == {names[k]: names[by[label[k]]] for k in range(n)}
+
+
+def test_units_of_wide_buckets_are_even(spark):
+    """The place of a member depends on a hash: an outlier or a run of ids does not fill one unit."""
+    n = 40_000
+    ids = spark.range(n).select(F.when(F.col("id") == 0, F.lit(-(1 << 63))).otherwise(F.col("id")).alias("id"))
+    units = -(-n // minhash.BLOCK)
+    got = ids.groupBy(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(units))).count().agg(F.max("count")).first()[0]
+    assert got < 2 * minhash.BLOCK
+
+
+def test_texts_of_no_number_ids_and_clashing_columns(spark):
+    long = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([("7", long, 1), ("x", long, 2), ("9", long, 3)], "_id string, text string, component_id long")
+    got = sorted(map(tuple, minhash.near_duplicates(docs, id_col="_id").collect()), key=str)
+    assert got == sorted([(7, 36, 7, True), (None, 36, None, True), (9, 36, 7, False)], key=str)
