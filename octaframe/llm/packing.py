@@ -5,7 +5,8 @@ first, into the open sequence with the least room that takes them.  Where none
 does, the length is opened whose cost for what it will hold, given what is
 still to come, is least.  At the end every sequence shrinks to the shortest
 permitted length that takes its contents.  Documents are dealt out by a hash
-into shards of bounded size, each packed on its own.
+into shards of bounded size, each packed on its own; copies of a row are dealt
+out in lots, so that many of them do not fill one shard.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 from .common import cut, word_count
 
 CAPACITIES = (256, 512, 1024, 2048, 4096, 8192)
-#: Documents of a shard: large enough for a good fit, small enough for one task.
-SHARD = 20_000
+#: Documents of a shard: large enough for a good fit, small enough for one task; and copies of one that go together.
+SHARD, LOT = 20_000, 500
 
 
 def cost(capacity: int) -> float:
@@ -72,6 +73,7 @@ def _packer(capacities: tuple[int, ...]):
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by([("_id", "ascending"), ("_n", "ascending")])
+        t = t.take(pa.array(np.repeat(np.arange(t.num_rows), t["_k"].to_numpy())))
         size = t["_n"].to_numpy()
         count = np.maximum(-(-size // top), 1)
         row = np.repeat(np.arange(len(size)), count)
@@ -102,11 +104,17 @@ def best_fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
     Documents of more words than the largest capacity are cut into pieces of that
     size and a rest; no word is lost.  Texts that are null, empty or without
     words give one piece of length 0 in no sequence.  Repeated rows are packed
-    each, as are rows with a null id.  An empty table gives an empty result.
+    each, as are rows with a null id.  Of equal sizes the smaller id goes first.
+    Other columns are not looked at; where the id's name is that of a result, the
+    result's name gets an underscore.  An empty table gives an empty result.
     """
     kind = dict(docs.dtypes)[id_col]
     sized = cut(docs.select(F.col(id_col).alias("_id"), word_count(F.col(text_col)).alias("_n")), "pack-sizes")
     shards = max(1, -(-sized.count() // SHARD))
-    dealt = sized.withColumn("_shard", F.pmod(F.xxhash64("_id", "_n", F.lit(11)), F.lit(shards)))
+    lots = sized.groupBy("_id", "_n").agg(F.count("*").alias("_all"))
+    last = F.floor((F.col("_all") - 1) / LOT)
+    lots = lots.withColumn("_lot", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    lots = lots.withColumn("_k", F.least(F.lit(LOT).cast("long"), F.col("_all") - F.col("_lot") * LOT))
+    dealt = lots.select("_id", "_n", "_k", F.pmod(F.xxhash64("_id", "_n", "_lot", F.lit(11)), F.lit(shards)).alias("_shard"))
     packed = dealt.groupBy("_shard").applyInArrow(_packer(tuple(capacities)), f"_id {kind}, {PACKED}")
-    return packed.withColumnRenamed("_id", id_col)
+    return packed.toDF(id_col, *(c + "_" if c == id_col else c for c in packed.columns[1:]))

@@ -1,3 +1,7 @@
+import random
+import re
+import time
+
 import numpy as np
 
 from octaframe.llm import licenses, lines, packing
@@ -114,3 +118,79 @@ def test_alignment_with_edits():
     assert (name, matched) == ("t", 38) and coverage == 0.95
     assert " ".join(edited)[start:end].split()[0] == "w0" and " ".join(edited)[start:end].endswith("w39")
     assert index.scan(" ".join(words[:25])) == []
+
+
+def test_every_occurrence_is_reported():
+    index = licenses.Index(licenses.TEMPLATES)
+    spans = lambda text: [(m[0], m[3], m[4]) for m in index.scan(text)]
+    assert spans("All rights reserved. All rights reserved.") == [("proprietary", 0, 19), ("proprietary", 21, 40)]
+    assert [m[0] for m in index.scan("Released under an MIT License")] == ["MIT"]
+    assert [m[0] for m in index.scan("This work is licensed under the GNU General Public License, version 2")] == ["GPL-2.0"]
+    assert all([m[0] for m in index.scan(text)] == [name] for name, text in licenses.TEMPLATES.items())
+    took = []
+    for n in (5_000, 20_000):
+        began = time.time()
+        assert len(index.scan("Licensed under the Apache License, version 2.0! " * n)) == n
+        took.append(time.time() - began)
+    assert took[1] < 16 * took[0]  # four times the text; quadratic work would be beyond
+
+
+def common(a, b):
+    """Length of the longest common subsequence."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], last + 1 if x == y else max(row[j + 1], row[j])
+    return row[-1]
+
+
+def test_scan_against_brute_force():
+    """Planted notices, copied, repeated and edited: all are found where they are, and what is reported holds."""
+    rng = random.Random(11)
+    index = licenses.Index(licenses.TEMPLATES)
+    tokens = lambda text: re.findall(r"\w+", text.lower())
+    for _ in range(60):
+        parts, planted = [], []
+        for _ in range(rng.randrange(1, 7)):
+            if rng.random() < 0.7:
+                parts.append(" ".join(f"f{rng.randrange(50)}" for _ in range(rng.randrange(8, 30))))
+            name = rng.choice(sorted(licenses.TEMPLATES))
+            words = licenses.TEMPLATES[name].split()
+            edits = 0 if len(words) < 8 else rng.randrange(1 + len(words) // 20)
+            for k in rng.sample(range(2, len(words) - 2), edits) if edits else ():
+                words[k] = f"edit{k}"
+            at = sum(len(p) + 1 for p in parts)
+            parts.append(" ".join(words))
+            planted.append((name, at, at + len(parts[-1])))
+        text = " ".join(parts)
+        got = index.scan(text)
+        assert all(a[4] <= b[3] for a, b in zip(got, got[1:]))
+        for name, coverage, matched, start, end in got:
+            want = tokens(licenses.TEMPLATES[name])
+            assert matched <= common(want, tokens(text[start:end])) and coverage == matched / len(want) >= licenses.LEAST_COVERAGE
+        for name, start, end in planted:
+            over = [m for m in got if m[3] < end and m[4] > start]
+            assert over, (name, text[start:end])
+            own = len(tokens(licenses.TEMPLATES[name]))
+            assert any(m[0] == name or m[2] >= LEAST * own for m in over), (name, over)
+
+
+LEAST = 0.8
+
+
+def test_license_names_may_clash(spark):
+    docs = spark.createDataFrame([("All rights reserved", "a", 5)], "text string, license string, start int")
+    got = licenses.scan(docs, id_col="license")
+    assert got.columns == ["license", "license_", "coverage", "matched", "start", "end"] and got.first()[:2] == ("a", "proprietary")
+
+
+def test_copies_of_a_row_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD", 1000)
+    docs = spark.range(9000).selectExpr("1L as piece", "'a b c' as text", "id as bin_id")
+    got = packing.best_fit(docs, id_col="piece")
+    assert got.columns == ["piece", "piece_", "start", "length", "bin_id", "capacity", "offset"]
+    rows = got.collect()
+    shards = np.bincount([r.bin_id >> 32 for r in rows])
+    assert len(rows) == 9000 and len(shards) > 5 and shards.max() < 4000
+    assert sorted({(r.bin_id, r.offset) for r in rows}) == sorted((r.bin_id, r.offset) for r in rows)
