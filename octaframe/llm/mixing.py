@@ -9,7 +9,9 @@ the rest of the source's words is reached: a sample of fixed size in words.
 
 No sort runs over a source.  Ranks are bucketed, bucket sums find the one
 bucket in which the cut falls, and only this bucket is ordered.  The result is
-one cut per source, so that documents are decided where they stand.
+one cut per source, so that documents are decided where they stand.  Sources
+themselves may be many, such as one for each site: what runs over all of them in
+an order runs over ranges of that order, and then over the sums of ranges.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import broadcast_if_small, cut, positional, word_count
 
 RANK_BUCKETS = 4096
+#: Sources of a range of their order, about.
+RANGE = 50_000
 
 
 def waterfill(df: DataFrame, part: list[str], tie: str, weight: str, cap: str, total: str, out: str) -> DataFrame:
@@ -39,6 +43,19 @@ def waterfill(df: DataFrame, part: list[str], tie: str, weight: str, cap: str, t
     return df.withColumn(out, F.least(F.col(cap), F.col("_level") * F.col(weight))).drop("_level")
 
 
+def _running(df: DataFrame, order: list, sums: dict[str, Column], parts: int, name: str) -> DataFrame:
+    """Add for each of ``sums`` its total over the rows before, in an order that tells all rows apart."""
+    ranged = df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
+    ranged = cut(ranged, name)
+    before = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = ranged.withColumns({n: F.coalesce(F.sum(c).over(before), F.lit(0)) for n, c in sums.items()})
+    totals = ranged.groupBy(F.col("_part").alias("_p")).agg(*(F.sum(c).alias(f"_{n}_all") for n, c in sums.items()))
+    whole = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # over at most ``parts`` rows
+    totals = totals.select("_p", *(F.coalesce(F.sum(f"_{n}_all").over(whole), F.lit(0)).alias(f"_{n}_before") for n in sums))
+    out = out.join(F.broadcast(cut(totals, name + "-ranges")), F.col("_part") == F.col("_p"))
+    return out.withColumns({n: F.col(n) + F.col(f"_{n}_before") for n in sums}).drop("_part", "_p", *(f"_{n}_before" for n in sums))
+
+
 def _odds(p: Column) -> Column:
     return p / (1 - p)
 
@@ -67,8 +84,10 @@ def mix(
 
     Null texts and texts without words have size 0 and no copies.  A null source
     is a source of its own, the last.  Rows that agree in source, id and size
-    are taken or left together.  A null id counts as the empty string.  An empty
-    table gives an empty result.
+    are taken or left together.  A null id counts as the empty string.  Texts of
+    any length count whole.  Ties of ranks go to the smaller id, then size.
+    Other columns stay, whatever their names.  An empty table gives an empty
+    result.
     """
     made = ["mix_size", "mix_source_size", "mix_target", "mix_copies", "mix_taken"]
     docs, names = positional(docs.drop(*made))
@@ -85,14 +104,21 @@ def mix(
     sized = sized.withColumn("_b", bits)
     classes = sized.groupBy("_s", "_b").agg(F.sum("_n").alias("_a"))
 
-    place = Window.orderBy(F.col("_s").asc_nulls_last())
-    sources = classes.groupBy("_s").agg(F.sum("_a").alias("mix_source_size"))
-    turn = (F.row_number().over(place) - 1) % len(weights)
-    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (turn + 1).cast("int"))
+    sources = cut(classes.groupBy("_s").agg(F.sum("_a").alias("mix_source_size")), "mix-sizes-of-sources")
+    n_sources, size = sources.agg(F.count("*"), F.coalesce(F.sum("mix_source_size"), F.lit(0))).first()
+    parts = max(1, -(-n_sources // RANGE))
+    by_name = F.col("_s").asc_nulls_last()
+    sources = _running(sources, [by_name], {"_turn": F.lit(1)}, parts, "mix-turns")
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("_turn") % len(weights) + 1).cast("int"))
     sources = sources.withColumn("_w", weight).withColumn("_cap", F.col("mix_source_size") * max_repeat)
-    sources = sources.withColumn("_t", F.lit(share) * F.sum("mix_source_size").over(Window.partitionBy()))
-    sources = waterfill(sources, [], "_s", "_w", "_cap", "_t", "mix_target").select("_s", "mix_source_size", "mix_target")
-    sources = cut(sources, "mix-sources")
+    sources = sources.withColumn("_q", F.col("_cap") / F.col("_w"))
+    # In the order in which shares reach their caps, as in waterfill.
+    sources = _running(sources, [F.col("_q").asc(), by_name], {"_used": F.col("_cap"), "_gone": F.col("_w")}, parts, "mix-levels")
+    sources = cut(sources, "mix-filled")
+    all_weights = sources.agg(F.sum("_w")).first()[0] or 0
+    level = sources.agg(F.max((F.lit(float(share * size)) - F.col("_used")) / (F.lit(all_weights) - F.col("_gone")))).first()[0] or 0.0
+    target = F.least(F.col("_cap"), F.lit(float(level)) * F.col("_w"))
+    sources = cut(sources.select("_s", "mix_source_size", target.alias("mix_target")), "mix-sources")
 
     # Expected copies by length class: longer classes somewhat more often.
     rates = classes.where("_a > 0").join(sources.withColumnRenamed("_s", "_s2"), F.col("_s").eqNullSafe(F.col("_s2"))).drop("_s2")
