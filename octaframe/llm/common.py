@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,26 +20,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where it is unset (local tests)."""
+    """The folder in spark.checkpoint.dir; a temporary one only where it is unset and all of Spark is one process."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="octaframe-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
-#: Paths that new_path gave out, in order, until forget() is told of them.
-stored: list[str] = []
+_SCRATCH: ContextVar[list[str] | None] = ContextVar("octaframe-scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete at its end what was stored within, in this thread; nothing lazy may leave the block."""
+    token = _SCRATCH.set([])
+    try:
+        yield
+    finally:
+        paths = _SCRATCH.get() or []
+        _SCRATCH.reset(token)
+        forget(spark, paths)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    stored.append(f"{shared_dir(spark)}/octaframe/{name}-{uuid.uuid4().hex}")
-    return stored[-1]
+    path = f"{shared_dir(spark)}/octaframe/{name}-{uuid.uuid4().hex}"
+    if (mine := _SCRATCH.get()) is not None:
+        mine.append(path)
+    return path
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write df to the shared folder and read it again, so that lost executors cost no recomputation."""
-    path = new_path(df.sparkSession, name)
+    path = path or new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
