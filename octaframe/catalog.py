@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,6 +15,8 @@ U32, MIB = (1 << 32) - 1, 1 << 20
 
 @dataclass(frozen=True)
 class Option:
+    """Keys, kinds, defaults and ranges below are fixed values: the interface of the methods."""
+
     key: str
     kind: str  # int64, uint64, bool, string, bytes
     default: object = None
@@ -52,6 +54,7 @@ class Method:
     magic: bytes | None = None
     flush: str = "none"  # none, sync, full
     inner: tuple[str, ...] = field(default=())
+    memory: Callable[[bytes], int] | None = None  # what decoding takes besides input and output
 
     def validated(self, given: dict | None) -> dict:
         """All options of the method with the given values; unknown keys and bad values are refused."""
@@ -164,6 +167,31 @@ def _peek_nothing(data: bytes) -> dict:
     return _info(0)
 
 
+# Working memory of decoders, from the header: the window, or the block and its tables -----------------------
+
+
+def _window(peek: Callable[[bytes], dict], per_block: int = 1):
+    def memory(data: bytes) -> int:
+        try:
+            facts = peek(data)
+        except CodecError:
+            return 0  # the decoder will say what is wrong
+        return facts["window_size"] or (facts["block_size"] or 0) * per_block
+
+    return memory
+
+
+def _xz_memory(data: bytes) -> int:
+    """The dictionary of the first block's LZMA2 filter."""
+    if len(data) < 24 or not data[12]:
+        return 0
+    at = 14 + sum(1 for bit in (6, 7) if data[13] >> bit & 1)
+    head = data[at : 12 + 4 * (data[12] + 1)]
+    k = head.find(b"\x21\x01")
+    code = head[k + 2] & 63 if k >= 0 and k + 2 < len(head) else 0
+    return (2 | code & 1) << (code // 2 + 11) if code < 40 else U32
+
+
 # Bounds: arithmetic that holds for ints and, with the operations of `a`, for Columns ----------------------
 
 
@@ -274,14 +302,71 @@ _METHODS = [
     Method("bcj", "xz filters 4 to 11", filters.bcj_encode, filters.bcj_decode, (Option("bcj.arch", "string", "x86", allowed=tuple(filters.ARCHS)), Option("bcj.start_offset", "uint64", 0, 0, U32), Option("limits.max_output_bytes", "uint64", 0)), lambda a, n, o: n),
 ]
 
-_REGISTRY: dict[str, Method] = {m.name: m for m in _METHODS}
+_MEMORY = {
+    "deflate": lambda data: 1 << 15, "zlib": _window(_peek_zlib), "gzip": lambda data: 1 << 15, "deflate64": lambda data: 1 << 16, "brotli": _window(_peek_brotli),
+    "bzip2": _window(_peek_bzip2, 4), "xz": _xz_memory, "lzma": _window(_peek_lzma), "lz4": _window(_peek_lz4), "zstd": _window(_peek_zstd),
+}
+_REGISTRY: dict[str, Method] = {m.name: replace(m, memory=_MEMORY.get(m.name)) for m in _METHODS}
 
 
 def register(method: Method) -> None:
-    """Add a method of one's own; a second one of the same name is ignored."""
+    """Add a method of one's own; a second one of the same name is ignored.
+
+    Columns made afterwards take the method along to the executors.  Its
+    functions must be picklable; those of a module are looked up there again.
+    """
     _REGISTRY.setdefault(method.name, method)
 
 
+def wrapped(name: str, inner: str, before: Callable[[bytes], bytes], after: Callable[[bytes], bytes], spec: str = "") -> Method:
+    """A method that puts ``before`` in front of another one's encoder, and ``after`` behind its decoder."""
+    m = find(inner)
+    return Method(
+        name, spec or f"{name} over {inner}", lambda b, o: m.encode(before(b), o), lambda b, o: after(m.decode(b, o)), m.options, None, None, None, "none", (inner,), m.memory
+    )
+
+
+class Options:
+    """Options of a method as an object: set and read by type, cloned, and frozen against changes."""
+
+    def __init__(self, method: str, given: dict | None = None):
+        self.method, self.frozen = method, False
+        self._known = {o.key: o for o in find(method).options}
+        self._values: dict = {}
+        for k, v in (given or {}).items():
+            self.set(k, v)
+
+    def _option(self, key: str) -> Option:
+        if key not in self._known:
+            raise CodecError(INVALID_ARG, f"{self.method} has no option {key}")
+        return self._known[key]
+
+    def set(self, key: str, value) -> Options:
+        if self.frozen:
+            raise CodecError(INVALID_ARG, "the options are frozen")
+        self._values[key] = self._option(key).checked(value)
+        return self
+
+    def get(self, key: str, kind: str | None = None):
+        """The value, or the default; ``kind`` asks for a type."""
+        o = self._option(key)
+        if kind is not None and o.kind != kind:
+            raise CodecError(INVALID_ARG, f"{key} is of type {o.kind}")
+        return self._values.get(key, o.default)
+
+    def freeze(self) -> Options:
+        self.frozen = True
+        return self
+
+    def clone(self) -> Options:
+        """A copy that can be changed."""
+        return Options(self.method, self._values)
+
+    def given(self) -> dict:
+        """What was set, as the argument ``options`` of the column functions."""
+        return dict(self._values)
+
+
 def find(name: str) -> Method:
     if name not in _REGISTRY:
         raise CodecError(UNSUPPORTED, f"no method {name}")

@@ -5,6 +5,8 @@ from __future__ import annotations
 import struct
 import zlib
 
+from ..errors import UNSUPPORTED, CodecError
+
 _POLY64 = 0xC96C5795D7870F42
 _P32 = (2654435761, 2246822519, 3266489917, 668265263, 374761393)
 _P64 = (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)
@@ -104,3 +106,36 @@ def _xxh(data: bytes, seed: int, width: int) -> int:
     for shift, p in ((33, p2), (29, p3), (32, 1)) if wide else ((15, p2), (13, p3), (16, 1)):
         h = (h ^ (h >> shift)) * p & mask
     return h
+
+
+class State:
+    """A sum over bytes that arrive in pieces: reset, update, digest."""
+
+    def __init__(self, kind: str, seed: int = 0):
+        if kind not in ("xxh32", "xxh64", "crc32", "adler32"):
+            raise CodecError(UNSUPPORTED, f"no running sum {kind}")
+        self.kind, self.seed = kind, seed
+        self.reset()
+
+    def reset(self) -> None:
+        library = {"xxh32": "xxh32", "xxh64": "xxh64"}.get(self.kind)
+        if library and _xx:
+            self._state = getattr(_xx, library)(seed=self.seed)
+        else:  # without the library the bytes wait for digest()
+            self._state = bytearray() if library else {"crc32": 0, "adler32": 1}[self.kind]
+
+    def update(self, data: bytes) -> None:
+        if self.kind == "crc32":
+            self._state = crc32(data, self._state)
+        elif self.kind == "adler32":
+            self._state = adler32(data, self._state)
+        elif _xx:
+            self._state.update(data)
+        else:
+            self._state += data
+
+    def digest(self) -> int:
+        """The sum so far; more may follow."""
+        if self.kind in ("crc32", "adler32"):
+            return self._state
+        return self._state.intdigest() if _xx else _xxh(bytes(self._state), self.seed, int(self.kind[3:]))

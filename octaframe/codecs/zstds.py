@@ -61,8 +61,8 @@ def seek_table(rows: list[tuple[int, int, int | None]], checksums: bool) -> byte
     return struct.pack("<II", TABLE, len(body)) + body
 
 
-def read_seek_table(data: bytes) -> list[tuple[int, int, int | None]] | None:
-    """Rows of the seek table at the end of data; None if there is none."""
+def read_seek_table(data: bytes, before: int | None = None) -> list[tuple[int, int, int | None]] | None:
+    """Rows of the seek table at the end of data; None if there is none.  before: bytes of frames in front of data, if not in it."""
     if len(data) < 17 or struct.unpack_from("<I", data, len(data) - 4)[0] != FOOTER:
         return None
     n, flags = struct.unpack_from("<IB", data, len(data) - 9)
@@ -74,7 +74,7 @@ def read_seek_table(data: bytes) -> list[tuple[int, int, int | None]] | None:
     if start < 0 or struct.unpack_from("<II", data, start) != (TABLE, total - 8):
         raise corrupt("seek table size")
     rows = [struct.unpack_from("<III" if width == 12 else "<II", data, start + 8 + i * width) for i in range(n)]
-    if sum(r[0] for r in rows) != start:
+    if sum(r[0] for r in rows) != (start if before is None else before):
         raise corrupt("sizes in the seek table")
     return [(r[0], r[1], r[2] if width == 12 else None) for r in rows]
 

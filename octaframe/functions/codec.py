@@ -1,4 +1,8 @@
-"""Column functions over binary values: encode, decode, try_decode, detect, peek, encode_bound and limits."""
+"""Column functions over binary values: encode, decode, their trying forms, detect, peek, encode_bound and limits.
+
+Methods are looked up when a column is made, on the driver, and travel to the
+executors with it, so that a method of one's own works like any other.
+"""
 
 from __future__ import annotations
 
@@ -6,29 +10,35 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..catalog import find, methods
-from ..errors import INTERNAL, OK, CodecError
+from ..catalog import Method, find, methods
+from ..errors import INTERNAL, LIMIT, OK, UNSUPPORTED, CodecError
 
 
-def encode_bytes(data: bytes, method: str, options: dict | None = None) -> bytes:
-    m = find(method)
+def encode_bytes(data: bytes, method: str | Method, options: dict | None = None) -> bytes:
+    m = method if isinstance(method, Method) else find(method)
     return m.encode(bytes(data), m.validated(options))
 
 
-def decode_bytes(data: bytes, method: str, options: dict | None = None) -> bytes:
+def decode_bytes(data: bytes, method: str | Method, options: dict | None = None) -> bytes:
     """Decode within the limits of the options; output in the wrong proportion to the input is refused."""
-    m = find(method)
-    o = m.validated(options)
-    ratio, most = o.get("limits.max_expansion_ratio") or 0, o.get("limits.max_output_bytes") or 0
+    m = method if isinstance(method, Method) else find(method)
+    return _decoded(m, bytes(data), m.validated(options))
+
+
+def _decoded(m: Method, data: bytes, o: dict) -> bytes:
+    ratio, most, memory = (o.get(f"limits.max_{x}") or 0 for x in ("expansion_ratio", "output_bytes", "memory_bytes"))
     if ratio and data:  # no need to produce more than the ratio allows
         room = ratio * len(data)
-        o["limits.max_output_bytes"] = min(most, room) if most else room
-    return m.decode(bytes(data), o)
+        o = o | {"limits.max_output_bytes": min(most, room) if most else room}
+    if memory and m.memory is not None and (asked := m.memory(data)) > memory:
+        raise CodecError(LIMIT, f"decoding takes {asked} bytes of memory")
+    return m.decode(data, o)
 
 
-def _checked(method: str, options: dict) -> dict:
-    find(method).validated(options)
-    return options
+def _resolved(method: str, options: dict) -> tuple[Method, dict]:
+    """The method itself and all its options, for a function that goes to the executors."""
+    m = find(method)
+    return m, m.validated(options)
 
 
 def _binary(c: Column | str) -> Column:
@@ -38,36 +48,48 @@ def _binary(c: Column | str) -> Column:
 
 def encode(c: Column | str, method: str, **options) -> Column:
     """Bytes of c encoded; options by their catalog keys, with dots as ``__`` or through a dict ``options``."""
-    given = _checked(method, _keys(options))
+    m, o = _resolved(method, _keys(options))
 
     @F.pandas_udf("binary")
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda b: None if b is None else encode_bytes(b, method, given))
+        return s.map(lambda b: None if b is None else m.encode(bytes(b), o))
 
     return run(_binary(c))
 
 
-def decode(c: Column | str, method: str, **options) -> Column:
-    """Bytes of c decoded; a value that cannot be decoded fails the query (see try_decode)."""
-    given = _checked(method, _keys(options))
+def decode(c: Column | str, method: str, size: Column | str | None = None, **options) -> Column:
+    """Bytes of c decoded; a value that cannot be decoded fails the query (see try_decode).
+
+    size: the plain size of each value, for methods that have an option
+    ``<method>.uncompressed_size`` because their streams do not tell where they end.
+    """
+    m, o = _resolved(method, _keys(options))
+    if size is None:
+
+        @F.pandas_udf("binary")
+        def run(s: pd.Series) -> pd.Series:
+            return s.map(lambda b: None if b is None else _decoded(m, bytes(b), o))
+
+        return run(_binary(c))
+    key = f"{method}.uncompressed_size"
+    if key not in o:
+        raise CodecError("INVALID_ARG", f"{method} has no option {key}")
 
     @F.pandas_udf("binary")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda b: None if b is None else decode_bytes(b, method, given))
+    def sized(s: pd.Series, sizes: pd.Series) -> pd.Series:
+        one = lambda b, n: None if b is None or pd.isna(n) else _decoded(m, bytes(b), o | {key: int(n)}) if n else b""
+        return pd.Series([one(b, n) for b, n in zip(s, sizes, strict=True)], dtype=object)
 
-    return run(_binary(c))
+    return sized(_binary(c), (F.col(size) if isinstance(size, str) else size).cast("long"))
 
 
 TRIED = "status string, detail string, value binary"
 
 
-def try_decode(c: Column | str, method: str, **options) -> Column:
-    """A struct of status, detail and value for each value; null for null."""
-    given = _checked(method, _keys(options))
-
-    def one(b: bytes) -> tuple:
+def _trying(c: Column | str, one) -> Column:
+    def attempt(b: bytes) -> tuple:
         try:
-            return OK, None, decode_bytes(b, method, given)
+            return OK, None, one(bytes(b))
         except CodecError as e:
             return e.status, e.detail, None
         except Exception as e:  # noqa: BLE001  a defect of the codec is a status too
@@ -75,12 +97,61 @@ def try_decode(c: Column | str, method: str, **options) -> Column:
 
     @F.pandas_udf(TRIED)
     def run(s: pd.Series) -> pd.DataFrame:
-        rows = [(None, None, None) if b is None else one(b) for b in s]
+        rows = [(None, None, None) if b is None else attempt(b) for b in s]
         return pd.DataFrame(rows, columns=["status", "detail", "value"])
 
     return F.when(_binary(c).isNotNull(), run(_binary(c)))
 
 
+def try_decode(c: Column | str, method: str, **options) -> Column:
+    """A struct of status, detail and value for each value; null for null."""
+    m, o = _resolved(method, _keys(options))
+    return _trying(c, lambda b: _decoded(m, b, o))
+
+
+def try_encode(c: Column | str, method: str, **options) -> Column:
+    """A struct of status, detail and value for each value; null for null."""
+    m, o = _resolved(method, _keys(options))
+    return _trying(c, lambda b: m.encode(b, o))
+
+
+def _by_method(c: Column | str, method: Column | str, options: dict | None, step) -> Column:
+    known = {m.name: (m, m.validated((options or {}).get(m.name))) for m in methods()}
+
+    @F.pandas_udf("binary")
+    def run(s: pd.Series, names: pd.Series) -> pd.Series:
+        out = []
+        for b, name in zip(s, names, strict=True):
+            if b is not None and name is not None and name not in known:
+                raise CodecError(UNSUPPORTED, f"no method {name}")
+            out.append(None if b is None or name is None else step(known[name][0], bytes(b), known[name][1]))
+        return pd.Series(out, dtype=object)
+
+    return run(_binary(c), F.col(method) if isinstance(method, str) else method)
+
+
+def encode_by(c: Column | str, method: Column | str, options: dict | None = None) -> Column:
+    """Bytes of c encoded by the method that a column names; options: those of each method."""
+    return _by_method(c, method, options, lambda m, b, o: m.encode(b, o))
+
+
+def decode_by(c: Column | str, method: Column | str, options: dict | None = None) -> Column:
+    """Bytes of c decoded by the method that a column names; null where it names none."""
+    return _by_method(c, method, options, _decoded)
+
+
+def decode_detected(c: Column | str, options: dict | None = None) -> Column:
+    """Bytes of c decoded by the method that detect names; null where it names none.
+
+    Skippable frames in front of a stream of another format than their own are
+    taken off.
+    """
+    c = _binary(c)
+    name = detect(c)
+    plain = F.when(name.isin("zstd", "lz4"), c).otherwise(F.substring(c, _after_skips(c), F.octet_length(c)))
+    return decode_by(plain, name, options)
+
+
 def _keys(options: dict) -> dict:
     given = dict(options.pop("options", None) or {})
     return given | {k.replace("__", "."): v for k, v in options.items()}
@@ -98,18 +169,23 @@ def _little(c: Column, at: Column) -> Column:
     return F.conv(F.concat(h(3), h(2), h(1), h(0)), 16, 10).cast("long")
 
 
-def detect(c: Column | str, skips: int = 2) -> Column:
-    """Name of the method that the magic number tells, or null; up to ``skips`` skippable frames are passed over.
+def _after_skips(c: Column) -> Column:
+    """The (1-based) position after all skippable frames at the start of c."""
+    word = lambda at: _little(c, at)
+    skips = lambda at: F.coalesce((word(at) >= 0x184D2A50) & (word(at) <= 0x184D2A5F), F.lit(False))
+    step = lambda at, _: F.when(skips(at), F.least(at + 8 + word(at + 4), F.octet_length(c).cast("long") + 1)).otherwise(at)
+    most = F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(F.octet_length(c) / 8).cast("int")))
+    # Only values that begin with such a frame are walked.
+    return F.when(skips(F.lit(1)), F.aggregate(most, F.lit(1).cast("long"), step)).otherwise(F.lit(1).cast("long")).cast("int")
+
+
+def detect(c: Column | str) -> Column:
+    """Name of the method that the magic number tells, or null; skippable frames are passed over, however many.
 
     Built-in expressions alone.  Values of fewer than four bytes are not told.
     """
     c = _binary(c)
-    at = F.lit(1)
-    for _ in range(skips):
-        word = _little(c, at)
-        skip = (word >= 0x184D2A50) & (word <= 0x184D2A5F)
-        at = F.when(skip, at + 8 + _little(c, at + 4).cast("int")).otherwise(at)
-    rest = F.substring(c, at, F.lit(16))
+    rest = F.substring(c, _after_skips(c), F.lit(16))
     starts = lambda magic: F.substring(rest, 1, len(magic)) == F.lit(magic)
     case = F.when(F.octet_length(rest) < 4, None)
     for name in ("zstd", "lz4", "gzip", "bzip2", "xz"):
@@ -173,7 +249,7 @@ def within_ratio(inputs: Column, outputs: Column, ratio: int) -> Column:
     return F.lit(True) if not ratio else (inputs == 0) | (outputs <= inputs.cast("decimal(38,0)") * ratio)
 
 
-def _sql_function(fn, method: str):
+def _sql_function(fn, method: Method):
     @F.pandas_udf("binary")
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda b: None if b is None else fn(b, method))
@@ -184,8 +260,11 @@ def _sql_function(fn, method: str):
 def register_functions(spark) -> None:
     """SQL functions encode_<method> and decode_<method> with default options."""
     for m in methods():
-        spark.udf.register(f"encode_{m.name}", _sql_function(encode_bytes, m.name))
-        spark.udf.register(f"decode_{m.name}", _sql_function(decode_bytes, m.name))
+        spark.udf.register(f"encode_{m.name}", _sql_function(encode_bytes, m))
+        spark.udf.register(f"decode_{m.name}", _sql_function(decode_bytes, m))
 
 
-__all__ = ["decode", "decode_bytes", "detect", "encode", "encode_bound", "encode_bytes", "peek", "register_functions", "try_decode", "within_output", "within_ratio", "zlib_header"]
+__all__ = [
+    "decode", "decode_by", "decode_bytes", "decode_detected", "detect", "encode", "encode_bound", "encode_by", "encode_bytes", "peek", "register_functions",
+    "try_decode", "try_encode", "within_output", "within_ratio", "zlib_header",
+]

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
+from ..catalog import find
 from ..codecs import lz4, zstds
 from ..functions.codec import decode_bytes, encode
 
@@ -42,9 +43,11 @@ def range_read(frames: DataFrame, key: str, offset: int, length: int, method: st
     first = F.greatest(F.lit(offset) - F.col("d_off"), F.lit(0))
     last = F.least(F.lit(offset + length) - F.col("d_off"), F.col("d_len"))
 
+    codec = find(method)
+
     @F.pandas_udf("binary")
     def part(frame: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([decode_bytes(f, method)[i:j] for f, i, j in zip(frame, a, b, strict=True)], dtype=object)
+        return pd.Series([decode_bytes(f, codec)[i:j] for f, i, j in zip(frame, a, b, strict=True)], dtype=object)
 
     parts = hit.select(key, "frame_no", part("frame", first, last).alias("_d"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("frame_no", "_d"))), lambda x: F.hex(x["_d"]))

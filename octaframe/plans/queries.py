@@ -8,15 +8,17 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..catalog import codec_methods, codec_options, methods
+from ..catalog import Method, codec_methods, codec_options, methods, register
 from ..functions import checksums as sums
 from ..functions import codec
 from ..operators import analysis, dictionary, frames
-from ..sources import framed
+from ..sources import files, framed, seekable
 from ..streaming import frames as streaming
+from . import fixed
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -41,9 +43,11 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all machines share; a temporary one where no such folder is set."""
+    """A new path in the folder that all machines share; a temporary one where none is set and all of Spark is one process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="octaframe-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/octaframe/{name}-{uuid.uuid4().hex}"
@@ -64,10 +68,10 @@ def compression_report(spark, sf_dir):
 def _round_trip(method: str):
     def run(spark, sf_dir):
         docs = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("b"))
-        # Early ZIP streams do not say where they end: the container does, here the length of the value.
-        docs = docs.withColumn("back", codec.decode(codec.encode("b", method), method))
-        back = F.substring("back", F.lit(1), F.octet_length("b")) if method in ("reduce", "implode") else F.col("back")
-        return docs.select("doc_id", F.octet_length(back).cast("long").alias("n_bytes"), (back == F.col("b")).alias("ok"))
+        # Early ZIP streams do not say where they end: the container tells the decoder the size.
+        size = F.octet_length("b") if method in ("reduce", "implode") else None
+        docs = docs.withColumn("back", codec.decode(codec.encode("b", method), method, size))
+        return docs.select("doc_id", F.octet_length("back").cast("long").alias("n_bytes"), (F.col("back") == F.col("b")).alias("ok"))
 
     run.__doc__ = f"decode(encode(text)) by {method} for every document."
     return run
@@ -103,12 +107,62 @@ def adler32_documents(spark, sf_dir):
 
 @query(f"SELECT source, {_ADLER} AS adler32, n AS length FROM (SELECT source, {BYTES} AS v, CAST(octet_length(b) AS BIGINT) AS n FROM (SELECT source, encode(string_agg(text, '' ORDER BY doc_id)) AS b FROM documents GROUP BY source))")
 def adler32_combine_by_source(spark, sf_dir):
-    """Adler-32 of each source's texts in the order of ids, from the sums of the texts."""
+    """Adler-32 of each source's texts in the order of ids, from the sums of the texts, combined by ranges and then across them."""
     docs = table(spark, sf_dir, "documents")
     parts = docs.select("source", "doc_id", sums.adler32("text").alias("a"), F.octet_length("text").cast("long").alias("n"))
     return sums.combine_adler32(parts, ["source"], "doc_id", "a", "n")
 
 
+_CRC64 = f"""WITH t AS (SELECT list(r ORDER BY n) AS t FROM (SELECT n, list_reduce(list_prepend(CAST(n AS UBIGINT), CAST(range(0, 8) AS UBIGINT[])),
+      lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 14514072000185962306::UBIGINT) ELSE c // 2 END) AS r FROM range(0, 256) x(n))),
+    d AS (SELECT doc_id, {BYTES} AS v FROM (SELECT doc_id, encode(text) AS b FROM documents))
+    SELECT doc_id, printf('%016X', xor(list_reduce(list_prepend(18446744073709551615::UBIGINT, list_transform(v, lambda x: x::UBIGINT)),
+      lambda c, x: xor(c // 256, t.t[CAST(xor(c % 256, x) AS INTEGER) + 1])), 18446744073709551615::UBIGINT)) AS crc FROM d, t"""
+_BZIP2_CRC = f"""WITH t AS (SELECT list(r ORDER BY n) AS t FROM (SELECT n, list_reduce(list_prepend(CAST(n AS BIGINT) * 16777216, range(0, 8)),
+      lambda c, k: CASE WHEN c >= 2147483648 THEN xor(c * 2 - 4294967296, 79764919) ELSE c * 2 END) AS r FROM range(0, 256) x(n))),
+    d AS (SELECT doc_id, {BYTES} AS v FROM (SELECT doc_id, encode(text) AS b FROM documents))
+    SELECT doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(v, lambda x: x::BIGINT)),
+      lambda c, x: xor(c % 16777216 * 256, t.t[CAST(xor(c // 16777216, x) AS INTEGER) + 1])), 4294967295::BIGINT) AS crc FROM d, t"""
+
+
+@query(_CRC64)
+def crc64_documents(spark, sf_dir):
+    """CRC-64 of xz, as hexadecimal digits."""
+    crc = F.lpad(F.hex(sums.crc64("text")), 16, "0")
+    return table(spark, sf_dir, "documents").select("doc_id", crc.alias("crc"))
+
+
+@query(_BZIP2_CRC)
+def bzip2_crc_documents(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", sums.bzip2_crc("text").alias("crc"))
+
+
+_X32 = "4294967296"
+
+
+def _rotated(x: str, r: int) -> str:
+    return f"(({x}) * {1 << r} % {_X32} + ({x}) // {1 << 32 - r})"
+
+
+_LANE = lambda i, at: f"(v[{at}] + v[{at} + 1] * 256 + v[{at} + 2] * 65536 + v[{at} + 3] * 16777216)"
+_ROUND = lambda acc, lane: f"{_rotated(f'({acc} + {lane} * 2246822519) % {_X32}', 13)} * 2654435761 % {_X32}"
+_XXH32 = f"""WITH d AS (SELECT doc_id, list_transform({BYTES}, lambda x: x::HUGEINT) AS v, octet_length(b)::HUGEINT AS n FROM (SELECT doc_id, encode(text) AS b FROM documents)),
+    a AS (SELECT doc_id, v, n, CASE WHEN n >= 16 THEN list_reduce(list_prepend([606290984::HUGEINT, 2246822519, 0, 1640531535], list_transform(range(0, CAST(n // 16 AS BIGINT)),
+        lambda k: [{', '.join(_LANE(0, f'16 * k + {4 * i + 1}') for i in range(4))}])),
+      lambda c, w: [{', '.join(_ROUND(f'c[{i + 1}]', f'w[{i + 1}]') for i in range(4))}]) END AS c FROM d),
+    m AS (SELECT doc_id, v, n, (CASE WHEN c IS NULL THEN 374761393::HUGEINT ELSE {' + '.join(_rotated(f'c[{i + 1}]', r) for i, r in enumerate((1, 7, 12, 18)))} END + n) % {_X32} AS h FROM a),
+    w AS (SELECT doc_id, v, n, list_reduce(list_prepend(h, list_transform(range(0, CAST(n % 16 // 4 AS BIGINT)), lambda k: {_LANE(0, 'CAST(n // 16 * 16 AS BIGINT) + 4 * k + 1')})),
+      lambda c, x: {_rotated(f'(c + x * 3266489917) % {_X32}', 17)} * 668265263 % {_X32}) AS h FROM m),
+    b AS (SELECT doc_id, list_reduce(list_prepend(h, v[CAST(n // 4 * 4 AS BIGINT) + 1:]), lambda c, x: {_rotated(f'(c + x * 374761393) % {_X32}', 11)} * 2654435761 % {_X32}) AS h FROM w),
+    e AS (SELECT doc_id, xor(h, h // 32768) * 2246822519 % {_X32} AS h FROM b), f AS (SELECT doc_id, xor(h, h // 8192) * 3266489917 % {_X32} AS h FROM e)
+    SELECT doc_id, CAST(xor(h, h // 65536) AS BIGINT) AS xxh32 FROM f"""
+
+
+@query(_XXH32)
+def xxh32_documents(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", sums.xxh32("text").alias("xxh32"))
+
+
 @query()
 def checksums_documents(spark, sf_dir):
     """Sums that SQL lacks: XXH32 and XXH64 with seed 0, CRC-64 of xz, the CRC of bzip2."""
@@ -163,7 +217,7 @@ def rle_encoded_size(spark, sf_dir):
 @query(f"SELECT doc_id, CAST(sum((cur - CASE WHEN i > 1 THEN prev ELSE 0 END + 256) % 256) AS BIGINT) AS total FROM ({_PAIRS}) GROUP BY doc_id")
 def delta_filter(spark, sf_dir):
     """Sum of the delta-filtered bytes of each document."""
-    hist = F.pandas_udf(lambda s: s.map(lambda b: sum(bytes(b))), "long")
+    hist = F.pandas_udf(lambda s: s.map(lambda b: None if b is None else int(np.frombuffer(b, dtype=np.uint8).sum(dtype=np.int64))), "long")
     return table(spark, sf_dir, "documents").select("doc_id", hist(codec.encode("text", "delta")).alias("total"))
 
 
@@ -197,6 +251,21 @@ def huffman_lengths_by_lang(spark, sf_dir):
     return analysis.huffman_lengths(analysis.byte_histogram(table(spark, sf_dir, "documents"), "text", ["lang"]), ["lang"], 12)
 
 
+@query(
+    f"""WITH h AS (SELECT lang, list_sort(list(n)) AS f FROM (SELECT lang, byte, CAST(count(*) AS BIGINT) AS n FROM ({_EACH}) GROUP BY lang, byte) GROUP BY lang),
+    p AS (SELECT lang, f, list_reduce(list_prepend(f, list_transform(range(0, 11), lambda k: f)),
+      lambda w, g: list_sort(list_concat(g, list_transform(range(1, CAST(len(w) // 2 + 1 AS BIGINT)), lambda i: w[2 * i - 1] + w[2 * i])))) AS w FROM h)
+    SELECT lang, CAST(len(f) AS BIGINT) AS symbols, CAST(4096 AS BIGINT) AS kraft, CAST(list_sum(w[1:2 * len(f) - 2]) AS BIGINT) AS cost FROM p"""
+)
+def huffman_cost_by_lang(spark, sf_dir):
+    """Symbols, Kraft sum (of 4096) and bits of optimal codes of at most 12 bits for the bytes of each language."""
+    hist = analysis.byte_histogram(table(spark, sf_dir, "documents"), "text", ["lang"])
+    lengths = analysis.huffman_lengths(hist, ["lang"], 12)
+    both = lengths.select("lang", F.col("byte").alias("b"), "length").join(hist.select(F.col("lang").alias("l2"), "byte", "n"), (F.col("lang").eqNullSafe(F.col("l2"))) & (F.col("b") == F.col("byte")))
+    kraft = F.sum(F.pow(F.lit(2.0), 12 - F.col("length"))).cast("long")
+    return both.groupBy("lang").agg(F.count("*").alias("symbols"), kraft.alias("kraft"), F.sum(F.col("n") * F.col("length")).alias("cost"))
+
+
 @query(
     """WITH h AS (SELECT item_id, hex(encode(text)) AS h FROM benchmark),
     d AS (SELECT item_id, i, substr(h, CAST(2 * i + 1 AS INTEGER), 16) AS m FROM h, unnest(range(0, greatest(length(h) // 2 - 7, 0))) u(i)),
@@ -247,14 +316,30 @@ def mtf_names(spark, sf_dir):
 )
 def detect_mix(spark, sf_dir):
     """Documents encoded by a method each, and the method that detection names; every other one behind a skippable frame."""
+    return _mixed(spark, sf_dir).select("doc_id", codec.detect("b").alias("method"))
+
+
+def _mixed(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    packed = None
-    for i, name in enumerate(("zstd", "lz4", "gzip", "bzip2", "xz", "zlib")):
-        part = docs.where(F.col("doc_id") % 6 == i).select("doc_id", codec.encode("text", name).alias("b"))
-        packed = part if packed is None else packed.unionByName(part)
+    name = F.element_at(F.array(*map(F.lit, ("zstd", "lz4", "gzip", "bzip2", "xz", "zlib"))), (F.col("doc_id") % 6 + 1).cast("int"))
+    packed = docs.select("doc_id", codec.encode_by("text", name).alias("b"))
     skip = F.concat(frames.skippable_frame(F.encode(F.lit("note"), "UTF-8"), 3), F.col("b"))
-    mixed = packed.withColumn("b", F.when(F.floor(F.col("doc_id") / 6) % 2 == 1, skip).otherwise(F.col("b")))
-    return mixed.select("doc_id", codec.detect("b").alias("method"))
+    return packed.withColumn("b", F.when(F.floor(F.col("doc_id") / 6) % 2 == 1, skip).otherwise(F.col("b")))
+
+
+@query("SELECT doc_id, sha256(encode(text)) AS digest FROM documents")
+def detect_and_decode(spark, sf_dir):
+    """Documents encoded by a method each, decoded by what detection names."""
+    return _mixed(spark, sf_dir).select("doc_id", F.sha2(codec.decode_detected("b"), 256).alias("digest"))
+
+
+@query("SELECT doc_id, sha256(unhex(array_to_string(list_reverse(regexp_extract_all(hex(encode(text)), '..')), ''))) AS digest, true AS ok FROM documents")
+def user_method_roundtrip(spark, sf_dir):
+    """A method that a user registers, on the executors: the digest of what it makes of each document, and whether it comes back."""
+    register(Method("mirror", "bytes in reverse order", lambda b, o: b[::-1], lambda b, o: b[::-1]))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("b"))
+    docs = docs.withColumn("m", codec.encode("b", "mirror"))
+    return docs.select("doc_id", F.sha2("m", 256).alias("digest"), (codec.decode("m", "mirror") == F.col("b")).alias("ok"))
 
 
 @query("SELECT count(*) AS n FROM range(0, 65536) t(x) WHERE x // 256 % 16 = 8 AND x // 256 < 128 AND x % 31 = 0")
@@ -364,24 +449,26 @@ def options_unknown_keys(spark, sf_dir):
     return asked.join(codec_options(spark).select("key"), "key", "left_anti")
 
 
-@query()
+@query(fixed.OPTIONS_SQL)
 def catalog_options(spark, sf_dir):
-    return codec_options(spark)
+    return codec_options(spark).withColumn("allowed", F.array_join("allowed", "|"))
 
 
-@query()
+@query(fixed.METHODS_SQL)
 def catalog_methods(spark, sf_dir):
-    return codec_methods(spark)
+    """The methods of the library itself."""
+    return codec_methods(spark).where(F.col("method") != "mirror")
 
 
 @query(
     "SELECT time_bucket(INTERVAL '1 day', ts, TIMESTAMP '1970-01-01') AS start, count(*) AS messages, CAST(sum(octet_length(encode(props))) AS BIGINT) AS bytes FROM events GROUP BY 1"
 )
 def event_frames_tumbling(spark, sf_dir):
-    """Frames of the events of each day."""
+    """Frames of bounded size of the events of each day, summed up by day."""
     events = table(spark, sf_dir, "events")
-    got = streaming.windowed_frames(events.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "1 day", ["event_id"], "props")
-    return got.select(F.col("start").cast("timestamp_ntz").alias("start"), "messages", "bytes")
+    got = streaming.windowed_frames_bounded(events.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "1 day", ["event_id"], "props", frame_bytes=1 << 16)
+    days = got.groupBy(F.col("start").cast("timestamp_ntz").alias("start"))
+    return days.agg(F.sum("messages").alias("messages"), F.sum("bytes").alias("bytes"))
 
 
 @query(
@@ -431,3 +518,201 @@ def dictionary_gain(spark, sf_dir):
     with_ = {"options": {"zlib.dictionary": trained}} if trained else {}
     sized = pages.select(F.octet_length("b").alias("raw"), F.octet_length(codec.encode("b", "zlib")).alias("plain"), F.octet_length(codec.encode("b", "zlib", **with_)).alias("with_dictionary"))
     return sized.agg(F.sum("raw").alias("raw_bytes"), F.sum("plain").alias("plain_bytes"), F.sum("with_dictionary").alias("dictionary_bytes"))
+
+
+_SOURCES = "SELECT source, encode(string_agg(text, '' ORDER BY doc_id)) AS b FROM documents WHERE source IS NOT NULL GROUP BY source"
+
+
+def _seekable_files(spark, sf_dir):
+    """The texts of each source as a seekable file, in frames of 16 KiB."""
+    path = shared_path(spark, "seekable")
+    docs = table(spark, sf_dir, "documents").where("source is not null")
+    rows = docs.repartition("source").sortWithinPartitions("source", "doc_id").select(F.col("source").alias("path"), F.encode("text", "UTF-8").alias("data"))
+    seekable.register(spark)
+    rows.write.format("seekable").option("frameSize", 16384).mode("append").save(path)
+    return path
+
+
+@query(f"SELECT source AS path, substr(hex(b), 2 * 30000 + 1, 2 * 50000) AS data FROM ({_SOURCES}) WHERE octet_length(b) > 30000")
+def seekable_file_range(spark, sf_dir):
+    """Bytes 30000 to 80000 of the seekable file of each source."""
+    got = seekable.range_read(spark, _seekable_files(spark, sf_dir), 30_000, 50_000)
+    return got.select("path", F.hex("data").alias("data"))
+
+
+@query(
+    f"SELECT source AS path, CAST(f AS BIGINT) AS frame_no, CAST(f * 16384 AS BIGINT) AS d_off, CAST(least(16384, n - f * 16384) AS BIGINT) AS d_len FROM (SELECT source, octet_length(b) AS n FROM ({_SOURCES})), unnest(range(0, (n + 16383) // 16384)) u(f) WHERE f * 16384 >= 32768"
+)
+def seekable_file_frames(spark, sf_dir):
+    """Frames from the third on of the seekable file of each source, by the tables in the footers alone."""
+    frames_ = seekable.load(spark, _seekable_files(spark, sf_dir), splitBytes=1 << 20)
+    return frames_.where("d_off >= 32768").select("path", "frame_no", "d_off", "d_len")
+
+
+@query("SELECT doc_id, true AS has_table, CAST((octet_length(encode(text)) + 4095) // 4096 AS BIGINT) AS frame_count, CAST(octet_length(encode(text)) AS BIGINT) AS size, substr(hex(encode(text)), 2 * 1000 + 1, 2 * 5000) AS part FROM documents")
+def seekable_values(spark, sf_dir):
+    """What the seek table of each document's seekable value tells, and bytes 1000 to 6000 read through it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", codec.encode("text", "zstd", zstd__seekable=True, zstd__seekable_frame_size=4096).alias("b"))
+    told = docs.withColumn("i", seekable.info("b"))
+    return told.select("doc_id", "i.has_table", "i.frame_count", "i.size", F.hex(seekable.read_bytes("b", 1000, 5000)).alias("part"))
+
+
+@query("SELECT lang, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS bytes, 'gzip' AS method FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL GROUP BY lang")
+def compressed_files(spark, sf_dir):
+    """The documents written by Spark as gzip text files, and read as files of a format that their content tells."""
+    path = shared_path(spark, "files")
+    docs = table(spark, sf_dir, "documents").where("text is not null and lang is not null")
+    docs.select("lang", "text").write.partitionBy("lang").option("compression", "gzip").text(path)
+    got = files.read(spark, path, "*.gz").withColumn("lang", F.regexp_extract("path", "lang=([^/]+)/", 1))
+    return got.groupBy("lang").agg(F.sum(F.octet_length("data")).cast("long").alias("bytes"), F.max("method").alias("method"))
+
+
+def _pieces_as_stream(spark, sf_dir, method, size):
+    """A stream of the pieces, cut without regard to frames, of the encoded documents, in several micro-batches."""
+    path = shared_path(spark, "pieces")
+    docs = table(spark, sf_dir, "documents").select("doc_id", codec.encode("text", method).alias("b"))
+    pieces = frames.slices(docs, "doc_id", "b", size).select("doc_id", "frame_no", "data")
+    for k, few in enumerate(("frame_no < 1", "frame_no between 1 and 3", "frame_no > 3")):
+        pieces.where(few).coalesce(4).write.mode("append").parquet(f"{path}/in")
+    return path, spark.readStream.schema("doc_id long, frame_no int, data binary").option("maxFilesPerTrigger", 4).parquet(f"{path}/in")
+
+
+def _ran(spark, stream, path, schema):
+    run = stream.writeStream.format("parquet").option("checkpointLocation", path + "/state").outputMode("append").trigger(availableNow=True).start(path + "/out")
+    run.awaitTermination()
+    return spark.read.schema(schema).parquet(path + "/out")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS key, 'OK' AS status, CAST(octet_length(encode(text)) AS BIGINT) AS bytes, sha256(encode(text)) AS digest FROM documents WHERE text IS NOT NULL")
+def stream_decode_roundtrip(spark, sf_dir):
+    """The gzip members of the documents, arriving in pieces of 700 bytes over several micro-batches, decoded as they complete."""
+    path, stream = _pieces_as_stream(spark, sf_dir, "gzip", 700)
+    got = _ran(spark, streaming.decode_stream(stream, "doc_id", ["frame_no"], "data", "gzip"), path, streaming.DECODED)
+    return got.select("key", "status", F.octet_length("data").cast("long").alias("bytes"), F.sha2("data", 256).alias("digest"))
+
+
+@query("SELECT event_type AS key, CAST(sum(octet_length(encode(props))) AS BIGINT) AS bytes, sha256(encode(string_agg(props, '' ORDER BY event_id % 3, event_id))) AS digest FROM events WHERE props IS NOT NULL GROUP BY event_type")
+def stream_sync_flush(spark, sf_dir):
+    """Events as a stream, sync-flushed at every micro-batch: the pieces of a type are one DEFLATE stream."""
+    path, events = shared_path(spark, "sync"), table(spark, sf_dir, "events").where("props is not null")
+    rows = events.select("event_id", "event_type", "props", (F.col("event_id") % 3).alias("turn"))
+    for k in range(3):
+        rows.where(F.col("turn") == k).coalesce(1).write.mode("append").parquet(path + "/in")
+    stream = spark.readStream.schema("event_id long, event_type string, props string, turn long").option("maxFilesPerTrigger", 1).parquet(path + "/in")
+    read = _ran(spark, streaming.encode_stream(stream, "event_type", ["event_id"], "props", "deflate", flush="sync"), path, streaming.FRAMES)
+    ordered = F.array_sort(F.collect_list(F.struct("frame_no", F.hex("frame").alias("h"))))
+    # The stream was never finished: an empty final block ends it.
+    whole = F.unhex(F.concat(F.array_join(F.transform(ordered, lambda x: x["h"]), ""), F.lit("0300")))
+    joined = read.groupBy("key").agg(whole.alias("b"))
+    plain = codec.decode("b", "deflate", limits__max_expansion_ratio=0)
+    return joined.select("key", plain.alias("p")).select("key", F.octet_length("p").cast("long").alias("bytes"), F.sha2("p", 256).alias("digest"))
+
+
+# Relational operations around the codecs ------------------------------------------------------------------
+
+
+@query(
+    """WITH f AS (SELECT event_id, user_id, ts, octet_length(encode(props)) AS n FROM events WHERE event_type = 'purchase'), e AS (SELECT user_id, ts, event_id FROM events WHERE event_type = 'error')
+    SELECT f.event_id, f.n::BIGINT AS bytes, (SELECT max(e.ts) FROM e WHERE e.user_id = f.user_id AND e.ts < f.ts) AS last_error FROM f"""
+)
+def asof_last_error(spark, sf_dir):
+    """As-of join: for each purchase the last error of its user before it, by one pass over both in the order of time."""
+    events = table(spark, sf_dir, "events").where("event_type in ('purchase', 'error')")
+    events = events.withColumn("micros", F.unix_micros(F.col("ts").cast("timestamp")))
+    before = Window.partitionBy("user_id").orderBy("micros").rangeBetween(Window.unboundedPreceding, -1)
+    last = F.max(F.when(F.col("event_type") == "error", F.col("ts"))).over(before)
+    found = events.withColumn("last_error", last).where("event_type = 'purchase'")
+    return found.select("event_id", F.octet_length("props").cast("long").alias("bytes"), F.col("last_error").cast("timestamp_ntz").alias("last_error"))
+
+
+@query(
+    """WITH d AS (SELECT doc_id, octet_length(encode(text)) AS n FROM documents), f AS (SELECT doc_id, i, i * 4096 AS lo, least(n, i * 4096 + 4096) AS hi FROM d, unnest(range(0, (n + 4095) // 4096)) u(i)),
+    r AS (SELECT doc_id, doc_id % 7 * 1500 AS a, doc_id % 7 * 1500 + 3000 AS b FROM d) SELECT r.doc_id, count(*) AS n_frames, CAST(sum(least(hi, b) - greatest(lo, a)) AS BIGINT) AS bytes FROM r JOIN f ON r.doc_id = f.doc_id AND f.lo < r.b AND f.hi > r.a GROUP BY r.doc_id"""
+)
+def interval_frames(spark, sf_dir):
+    """Interval join: the frames that a range of each document overlaps, and their bytes in it."""
+    docs = table(spark, sf_dir, "documents")
+    index = frames.slices(docs, "doc_id", "text", 4096).select(F.col("doc_id").alias("d"), F.col("d_off").alias("lo"), (F.col("d_off") + F.col("d_len")).alias("hi"))
+    asked = docs.select("doc_id", (F.col("doc_id") % 7 * 1500).alias("a")).withColumn("b", F.col("a") + 3000)
+    hit = asked.join(index, (F.col("doc_id") == F.col("d")) & (F.col("lo") < F.col("b")) & (F.col("hi") > F.col("a")))
+    bytes_ = F.sum(F.least("hi", "b") - F.greatest("lo", "a")).cast("long")
+    return hit.groupBy("doc_id").agg(F.count("*").alias("n_frames"), bytes_.alias("bytes"))
+
+
+_BANDS = "(VALUES ('small', 0, 1000), ('middle', 1000, 10000), ('large', 10000, 1000000000)) b(band, lo, hi)"
+
+
+@query(f"SELECT band, lang, count(*) AS n, CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes FROM documents JOIN {_BANDS} ON octet_length(encode(text)) >= lo AND octet_length(encode(text)) < hi GROUP BY band, lang")
+def theta_size_bands(spark, sf_dir):
+    """Theta join: documents with the band of sizes that they fall in, three rows that go to every task."""
+    bands = spark.createDataFrame([("small", 0, 1000), ("middle", 1000, 10000), ("large", 10000, 1000000000)], "band string, lo int, hi int")
+    docs = table(spark, sf_dir, "documents").select("lang", F.octet_length("text").alias("n"))
+    both = docs.join(F.broadcast(bands), (F.col("n") >= F.col("lo")) & (F.col("n") < F.col("hi")))
+    return both.groupBy("band", "lang").agg(F.count("*").alias("n"), F.sum("n").alias("bytes"))
+
+
+@query(
+    """SELECT o_orderpriority, count(*) AS n_lines, round(sum(l_quantity), 2) AS quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderpriority"""
+)
+def merge_join_priorities(spark, sf_dir):
+    """Sort-merge join of two large tables on their key, asked for by name."""
+    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders").hint("merge")
+    both = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    return both.groupBy("o_orderpriority").agg(F.count("*").alias("n_lines"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+
+
+@query("(SELECT lang, source FROM documents WHERE n_chars > 5000 INTERSECT SELECT lang, source FROM documents WHERE n_chars < 200) EXCEPT SELECT lang, source FROM documents WHERE n_chars BETWEEN 1000 AND 1010")
+def intersect_except_sources(spark, sf_dir):
+    """Languages and sources that have long and short documents, but none of about a thousand characters."""
+    docs = table(spark, sf_dir, "documents")
+    pairs = lambda cond: docs.where(cond).select("lang", "source")
+    return pairs("n_chars > 5000").intersect(pairs("n_chars < 200")).exceptAll(pairs("n_chars between 1000 and 1010").distinct())
+
+
+@query(
+    "SELECT lang, count(DISTINCT source) AS sources, count(DISTINCT substr(sha256(encode(text)), 1, 2)) AS first_bytes FROM documents GROUP BY lang"
+)
+def distinct_by_lang(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.groupBy("lang").agg(F.count_distinct("source").alias("sources"), F.count_distinct(F.substring(sums.sha256("text"), 1, 2)).alias("first_bytes"))
+
+
+@query(
+    """SELECT date_trunc('month', ts) AS month, CAST(json_extract(props, '$.k') AS BIGINT) % 10 AS digit, count(*) AS n, round(sum(sqrt(value)), 6) AS roots, CAST(max(date_diff('day', TIMESTAMP '2024-01-01', date_trunc('day', ts))) AS INTEGER) AS last_day
+    FROM events GROUP BY 1, 2"""
+)
+def json_by_month(spark, sf_dir):
+    """JSON, dates and mathematics over the events."""
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    key = F.get_json_object("props", "$.k").cast("long") % 10
+    days = F.date_diff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date"))
+    return events.groupBy(F.date_trunc("month", "ts").cast("timestamp_ntz").alias("month"), key.alias("digit")).agg(
+        F.count("*").alias("n"), F.round(F.sum(F.sqrt("value")), 6).alias("roots"), F.max(days).alias("last_day")
+    )
+
+
+@query(
+    "SELECT lang, CAST(list_sum(map_values(m)) AS BIGINT) AS n, CAST(cardinality(m) AS BIGINT) AS kinds, CAST(list_max(map_values(m)) AS BIGINT) AS most FROM (SELECT lang, histogram(source) AS m FROM documents GROUP BY lang)"
+)
+def map_of_sources(spark, sf_dir):
+    """A map from source to its documents for each language, and what its values say."""
+    counts = table(spark, sf_dir, "documents").where("source is not null").groupBy("lang", "source").agg(F.count("*").alias("n"))
+    maps = counts.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("source", "n"))).alias("m"))
+    total = F.aggregate(F.map_values("m"), F.lit(0).cast("long"), lambda a, x: a + x)
+    return maps.select("lang", total.alias("n"), F.size("m").cast("long").alias("kinds"), F.array_max(F.map_values("m")).alias("most"))
+
+
+@query(
+    "SELECT time_bucket(INTERVAL '1 day', ts, TIMESTAMP '1970-01-01') AS start, count(*) AS messages FROM events WHERE ts < (SELECT max(time_bucket(INTERVAL '1 day', ts, TIMESTAMP '1970-01-01')) FROM events) GROUP BY 1"
+)
+def watermark_days(spark, sf_dir):
+    """Events as a stream in the order of time: the days that a watermark of one hour closes, which are all but the last."""
+    path, events = shared_path(spark, "late"), table(spark, sf_dir, "events")
+    rows = events.select(F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    middle = rows.agg(F.expr("percentile_approx(ts, 0.5)")).first()[0]
+    rows.where(F.col("ts") <= F.lit(middle)).coalesce(1).write.mode("append").parquet(path + "/in")
+    rows.where(F.col("ts") > F.lit(middle)).coalesce(1).write.mode("append").parquet(path + "/in")
+    stream = spark.readStream.schema("ts timestamp, event_id long").option("maxFilesPerTrigger", 1).parquet(path + "/in")
+    days = stream.withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("messages"))
+    got = _ran(spark, days.select(F.col("w.start").alias("start"), "messages"), path, "start timestamp, messages long")
+    return got.select(F.col("start").cast("timestamp_ntz").alias("start"), "messages")

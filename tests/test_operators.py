@@ -12,7 +12,7 @@ from octaframe.errors import CodecError
 from octaframe.functions import checksums, codec
 from octaframe.functions.codec import decode_bytes, encode_bytes
 from octaframe.operators import analysis, dictionary, frames
-from octaframe.sources import framed
+from octaframe.sources import files, framed, seekable
 
 R = random.Random(3)
 VALUES = [None, b"", b"a", b"aab", b"abc" * 500, bytes(range(256)) * 4, R.randbytes(3000), b"\0" * 1000]
@@ -70,6 +70,86 @@ def test_user_methods(spark, blobs):
     assert encode_bytes(b"abc", "reverse") == b"cba"
 
 
+def test_user_methods_reach_the_executors(spark, blobs, tmp_path):
+    shift = catalog.Option("shift.by", "int64", 1, 0, 255)
+    turn = lambda b, k: bytes((x + k) & 255 for x in b)
+    catalog.register(catalog.Method("shift", "test", lambda b, o: turn(b, o["shift.by"]), lambda b, o: turn(b, -o["shift.by"]), (shift,), magic=None))
+    packed = blobs.select("id", codec.encode("b", "shift", shift__by=3).alias("p"))
+    got = {r.id: r for r in packed.select("id", "p", codec.decode("p", "shift", shift__by=3).alias("b"), codec.try_decode("p", "shift", shift__by=3).alias("t")).collect()}
+    for i, v in enumerate(VALUES):
+        assert (got[i].p, got[i].b) == ((None, None) if v is None else (turn(v, 3), v)) and (v is None or bytes(got[i].t.value) == v)
+    with pytest.raises(CodecError):
+        codec.encode("b", "shift", shift__by=300)
+    codec.register_functions(spark)
+    blobs.createOrReplaceTempView("to_shift")
+    assert [r.x for r in spark.sql("SELECT id, decode_shift(encode_shift(b)) AS x FROM to_shift ORDER BY id").collect()] == VALUES
+    by = blobs.withColumn("m", F.when(F.col("id") % 2 == 0, "shift").otherwise("lz4"))
+    assert [r.x for r in by.select("id", codec.decode_by(codec.encode_by("b", "m"), "m").alias("x")).orderBy("id").collect()] == VALUES
+    framed.register(spark)
+    rows = blobs.select(F.col("id").cast("string").alias("key"), F.col("b").alias("data"))
+    rows.write.format("framed").option("method", "shift").mode("append").save(str(tmp_path / "s"))
+    assert {int(r.key): r.data for r in spark.read.format("framed").load(str(tmp_path / "s")).collect()} == dict(enumerate(VALUES))
+    assert frames.range_read(frames.frame_table(blobs, "id", "b", 64, "shift"), "id", 60, 10, "shift").count() == sum(v is not None and len(v) > 60 for v in VALUES)
+    catalog.register(catalog.wrapped("shift_zlib", "zlib", lambda b: turn(b, 7), lambda b: turn(b, -7)))
+    there = blobs.select("id", codec.encode("b", "shift_zlib").alias("p"))
+    assert [r.x for r in there.select("id", codec.decode("p", "shift_zlib").alias("x")).orderBy("id").collect()] == VALUES
+    assert zlib.decompress(there.where("id = 3").first().p) == turn(VALUES[3], 7)
+
+
+def test_option_objects():
+    o = catalog.Options("zstd", {"zstd.level": 5})
+    assert o.get("zstd.level", "int64") == 5 and o.get("zstd.checksum") is False
+    copy = o.freeze().clone().set("zstd.level", 9)
+    assert (o.get("zstd.level"), copy.get("zstd.level"), copy.given()) == (5, 9, {"zstd.level": 9})
+    for wrong in (lambda: o.set("zstd.level", 1), lambda: copy.set("zstd.level", 99), lambda: copy.get("zstd.level", "bool"), lambda: copy.set("lz4.concat", True)):
+        with pytest.raises(CodecError):
+            wrong()
+
+
+def test_memory_limits_hold():
+    big = R.randbytes(1 << 20)
+    packed = encode_bytes(big, "zstd", {"zstd.window_log": 20})
+    assert decode_bytes(packed, "zstd", {"limits.max_memory_bytes": 1 << 20}) == big
+    cases = [("zstd", packed, 1 << 18), ("xz", encode_bytes(big, "xz"), 1 << 20), ("lzma", encode_bytes(big, "lzma"), 1 << 20), ("bzip2", encode_bytes(big, "bzip2"), 1 << 20), ("gzip", encode_bytes(big, "gzip"), 1 << 14), ("lz4", encode_bytes(big, "lz4"), 1 << 20)]
+    for method, data, most in cases:
+        if "limits.max_memory_bytes" in {o.key for o in catalog.find(method).options}:
+            with pytest.raises(CodecError) as e:
+                decode_bytes(data, method, {"limits.max_memory_bytes": most})
+            assert e.value.status == "LIMIT"
+
+
+def test_detect_passes_over_any_number_of_skippable_frames(spark):
+    skips = b"".join((0x184D2A50 + k % 16).to_bytes(4, "little") + len(x).to_bytes(4, "little") + x for k, x in enumerate([b"", b"note", b"x" * 300, b"", b"\0" * 9]))
+    rows = [(n, bytearray(skips + encode_bytes(b"hello" * 50, n))) for n in ("zstd", "lz4", "gzip", "xz")] + [(None, bytearray(skips)), (None, bytearray(skips[:-3])), (None, bytearray(b""))]
+    got = spark.createDataFrame(rows, "n string, b binary").select("n", codec.detect("b").alias("d"), codec.decode_detected("b").alias("x")).collect()
+    assert all(r.n == r.d and r.x == (b"hello" * 50 if r.n else None) for r in got)
+
+
+def test_running_sums(spark):
+    pieces = [(g, i, None if i == 3 else bytearray(R.randbytes(R.randrange(3000)))) for g in (None, "a", "b") for i in range(9)]
+    df = spark.createDataFrame(pieces, "g string, i long, b binary").repartition(3)
+    whole = {g: b"".join(bytes(b) for k, _, b in pieces if k == g and b is not None) for g in (None, "a", "b")}
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    for kind, want in (("xxh32", kernels.xxh32), ("xxh64", lambda b: signed(kernels.xxh64(b))), ("crc32", zlib.crc32), ("adler32", zlib.adler32)):
+        got = {r.g: (r.digest, r.length) for r in checksums.digest_parts(df, ["g"], ["i"], "b", kind).collect()}
+        assert got == {g: (want(b), len(b)) for g, b in whole.items()}
+    for kind in ("xxh32", "xxh64"):
+        state = kernels.State(kind, 7)
+        for k in range(0, 500, 13):
+            state.update(whole["a"][k : k + 13])
+        state.digest()
+        state.update(b"more")
+        assert state.digest() == getattr(kernels, kind)(whole["a"][:507][: k + 13] + b"more", 7) == kernels._xxh(whole["a"][: k + 13] + b"more", 7, int(kind[3:]))
+        state.reset()
+        assert state.digest() == getattr(kernels, kind)(b"", 7)
+    with pytest.raises(CodecError):
+        kernels.State("md5")
+    first = df.withColumn("c", F.crc32("b")).withColumn("more", checksums.crc32_update("c", F.lit(b"tail"))).withColumn("a", checksums.adler32_update(F.lit(1), "b"))
+    for r in first.collect():
+        assert r.b is None and r.more is None or r.more == zlib.crc32(bytes(r.b) + b"tail")
+        assert r.a == (1 if r.b is None else zlib.adler32(bytes(r.b)))
+
+
 def test_checksum_columns(blobs):
     got = {r.id: r for r in blobs.select("id", checksums.adler32("b").alias("a"), checksums.xxh64("b").alias("x"), checksums.crc64("b").alias("c"), checksums.xxh64_seed42("b").alias("s")).collect()}
     signed = lambda v: v - (1 << 64) if v >> 63 else v
@@ -121,8 +201,8 @@ def test_framed_source(spark, tmp_path):
     path = str(tmp_path / "f")
     rows = [(f"k{i}", bytearray(b"x" * i)) for i in range(30)] + [(None, None)]
     spark.createDataFrame(rows, "key string, data binary").repartition(3).write.format("framed").option("method", "lz4").mode("append").save(path)
-    read = lambda: spark.read.format("framed").option("framesPerPartition", 4).load(path)
-    assert sorted(((r.key, bytes(r.data)) for r in read().collect()), key=str) == sorted([(k, bytes(d or b"")) for k, d in rows], key=str)
+    read = lambda: spark.read.format("framed").load(path)
+    assert sorted(((r.key, None if r.data is None else bytes(r.data)) for r in read().collect()), key=str) == sorted([(k, None if d is None else bytes(d)) for k, d in rows], key=str)
     few = read().where("d_len >= 10 and key like 'k1%'")
     assert "Filter" not in few._jdf.queryExecution().executedPlan().toString().replace("RuntimeFilters", "")
     assert sorted(r.key for r in few.collect()) == [f"k{i}" for i in range(10, 20)]
@@ -130,6 +210,63 @@ def test_framed_source(spark, tmp_path):
     assert read().count() == 33
 
 
+def test_framed_source_prunes_chunks_by_the_manifest(spark, tmp_path):
+    framed.register(spark)
+    path = str(tmp_path / "c")
+    rows = spark.range(100).selectExpr("format_string('k%03d', id) AS key", "cast(repeat('x', cast(id AS int)) AS binary) AS data").coalesce(1)
+    rows.write.format("framed").option("chunk", 10).mode("append").save(path)
+    read = lambda where: spark.read.format("framed").load(path).where(where)
+    assert read("key like 'k04%'").rdd.getNumPartitions() == 1 and read("key like 'k04%'").count() == 10
+    assert read("d_len >= 55 and d_len < 72").rdd.getNumPartitions() == 3 and read("d_len >= 55 and d_len < 72").count() == 17
+    assert read("key = 'k017'").rdd.getNumPartitions() == 1 and [bytes(r.data) for r in read("key = 'k017'").collect()] == [b"x" * 17]
+    assert read("key = 'none'").count() == 0 and read("true").rdd.getNumPartitions() == 10
+
+
+def test_seekable_files(spark, tmp_path):
+    path = str(tmp_path / "z")
+    texts = {"a": R.randbytes(70_000), "b": b"", "c": b"abc" * 4000, "d": R.randbytes(4096)}
+    rows = [(k, i, bytearray(v[at : at + 999])) for k, v in texts.items() for i, at in enumerate(range(0, max(1, len(v)), 999))] + [("c", 10**6, None)]
+    df = spark.createDataFrame(rows, "path string, i long, data binary").repartition(3, "path").sortWithinPartitions("path", "i").drop("i")
+    seekable.register(spark)
+    df.write.format("seekable").option("frameSize", 4096).mode("append").save(path)
+    for split in (1 << 20, 5000):
+        got = seekable.load(spark, path, splitBytes=split).orderBy("path", "frame_no").collect()
+        for k, v in texts.items():
+            mine = [r for r in got if r.path == k]
+            assert b"".join(bytes(r.data) for r in mine) == v and [r.d_off for r in mine] == list(range(0, len(v), 4096)) and [r.frame_no for r in mine] == list(range(len(mine)))
+    few = seekable.load(spark, path, splitBytes=5000).where("d_off >= 8192 and path = 'a' and d_len = 4096").select("frame_no")
+    assert "Filter" not in few._jdf.queryExecution().executedPlan().toString().replace("RuntimeFilters", "")
+    assert sorted(r.frame_no for r in few.collect()) == list(range(2, 17))
+    for offset, length in ((0, 5), (4090, 20), (8192, 4096), (10_000, 10**6), (69_999, 3), (70_000, 1)):
+        got = {r.path: bytes(r.data) for r in seekable.range_read(spark, path, offset, length).collect()}
+        assert got == {k: v[offset : offset + length] for k, v in texts.items() if len(v) > offset}
+    # Files that others wrote, with and without a table.
+    import os
+
+    import zstandard
+
+    other = tmp_path / "other"
+    os.makedirs(other)
+    (other / "plain.zst").write_bytes(zstandard.compress(b"one" * 100) + zstandard.compress(b"two" * 50))
+    (other / "seek.zst").write_bytes(encode_bytes(texts["c"], "zstd", {"zstd.seekable": True, "zstd.seekable_frame_size": 1024}))
+    got = seekable.load(spark, str(other)).orderBy("path", "frame_no").collect()
+    assert [bytes(r.data) for r in got if r.path.endswith("plain.zst")] == [b"one" * 100, b"two" * 50]
+    assert b"".join(bytes(r.data) for r in got if r.path.endswith("seek.zst")) == texts["c"]
+    whole = (other / "seek.zst").read_bytes()
+    (other / "seek.zst").write_bytes(whole[:100] + bytes([whole[100] ^ 255]) + whole[101:])
+    with pytest.raises(Exception, match="CORRUPT"):
+        seekable.load(spark, str(other)).collect()
+
+
+def test_files_are_decoded_by_what_tells_their_format(spark, tmp_path):
+    for name, method in (("a.gz", "gzip"), ("b", "xz"), ("c.zst", "zstd"), ("d.bin", "lz4"), ("e.bz2", "bzip2"), ("f.lzma", "lzma")):
+        (tmp_path / name).write_bytes(encode_bytes(name.encode() * 100, method))
+    (tmp_path / "g.txt").write_bytes(b"as it is, for nothing tells a format")
+    got = {r.path.rpartition("/")[2]: (r.method, bytes(r.data)) for r in files.read(spark, str(tmp_path)).collect()}
+    assert got["g.txt"] == (None, b"as it is, for nothing tells a format")
+    assert {k: v for k, v in got.items() if k != "g.txt"} == {n: (m, n.encode() * 100) for n, m in (("a.gz", "gzip"), ("b", "xz"), ("c.zst", "zstd"), ("d.bin", "lz4"), ("e.bz2", "bzip2"), ("f.lzma", "lzma"))}
+
+
 def test_dictionary_helps(spark):
     lines = [f'{{"user": {R.randrange(10**6)}, "action": "purchase_completed", "currency": "EUR", "amount": {R.randrange(1000)}}}'.encode() for _ in range(400)]
     df = spark.createDataFrame([(bytearray(x),) for x in lines[:300]], "b binary")
@@ -225,6 +362,86 @@ def test_streaming_replay_gives_the_same_frames(spark, tmp_path):
     assert zlib.crc32(whole) == [r.running_crc32 for r in one if r.key == "a"][-1] and len(whole) == sum(r.d_len for r in one if r.key == "a")
 
 
+def run_stream(spark, tmp_path, rows, schema, make, name):
+    """The result of make(stream) over one micro-batch for each list of rows."""
+    import time
+
+    place = tmp_path / f"{name}-in"
+    for k, few in enumerate(rows):
+        spark.createDataFrame(few, schema).coalesce(1).write.mode("append").parquet(str(place))
+        time.sleep(0.05)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(place))
+    q = make(stream).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / f"{name}-state")).trigger(availableNow=True).start(str(tmp_path / name))
+    q.awaitTermination()
+    return spark.read.parquet(str(tmp_path / name)).collect()
+
+
+@pytest.mark.parametrize("method", ["deflate", "zlib", "gzip"])
+def test_sync_flush_finish_and_reset(spark, tmp_path, method):
+    from octaframe.streaming import frames as streaming
+
+    m = lambda n: bytearray(f"message {n} says the same as the others;".encode())
+    rows = [[(1, "k", m(1), False, False), (2, "k", m(2), False, False)], [(3, "k", None, False, False), (4, "k", m(4), False, False)], [(5, "k", m(5), True, False), (6, "k", m(6), False, False)], [(7, "k", m(7), False, True), (8, "k", None, True, False)]]
+    got = run_stream(spark, tmp_path, rows, "id long, k string, v binary, e boolean, r boolean", lambda s: streaming.encode_stream(s, "k", ["id"], "v", method, flush="sync", finish="e", reset="r"), method)
+    pieces = [(r.frame_no, r.d_off, bytes(r.frame)) for r in sorted(got, key=lambda r: r.d_len)]
+    bits = {"deflate": -15, "zlib": 15, "gzip": 31}[method]
+    first = [bytes(r.frame) for r in sorted((r for r in got if r.frame_no < 3 and (r.frame_no, r.d_off) != (0, 0)), key=lambda r: r.frame_no)]
+    starts = [bytes(r.frame) for r in got if r.frame_no == 0]
+    assert len(pieces) == len(got) and len(starts) in (2, 3)
+    done = []
+    for s in starts:
+        z = zlib.decompressobj(bits)
+        out = z.decompress(s)  # decodable up to the flush
+        rest = list(first)
+        while rest and not z.eof:
+            out += z.decompress(rest.pop(0))
+        done.append((out, z.eof))
+    want = bytes(m(1) + m(2) + m(4) + m(5))
+    assert any(out == want and end for out, end in done)
+    # A repeated message costs little: the window goes on over the flushes.
+    assert min(len(f) for f in first) < 30
+    with pytest.raises(CodecError):
+        streaming.encode_stream(spark.range(1), "id", ["id"], "id", "lz4", flush="sync")
+
+
+@pytest.mark.parametrize("method", ["gzip", "zstd", "lz4", "xz", "bzip2", "zlib", "deflate"])
+def test_stream_decoder(spark, tmp_path, method):
+    from octaframe.streaming import frames as streaming
+
+    plain = [b"first frame " * 40, b"", b"second " * 9, R.randbytes(500)]
+    whole = b"".join(encode_bytes(p, method) for p in plain)
+    cuts = [0, 1, 5, len(whole) // 2, len(whole) - 3, len(whole)]
+    rows = [[(k, "good", bytearray(whole[a:b]), False)] for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+    rows[1].append((1, "null", None, False))
+    rows[2] += [(2, "bad", bytearray(b"\xff\xfe\xfd\xfc\xfb\xfa\xf9\xf8" * 9), False), (2, "left", bytearray(whole[:6]), False)]
+    rows[3] += [(3, "bad", bytearray(whole), False), (3, "left", bytearray(whole), True)]
+    rows[4] += [(4, "bad", bytearray(whole), True)]
+    got = run_stream(spark, tmp_path, rows, "n long, k string, v binary, r boolean", lambda s: streaming.decode_stream(s, "k", ["n"], "v", method, reset="r"), "d" + method)
+    by = {k: sorted((r for r in got if r.key == k), key=lambda r: r.d_off) for k in ("good", "null", "bad", "left")}
+    joined = lambda rs: b"".join(bytes(r.data) for r in rs if r.status == "OK" and r.data is not None)
+    assert joined(by["good"]) == b"".join(plain) and sum(r.frames for r in by["good"]) == 4
+    assert [r.d_off for r in by["good"]] == sorted({r.d_off for r in by["good"]}) and by["null"] == []
+    assert [r.status for r in by["bad"] if r.status != "OK"] == ["CORRUPT"] and joined(by["bad"]) == b"".join(plain)
+    assert joined(by["left"]) == b"".join(plain)
+
+
+def test_windows_of_frames(spark):
+    from octaframe.streaming import frames as streaming
+
+    rows = [(k, k * 600, f"e{k};") for k in range(200)] + [(900, 400_000, "late;")]
+    events = spark.createDataFrame(rows, "id long, s long, v string").selectExpr("id", "timestamp_seconds(s) AS ts", "v")
+    tumbling = streaming.windowed_frames(events, "ts", "1 day", ["id"], "v").orderBy("start").collect()
+    assert [r.messages for r in tumbling] == [144, 56, 1]
+    assert decode_bytes(bytes(tumbling[0].frame), "zstd") == "".join(f"e{k};" for k in range(144)).encode()
+    assert streaming.windowed_frames(events, "ts", "1 day", ["id"], "v", slide="12 hours").count() > 3
+    assert sorted(r.messages for r in streaming.windowed_frames(events, "ts", "", ["id"], "v", gap="1 hour").collect()) == [1, 200]
+    small = streaming.windowed_frames_bounded(events, "ts", "1 day", ["id"], "v", frame_bytes=100).orderBy("start", "frame_no").collect()
+    assert max(r.bytes for r in small) <= 105 and sum(r.messages for r in small) == 201
+    first = [r for r in small if r.start == small[0].start]
+    assert b"".join(decode_bytes(bytes(r.frame), "zstd") for r in first) == "".join(f"e{k};" for k in range(144)).encode()
+    assert [r.frame_no for r in first] == list(range(len(first)))
+
+
 def test_limited_huffman_lengths():
     import heapq
 
