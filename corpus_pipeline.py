@@ -30,7 +30,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     an empty one.  Other columns stay as they are.
     """
     docs, names = positional(docs)
-    scored = toxicity.score(docs, table(spark, sf_dir, "labels"), names["doc_id"], names["text"])
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias(names["doc_id"]), "toxic")
+    scored = toxicity.score(docs, labels, names["doc_id"], names["text"])
     return _named(scored.where("predicted = 0"), names)
 
 
