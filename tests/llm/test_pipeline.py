@@ -1,11 +1,16 @@
+import re
+import zlib
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from octaframe.llm import lines, mixing, toxicity
+from octaframe.llm import common, lines, mixing, packing, toxicity
 from tests.llm.test_minhash import brute
+from tests.llm.test_text_operators import brute_pack
+from tests.llm.test_toxicity import brute as brute_likelihoods
 
 SF = "/root/testdata/sf0.001"
 
@@ -37,6 +42,26 @@ def test_toxic_documents_go(spark, tables):
     assert sorted(r.doc_id for r in scored.where("predicted = 0").collect()) == sorted(r.doc_id for r in tables[1].collect())
 
 
+def test_toxic_documents_by_brute_force(spark, tables):
+    """Both likelihoods by dictionaries, the curve by plain gradient steps, the verdict by its sign."""
+    rows = [(r.doc_id, r.text, None) for r in tables[0].collect()]
+    labels = [(r.doc_id, r.toxic) for r in spark.read.parquet(f"{SF}/labels.parquet").collect()]
+    x = np.array(brute_likelihoods(rows, labels))
+    known = {i: t for i, t in labels if i is not None and t is not None}
+    fit = [k for k, r in enumerate(rows) if r[0] in known and zlib.crc32(str(r[0]).encode()) % 5 == toxicity.FIT_FOLD]
+    y = np.array([known[rows[k][0]] for k in fit], float)
+    middle, width = x[fit].mean(axis=0), x[fit].std(axis=0) + 1e-12
+    a = np.c_[np.ones(len(x)), (x - middle) / width]
+    beta = np.zeros(3)
+    for _ in range(40_000):
+        p = 1 / (1 + np.exp(-a[fit] @ beta))
+        beta -= 0.2 * (a[fit].T @ (p - y) + np.array([1e-6, 1e-2, 1e-2]) * beta) / len(fit)
+    z = a @ beta
+    sure = {rows[k][0]: z[k] < 0 for k in range(len(rows)) if abs(z[k]) > 0.05}  # gradient steps end near the curve
+    stays = {r.doc_id for r in tables[1].collect()}
+    assert len(sure) > 0.95 * len(rows) and all((i in stays) == clean for i, clean in sure.items())
+
+
 def test_recurring_lines_go(tables):
     want = {}
     for doc, _, dropped, text in in_sql(tables[1], lines.ORACLE):
@@ -59,6 +84,16 @@ def test_sources_are_mixed(tables):
     assert Counter(r.doc_id for r in tables[4].collect()) == +want
 
 
+def test_packing_by_brute_force(spark, tables):
+    """One shard: best fit that looks at every open sequence."""
+    sized = sorted((r.doc_id, len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))) for r in tables[4].collect())
+    top = max(packing.CAPACITIES)
+    pieces = [(i, min(top, n - at)) for i, n in sized for at in range(0, n, top)]
+    bins, caps = brute_pack([n for _, n in pieces], packing.CAPACITIES)
+    want = Counter((i, n, b, caps[b]) for (i, n), b in zip(pieces, bins))
+    assert Counter((r.doc_id, r.length, r.bin_id, r.capacity) for r in tables[5].collect() if r.length) == want
+
+
 def test_all_words_are_packed(tables):
     words, packed = Counter(), Counter()
     for r in tables[4].collect():
@@ -76,6 +111,63 @@ def test_run_gives_the_rows_of_the_stages(spark, tables):
     assert key(corpus_pipeline.run(spark, SF)) == key(tables[5])
 
 
+HARD = "doc_id long, text string, lang string, source string, n_chars long, score string, n_lines string, _copy long, predicted string, mix_size string, _key long, c0 string"
+
+
+def hard_rows():
+    """Nulls in any column, empty and long texts, ties, repeated rows, and names that the operators use themselves."""
+    more = ("mine", "l", 7, "p", "m", 3, "c")
+    long = " ".join(f"w{k % 977}q{k}" for k in range(30_000))
+    rows = [(1, "some words that stay here now", "en", "s", 29), (1, "some words that stay here now", "en", "s", 29), (2, None, None, None, None), (3, "", "en", None, 0), (None, "no id at all but words to read", "en", "s", 31)]
+    rows += [(4, long, "de", "t", len(long)), (5, "\n \n", "en", "s", 3), (6, "other words are quite unlike those of number one", "en", None, 48), (6, "one id with a second text that is like nothing else", "en", "t", 51)]
+    return [(*r, *more) for r in rows]
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES, ids=[n for n, _ in corpus_pipeline.STAGES])
+def test_each_stage_on_hard_rows(spark, name, stage):
+    docs = spark.createDataFrame(hard_rows(), HARD)
+    got = common.cut(stage(spark, docs, SF), "hard")
+    rows = got.collect()
+    if name == "packing":
+        assert Counter((r.doc_id, r.length) for r in rows if r.length)[(4, 8192)] == 3
+        assert sum(r.length for r in rows) == sum(len(r[1].split()) for r in hard_rows() if r[1])
+    else:
+        assert got.dtypes == docs.dtypes
+        ids = Counter((r.doc_id, r.text) for r in rows)
+        whole = {(r[0], r[1]) for r in hard_rows()}
+        assert set(ids) <= whole and {tuple(r)[5:] for r in rows} == {hard_rows()[0][5:]}
+        if name in ("toxicity", "line dedup"):
+            assert len(rows) == len(hard_rows())
+        if name == "near dedup":
+            assert set(ids) == whole and set(ids.values()) == {1}
+        if name == "mixing":
+            assert all(r.text and r.text.split() for r in rows) and rows
+    empty = stage(spark, docs.limit(0), SF)
+    assert empty.collect() == [] and (name == "packing" or empty.dtypes == docs.dtypes)
+
+
+def test_different_texts_under_one_id_are_documents_of_their_own(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(3, a), (8, a), (8, b), (9, b + " more"), (None, c), (None, c), (None, b), (7, c)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(r.text.split()[0] for r in corpus_pipeline.keep_one_of_each_group(spark, docs, "").collect())
+    assert got == {"a0": 1, "b0": 1, "c0": 1}
+
+
+def test_runs_do_not_share_scratch(spark):
+    """Tables of a stage go when it ends, and no others."""
+    before = common.cut(spark.range(3), "outside")
+    with common.scratch(spark):
+        inner = common.new_path(spark, "inside")
+        spark.range(2).write.parquet(inner)
+        with common.scratch(spark):
+            common.cut(spark.range(1), "deeper")
+        assert spark.read.parquet(inner).count() == 2
+    assert before.count() == 3
+    with pytest.raises(Exception):
+        spark.read.parquet(inner).count()
+
+
 def test_repeated_rows_stay_once(spark):
     rows = [(1, "a b c d e f g", "en", "s", 13)] * 3 + [(2, "a b c d e f g", "en", "s", 13), (3, None, None, None, None), (None, "x y", "en", "s", 3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
