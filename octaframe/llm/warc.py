@@ -5,11 +5,13 @@ The member's extra field "sl" tells its compressed and plain length, so that a
 reader can pass over a record without inflating it.  Files of attempts that
 were not committed are left out: the committed ones are listed in a manifest.
 
-Reading plans one partition per file (or several small ones), parses headers
-first, applies record-type and header predicates to them, and inflates a
-payload only if its record is wanted and the column is asked for.  Plain files
-are passed over by seeking; members without "sl" are inflated through, in
-bounded pieces.
+Reading plans a partition for several small files or for a range of bytes of a
+large one, parses headers first, applies record-type and header predicates to
+them, and inflates a payload only if its record is wanted and the column is
+asked for.  Ranges begin where the manifest says that a record does; files
+without a manifest are read by one task each, since nothing else tells that for
+sure.  Plain files are read in blocks and passed over by seeking; members without
+"sl" are inflated through, in bounded pieces.
 """
 
 from __future__ import annotations
@@ -49,9 +51,11 @@ HEADER_OF = {
     "payload_digest": "warc-payload-digest",
 }
 MANIFEST = "_manifest.json"
+#: Fixed value: the profile of a revisit of an equal payload.
+REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 PIECE = 1 << 16
 HEADER_LIMIT = 1 << 20
-#: Files of less than this share a partition.
+#: Files of less than this share a partition, larger ones are read in ranges of as much.
 PARTITION_BYTES = 64 << 20
 
 
@@ -75,36 +79,42 @@ def _member(plain: bytes, level: int = 6) -> bytes:
 
 
 class _Committed(WriterCommitMessage):
-    def __init__(self, name: str, records: int):
-        self.name, self.records = name, records
+    def __init__(self, name: str, records: int, places: list[int]):
+        self.name, self.records, self.places = name, records, places
 
 
 class WarcWriter(DataSourceWriter):
-    def __init__(self, path: str, columns: list[str], overwrite: bool):
+    def __init__(self, path: str, columns: list[str], overwrite: bool, options: dict):
         self.path, self.columns, self.overwrite = path, columns, overwrite
+        self.split = int(options.get("splitbytes", PARTITION_BYTES))
 
     def write(self, iterator) -> _Committed:
         system, root = _open(self.path)
         system.create_dir(root, recursive=True)
-        name, n = f"part-{uuid.uuid4().hex}.warc.gz", 0
+        name, n, at, places = f"part-{uuid.uuid4().hex}.warc.gz", 0, 0, [0]
         with system.open_output_stream(f"{root}/{name}", compression=None) as out:
             for row in iterator:
                 r = dict(zip(self.columns, row, strict=True))
                 payload = bytes(r.get("payload") or b"")
                 headers = [("WARC-Type", r.get("record_type") or "resource"), ("WARC-Record-ID", r.get("record_id") or f"<urn:uuid:{uuid.uuid4()}>")]
                 headers.append(("WARC-Date", r.get("warc_date") or "1970-01-01T00:00:00Z"))
+                if headers[0][1] == "revisit":
+                    headers.append(("WARC-Profile", REVISIT))
                 for column, key in (("target_uri", "WARC-Target-URI"), ("refers_to", "WARC-Refers-To"), ("payload_digest", "WARC-Payload-Digest")):
                     if r.get(column):
                         headers.append((key, r[column]))
                 headers += [(k, v) for k, v in sorted((r.get("headers") or {}).items()) if v is not None]
-                out.write(_member(_header_block(headers, len(payload)) + payload + b"\r\n\r\n"))
-                n += 1
-        return _Committed(name, n)
+                member = _member(_header_block(headers, len(payload)) + payload + b"\r\n\r\n")
+                if at - places[-1] >= self.split:
+                    places.append(at)
+                out.write(member)
+                n, at = n + 1, at + len(member)
+        return _Committed(name, n, places)
 
     def commit(self, messages) -> None:
         system, root = _open(self.path)
         system.create_dir(root, recursive=True)
-        names = [m.name for m in messages if m is not None and m.records]
+        names = [[m.name, m.places] for m in messages if m is not None and m.records]
         if not self.overwrite and system.get_file_info(f"{root}/{MANIFEST}").is_file:
             with system.open_input_stream(f"{root}/{MANIFEST}") as f:
                 names += json.loads(f.read())
@@ -122,32 +132,42 @@ class WarcWriter(DataSourceWriter):
 
 
 class _Files(InputPartition):
-    def __init__(self, names: list[str]):
-        super().__init__(names)
-        self.names = names
+    """Ranges (file, first byte, last byte + 1; None for its end) whose records a task reads."""
+
+    def __init__(self, ranges: list[tuple[str, int, int | None]]):
+        super().__init__(ranges)
+        self.ranges = ranges
 
 
 class _Plain:
-    """Bytes of an uncompressed file: read, and skip by seeking."""
+    """Bytes of an uncompressed file: read in blocks, and skip by seeking."""
 
     def __init__(self, f, size: int):
-        self.f, self.size, self.at = f, size, 0
+        self.f, self.size, self.at, self.buffer, self.start = f, size, 0, b"", 0
 
     def read(self, n: int) -> bytes:
-        out = self.f.read(n)
+        if len(self.buffer) < n:
+            self.buffer += self.f.read(max(PIECE, n - len(self.buffer)))
+        out, self.buffer = self.buffer[:n], self.buffer[n:]
         self.at += len(out)
         return out
 
+    def unread(self, data: bytes) -> None:
+        self.buffer, self.at = data + self.buffer, self.at - len(data)
+
     def skip(self, n: int) -> None:
+        if n <= len(self.buffer):
+            self.read(n)
+            return
         self.at = min(self.size, self.at + n)
+        self.buffer = b""
         self.f.seek(self.at)
 
     def next_record(self) -> bool:
-        while self.at < self.size:  # blank lines between records
-            b = self.read(1)
-            if b not in (b"\r", b"\n", b""):
-                self.at -= 1
-                self.f.seek(self.at)
+        while b := self.read(1):  # blank lines between records
+            if b not in b"\r\n":
+                self.unread(b)
+                self.start = self.at
                 return True
         return False
 
@@ -158,9 +178,12 @@ class _Plain:
 class _Gzip:
     """Plain bytes of a file of gzip members; a member with "sl" can be left without inflating the rest."""
 
-    def __init__(self, f, size: int):
+    def __init__(self, f, size: int, start: int = 0):
         self.f, self.size = f, size
-        self.start, self.length, self.buffer, self.z = 0, None, b"", None
+        self.start, self.length, self.buffer, self.z = start, None, b"", None
+
+    def unread(self, data: bytes) -> None:
+        self.buffer = data + self.buffer
 
     def _begin(self) -> None:
         self.f.seek(self.start)
@@ -234,13 +257,13 @@ def _headers(src) -> tuple[dict[str, str], dict[str, str]]:
     """Named header fields, by lower-case name and as written."""
     block = b""
     while b"\r\n\r\n" not in block:
-        piece = src.read(1 if isinstance(src, _Plain) else 4096)
+        piece = src.read(4096)
         if not piece or len(block) > HEADER_LIMIT:
             raise ValueError("WARC record without an end of headers")
         block += piece
     block, rest = block.split(b"\r\n\r\n", 1)
     if rest:
-        src.buffer = rest + src.buffer
+        src.unread(rest)
     lines, low, kept = block.decode("utf-8", "replace").split("\r\n"), {}, {}
     if not lines[0].startswith("WARC/"):
         raise ValueError(f"not a WARC record: {lines[0][:40]!r}")
@@ -277,23 +300,27 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         system, root = _open(self.path)
-        info = system.get_file_info(root)
+        info, places = system.get_file_info(root), {}
         if info.is_file:
-            return [_Files([root])]
-        if system.get_file_info(f"{root}/{MANIFEST}").is_file:
+            found = [info]
+        elif system.get_file_info(f"{root}/{MANIFEST}").is_file:
             with system.open_input_stream(f"{root}/{MANIFEST}") as f:
-                names = {f"{root}/{n}" for n in json.loads(f.read())}
-            found = [x for x in system.get_file_info(pafs.FileSelector(root)) if x.path in names]
-            if len(found) != len(names):
+                places = {f"{root}/{n}": at for n, at in json.loads(f.read())}
+            found = [x for x in system.get_file_info(pafs.FileSelector(root)) if x.path in places]
+            if len(found) != len(places):
                 raise ValueError("archives listed in the manifest are missing")
         else:
             found = [x for x in system.get_file_info(pafs.FileSelector(root, recursive=True)) if x.is_file and x.path.endswith((".warc", ".warc.gz"))]
         plan, held, size = [], [], 0
         for x in sorted(found, key=lambda x: x.path):
+            begins = places.get(x.path, [0])
+            if len(begins) > 1:
+                plan += [_Files([(x.path, at, end)]) for at, end in zip(begins, [*begins[1:], None], strict=True)]
+                continue
             if held and size + x.size > PARTITION_BYTES:
                 plan, held, size = [*plan, _Files(held)], [], 0
-            held, size = [*held, x.path], size + x.size
-        return [*plan, _Files(held)] if held else plan or [_Files([])]
+            held, size = [*held, (x.path, 0, None)], size + x.size
+        return [*plan, *([_Files(held)] if held else [])] or [_Files([])]
 
     def _wanted(self, low: dict[str, str]) -> bool:
         for kind, column, value in self.tests:
@@ -305,13 +332,14 @@ class WarcReader(DataSourceReader):
     def read(self, partition: _Files) -> Iterator[tuple]:
         system, _ = _open(self.path)
         payload = "payload" in self.columns
-        for name in partition.names:
+        for name, start, last in partition.ranges:
             with system.open_input_file(name) as f:
                 size = f.size()
-                first = f.read(2)
-                f.seek(0)
-                src = _Gzip(f, size) if first == b"\x1f\x8b" else _Plain(f, size)
-                while src.next_record():
+                f.seek(start)
+                gzip = f.read(2) == b"\x1f\x8b"
+                f.seek(start)
+                src = _Gzip(f, size, start) if gzip else _Plain(f, size)
+                while (last is None or src.start < last) and src.next_record():
                     low, kept = _headers(src)
                     length = int(low.get("content-length", "0"))
                     wanted = self._wanted(low)
@@ -326,7 +354,7 @@ class WarcReader(DataSourceReader):
 
 
 class WarcDataSource(DataSource):
-    """format("warc"): option path, and recordType (a list with commas) to read certain types alone."""
+    """format("warc"): options path, recordType (a list with commas) to read certain types alone, splitBytes (writing) of the ranges that large files are read in."""
 
     @classmethod
     def name(cls) -> str:
@@ -345,7 +373,7 @@ class WarcDataSource(DataSource):
         return WarcReader(self._path(), schema.names, {k.lower(): v for k, v in self.options.items()})
 
     def writer(self, schema: StructType, overwrite: bool) -> WarcWriter:
-        return WarcWriter(self._path(), schema.names, overwrite)
+        return WarcWriter(self._path(), schema.names, overwrite, {k.lower(): v for k, v in self.options.items()})
 
 
 def register(spark: SparkSession) -> None:
@@ -402,7 +430,12 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """Archive pages in the shared folder and read them back: page_id, payload_bytes, payload_digest, record_type, refers_to, target_uri.
 
     Length and digest of responses come from the payload that was read, those of
-    revisits from their headers.
+    revisits from their headers.  Null and empty payloads are responses of no
+    bytes.  Repeated rows are a record each; of equal payloads those of the
+    smallest id are the response, all others revisit it.  A row with a null id
+    comes back with a null id.  Payloads of any length are written whole.  Other
+    columns of pages are not looked at, whatever their names.  An empty table
+    gives an empty result.
     """
     spark = pages.sparkSession
     path = new_path(spark, "warc")

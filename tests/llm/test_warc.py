@@ -73,3 +73,19 @@ def test_predicates_are_pushed(spark, tmp_path):
     (tmp_path / "a.warc").write_bytes(b"".join(foreign()))
     plan = warc.records(spark, str(tmp_path)).where("record_type = 'request'")._jdf.queryExecution().executedPlan().toString()
     assert "Filter" not in plan.replace("RuntimeFilters", "")
+
+
+def test_large_archives_are_read_in_ranges(spark, tmp_path):
+    """Every record once, whatever the size of the ranges; and a payload that looks like members is none."""
+    warc.register(spark)
+    trap = bytearray(warc._member(b"WARC/1.1\r\nWARC-Type: response\r\n\r\n") * 50)
+    rows = [(f"<urn:{i}>", "revisit" if i % 5 == 4 else "response", bytearray(hashlib.sha256(str(i).encode()).digest() * (i % 40))) for i in range(1500)]
+    records = spark.createDataFrame([*rows, ("<urn:trap>", "resource", trap)], "record_id string, record_type string, payload binary").coalesce(1)
+    for split in (1 << 30, 30_000, 997):
+        path = str(tmp_path / str(split))
+        records.write.format("warc").option("splitBytes", split).mode("append").save(path)
+        df = spark.read.format("warc").load(path)
+        assert {r.record_id: bytes(r.payload) for r in df.collect()} == {i: bytes(b) for i, _, b in rows} | {"<urn:trap>": bytes(trap)}
+        assert df.count() == 1501 and (df.rdd.getNumPartitions() > 1) == (split < 1 << 30)
+        revisits = spark.read.format("warc").load(path).where("record_type = 'revisit'").select("headers").collect()
+        assert len(revisits) == 300 and all(r.headers["WARC-Profile"] == warc.REVISIT for r in revisits)
