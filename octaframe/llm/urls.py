@@ -1,12 +1,14 @@
 """URL filter: explicit rules first, then a path-template tree with smoothed labelled purity.
 
-Paths are collapsed to three segments and a rest, digits masked.  Level by
-level below each host, a segment that is one of many and rare becomes a
-wildcard.  Then siblings that differ in one segment alone, and whose labelled
+Paths are collapsed to their segments, digits masked.  The tree is as deep as
+the deepest path, but for MOST_DEPTH: what follows there counts as one segment.
+Level by level below each host, a segment that is one of many and rare becomes
+a wildcard.  Then siblings that differ in one segment alone, and whose labelled
 shares of blocked pages do not differ statistically, are merged.  A template
 is rejected when its share of blocked pages, smoothed by that of its host and
 of all pages, is above a threshold.  Every step is an aggregation with map-side
-sums and an equality join.  The steps are SQL, the same for any engine.
+sums and an equality join; the joins of pages have the segment in their key,
+so that a giant host is spread out.  The steps are SQL, the same for any engine.
 """
 
 from __future__ import annotations
@@ -28,7 +30,8 @@ RULES = (
 MANY, RARE = 8, 0.05
 #: Squared normal quantile for "not different", the weight of the prior, and the share that rejects.
 CHI, PRIOR, REJECT = 3.84, 4.0, 0.5
-_T = ["t1", "t2", "t3", "t4"]
+#: Levels below a host at most; a path's segments from there on are one.
+MOST_DEPTH = 10
 
 
 def _rule_sql(rules) -> tuple[str, str]:
@@ -42,65 +45,70 @@ def _rule_sql(rules) -> tuple[str, str]:
     return case(1), case(2)
 
 
-def _steps() -> list[tuple[str, str]]:
-    """Named queries from w0 (host, s1..s4, n, lab, blk) to the templates; names in braces are earlier results."""
-    steps, s = [], "w.host, w.s1, w.s2, w.s3, w.s4, w.n, w.lab, w.blk"
-    for i in range(1, 5):
-        over = ", ".join(["host", *_T[: i - 1]])
-        same = " AND ".join(f"w.{c} = k.{c}" for c in ["host", *_T[: i - 1]])
-        both = " AND ".join(f"k.{c} = q.{c}" for c in ["host", *_T[: i - 1]])
-        t = "".join(f", w.{c}" for c in _T[: i - 1])
-        steps.append((f"k{i}", f"SELECT {over}, s{i}, CAST(sum(n) AS BIGINT) AS c FROM {{w{i - 1}}} GROUP BY {over}, s{i}"))
-        steps.append((f"q{i}", f"SELECT {over}, count(*) AS k, CAST(sum(c) AS BIGINT) AS c FROM {{k{i}}} GROUP BY {over}"))
-        steps.append((
-            f"w{i}",
-            f"SELECT {s}{t}, CASE WHEN w.s{i} <> '' AND q.k > {MANY} AND k.c < {RARE} * q.c THEN '*' ELSE w.s{i} END AS t{i} "
-            f"FROM {{w{i - 1}}} w JOIN {{k{i}}} k ON {same} AND w.s{i} = k.s{i} JOIN {{q{i}}} q ON {both}",
-        ))
-    for i in range(1, 5):
-        at, now, cols = 4 + i, _T[i - 1], ", ".join(["host", *_T])
-        rest = [c for c in ["host", *_T] if c != now]
-        steps.append((f"g{i}", f"SELECT {cols}, CAST(sum(lab) AS BIGINT) AS lab, CAST(sum(blk) AS BIGINT) AS blk FROM {{w{at - 1}}} GROUP BY {cols}"))
-        steps.append((
-            f"p{i}",
-            f"SELECT {', '.join(rest)}, CAST(sum(lab) AS BIGINT) AS lab, CAST(sum(blk) AS BIGINT) AS blk, count(*) AS k FROM {{g{i}}} WHERE {now} <> '' GROUP BY {', '.join(rest)}",
-        ))
+def _t(depth: int) -> list[str]:
+    return [f"t{i}" for i in range(1, depth + 1)]
+
+
+def _s(depth: int) -> list[str]:
+    return [f"s{i}" for i in range(1, depth + 1)]
+
+
+def _steps(depth: int) -> list[tuple[str, str]]:
+    """Named queries from w0 (host, s1..., n, lab, blk) to the templates; names in braces are earlier results."""
+    steps, t_all = [], _t(depth)
+    s = ", ".join(f"w.{c}" for c in ["host", *_s(depth), "n", "lab", "blk"])
+    for i in range(1, depth + 1):
+        over = ["host", *t_all[: i - 1]]
+        same = " AND ".join(f"k.{c} = q.{c}" for c in over)
+        hit = " AND ".join(f"w.{c} = r.{c}" for c in [*over, f"s{i}"])
+        cols = ", ".join(over)
+        steps += [
+            (f"k{i}", f"SELECT {cols}, s{i}, CAST(sum(n) AS BIGINT) AS c FROM {{w{i - 1}}} GROUP BY {cols}, s{i}"),
+            (f"q{i}", f"SELECT {cols}, CAST(sum(c) AS BIGINT) AS c FROM {{k{i}}} GROUP BY {cols} HAVING count(*) > {MANY}"),
+            (f"r{i}", f"SELECT {', '.join(f'k.{c}' for c in over)}, k.s{i} FROM {{k{i}}} k JOIN {{q{i}}} q ON {same} WHERE k.s{i} <> '' AND k.c < {RARE} * q.c"),
+            (f"w{i}", f"SELECT {s}{''.join(f', w.{c}' for c in t_all[: i - 1])}, CASE WHEN r.host IS NULL THEN w.s{i} ELSE '*' END AS t{i} FROM {{w{i - 1}}} w LEFT JOIN {{r{i}}} r ON {hit}"),
+        ]
+    for i in range(1, depth + 1):
+        at, now, cols = depth + i, t_all[i - 1], ["host", *t_all]
+        rest = [c for c in cols if c != now]
         # (blk - lab * share)^2 against chi * lab * share * (1 - share), times the squared pooled count: integers alone.
         alike = (
-            f"p.k > 1 AND (p.lab = 0 OR g.lab = 0 OR (CAST(g.blk AS DOUBLE) * p.lab - CAST(g.lab AS DOUBLE) * p.blk) * "
-            f"(CAST(g.blk AS DOUBLE) * p.lab - CAST(g.lab AS DOUBLE) * p.blk) <= {CHI} * g.lab * p.blk * (CAST(p.lab AS DOUBLE) - p.blk))"
+            f"p.lab = 0 OR g.lab = 0 OR (CAST(g.blk AS DOUBLE) * p.lab - CAST(g.lab AS DOUBLE) * p.blk) * "
+            f"(CAST(g.blk AS DOUBLE) * p.lab - CAST(g.lab AS DOUBLE) * p.blk) <= {CHI} * g.lab * p.blk * (CAST(p.lab AS DOUBLE) - p.blk)"
         )
-        t = ", ".join(f"CASE WHEN w.{c} <> '' AND {alike} THEN '*' ELSE w.{c} END AS {c}" if c == now else f"w.{c}" for c in _T)
-        steps.append((
-            f"w{at}",
-            f"SELECT {s}, {t} FROM {{w{at - 1}}} w JOIN {{g{i}}} g ON {' AND '.join(f'w.{c} = g.{c}' for c in ['host', *_T])} "
-            f"LEFT JOIN {{p{i}}} p ON {' AND '.join(f'w.{c} = p.{c}' for c in rest)}",
-        ))
+        steps += [
+            (f"g{i}", f"SELECT {', '.join(cols)}, CAST(sum(lab) AS BIGINT) AS lab, CAST(sum(blk) AS BIGINT) AS blk FROM {{w{at - 1}}} GROUP BY {', '.join(cols)}"),
+            (f"p{i}", f"SELECT {', '.join(rest)}, CAST(sum(lab) AS BIGINT) AS lab, CAST(sum(blk) AS BIGINT) AS blk FROM {{g{i}}} WHERE {now} <> '' GROUP BY {', '.join(rest)} HAVING count(*) > 1"),
+            (f"m{i}", f"SELECT {', '.join(f'g.{c}' for c in cols)} FROM {{g{i}}} g JOIN {{p{i}}} p ON {' AND '.join(f'g.{c} = p.{c}' for c in rest)} WHERE g.{now} <> '' AND ({alike})"),
+            (f"w{at}", f"SELECT {s}, {', '.join(f'CASE WHEN m.host IS NULL THEN w.{c} ELSE {chr(39)}*{chr(39)} END AS {c}' if c == now else f'w.{c}' for c in t_all)} FROM {{w{at - 1}}} w LEFT JOIN {{m{i}}} m ON {' AND '.join(f'w.{c} = m.{c}' for c in cols)}"),
+        ]
     return steps
 
 
-def _purity(lab: str, blk: str) -> str:
-    """SQL for (host, s1..s4, template, purity); lab, blk: expressions for all labelled and all blocked pages."""
-    cols = ", ".join(["host", *_T])
+def _purity(depth: int, lab: str, blk: str) -> str:
+    """SQL for (host, s1..., template, purity); lab, blk: expressions for all labelled and all blocked pages."""
+    cols, w = ["host", *_t(depth)], f"{{w{2 * depth}}}"
+    listed = ", ".join(cols)
+    template = "rtrim('/', concat(" + ", ".join(f"'/', w.{c}" for c in _t(depth)) + "))" if depth else "''"
     prior = f"((h.blk + {PRIOR} * (({blk} + {PRIOR / 2}) / ({lab} + {PRIOR}))) / (h.lab + {PRIOR}))"
     return (
-        f"SELECT w.host, w.s1, w.s2, w.s3, w.s4, concat('/', w.t1, '/', w.t2, '/', w.t3, '/', w.t4) AS template, "
-        f"(g.blk + {PRIOR} * {prior}) / (g.lab + {PRIOR}) AS purity FROM {{w8}} w "
-        f"JOIN (SELECT {cols}, sum(lab) AS lab, sum(blk) AS blk FROM {{w8}} GROUP BY {cols}) g ON {' AND '.join(f'w.{c} = g.{c}' for c in ['host', *_T])} "
-        f"JOIN (SELECT host, sum(lab) AS lab, sum(blk) AS blk FROM {{w8}} GROUP BY host) h ON w.host = h.host"
+        f"SELECT {', '.join(f'w.{c}' for c in ['host', *_s(depth)])}, {template} AS template, "
+        f"(g.blk + {PRIOR} * {prior}) / (g.lab + {PRIOR}) AS purity FROM {w} w "
+        f"JOIN (SELECT {listed}, sum(lab) AS lab, sum(blk) AS blk FROM {w} GROUP BY {listed}) g ON {' AND '.join(f'w.{c} = g.{c}' for c in cols)} "
+        f"JOIN (SELECT host, sum(lab) AS lab, sum(blk) AS blk FROM {w} GROUP BY host) h ON w.host = h.host"
     )
 
 
-_STORED = {"w4", "w8", "g1", "g2", "g3", "g4", "w5", "w6", "w7", "w1", "w2", "w3"}
-
-
 def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """page_id, host, path, rule, verdict, template, purity for each row of pages.
 
     Labels of the tree are the verdicts of the rules (a bounded list).  A null url
-    or one without :// has an empty host and path.  Repeated rows are judged
-    alike and each counts as a page.  Where nothing is labelled every purity is one
-    half, which does not reject.  An empty table gives an empty result.
+    or one without :// has an empty host and path.  Urls of any length are taken
+    whole; from the segment MOST_DEPTH on, a path's rest is one segment.  Repeated
+    rows are judged alike and each counts as a page.  Of rules that fit the longest
+    holds.  Where nothing is labelled every purity is one half, which does not
+    reject; nor does a purity of exactly REJECT.  Other columns of pages are not
+    looked at, whatever their names.  An empty table gives an empty result.
     """
     spark = pages.sparkSession
     url = F.coalesce(F.col(url_col), F.lit(""))
@@ -113,22 +121,25 @@ def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
     )
     seen = seen.withColumns({"rule": F.expr(rule), "said": F.expr(verdict)})
     masked = F.split(F.regexp_replace("path", "[0-9]+", "0"), "/", -1)
+    depth = min(MOST_DEPTH, max(1, (seen.agg(F.max(F.size(masked))).first()[0] or 0) - 1))
     part = lambda i: F.coalesce(F.try_element_at(masked, F.lit(i)), F.lit(""))
-    rest = F.array_join(F.slice(masked, 5, 1 << 20), "/")
-    seen = seen.withColumns({"s1": part(2), "s2": part(3), "s3": part(4), "s4": rest})
-    leaves = seen.groupBy("host", "s1", "s2", "s3", "s4").agg(
+    rest = F.array_join(F.slice(masked, depth + 1, (1 << 31) - 1 - depth), "/")
+    levels = _s(depth)
+    seen = seen.withColumns({c: part(i + 2) if i < depth - 1 else rest for i, c in enumerate(levels)})
+    leaves = seen.groupBy("host", *levels).agg(
         F.count("*").alias("n"),
         F.count("said").alias("lab"),
         F.count(F.when(F.col("said") == "block", 1)).alias("blk"),
     )
     made = {"w0": cut(leaves, "url-leaves")}
-    for name, sql in _steps():
+    for name, sql in _steps(depth):
         got = spark.sql(sql, **{k: v for k, v in made.items() if "{" + k + "}" in sql})
-        made[name] = cut(got, f"url-{name}") if name in _STORED else got
+        made[name] = cut(got, f"url-{name}") if name[0] in "wg" else got
     lab, blk = made["w0"].agg(F.coalesce(F.sum("lab"), F.lit(0)), F.coalesce(F.sum("blk"), F.lit(0))).first()
-    purity = cut(spark.sql(_purity(str(lab), str(blk)), w8=made["w8"]), "url-purity")
-    on = [F.col(c) == F.col("m_" + c) for c in ("host", "s1", "s2", "s3", "s4")]
-    told = purity.withColumnsRenamed({c: "m_" + c for c in ("host", "s1", "s2", "s3", "s4")})
+    last = f"w{2 * depth}"
+    purity = cut(spark.sql(_purity(depth, str(lab), str(blk)), **{last: made[last]}), "url-purity")
+    on = [F.col(c) == F.col("m_" + c) for c in ("host", *levels)]
+    told = purity.withColumnsRenamed({c: "m_" + c for c in ("host", *levels)})
     out = seen.join(broadcast_if_small(told, max_rows=500_000, max_bytes=64 << 20), on, "left")
     own = F.when(F.col("purity") > REJECT, "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", F.coalesce("said", own).alias("verdict"), "template", "purity")
@@ -136,16 +147,21 @@ def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
 
 def oracle() -> str:
     rule, verdict = _rule_sql(RULES)
-    ctes = ", ".join(f"{n} AS ({q.replace('{', '').replace('}', '')})" for n, q in _steps())
-    purity = _purity("(SELECT lab FROM total)", "(SELECT blk FROM total)").replace("{", "").replace("}", "")
+    plain = lambda q: q.replace("{", "").replace("}", "")
+    # DuckDB's rtrim has its arguments the other way round.
+    steps = ", ".join(f"{n} AS MATERIALIZED ({plain(q)})" for n, q in _steps(MOST_DEPTH))
+    purity = plain(_purity(MOST_DEPTH, "(SELECT lab FROM total)", "(SELECT blk FROM total)"))
+    purity = purity.replace("rtrim('/', concat(", "rtrim(concat(").replace(")) AS template", "), '/') AS template")
+    levels = _s(MOST_DEPTH)
+    parts = ", ".join(f"coalesce(m[{i + 2}], '') AS {c}" for i, c in enumerate(levels[:-1]))
     return f"""
 WITH x0 AS (
   SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
 x1 AS (SELECT *, {rule} AS rule, {verdict} AS said, string_split(regexp_replace(path, '[0-9]+', '0', 'g'), '/') AS m FROM x0),
-x AS (SELECT *, coalesce(m[2], '') AS s1, coalesce(m[3], '') AS s2, coalesce(m[4], '') AS s3, coalesce(array_to_string(m[5:], '/'), '') AS s4 FROM x1),
-w0 AS (SELECT host, s1, s2, s3, s4, count(*) AS n, count(said) AS lab, count(CASE WHEN said = 'block' THEN 1 END) AS blk FROM x GROUP BY ALL),
-{ctes}, total AS (SELECT sum(lab) AS lab, sum(blk) AS blk FROM w0), m AS ({purity})
+x AS MATERIALIZED (SELECT *, {parts}, coalesce(array_to_string(m[{MOST_DEPTH + 1}:], '/'), '') AS {levels[-1]} FROM x1),
+w0 AS MATERIALIZED (SELECT host, {', '.join(levels)}, count(*) AS n, count(said) AS lab, count(CASE WHEN said = 'block' THEN 1 END) AS blk FROM x GROUP BY ALL),
+{steps}, total AS (SELECT sum(lab) AS lab, sum(blk) AS blk FROM w0), m AS ({purity})
 SELECT x.page_id, x.host, x.path, x.rule, coalesce(x.said, CASE WHEN m.purity > {REJECT} THEN 'block' ELSE 'allow' END) AS verdict, m.template
-FROM x LEFT JOIN m ON x.host = m.host AND x.s1 = m.s1 AND x.s2 = m.s2 AND x.s3 = m.s3 AND x.s4 = m.s4
+FROM x LEFT JOIN m ON x.host = m.host AND {' AND '.join(f'x.{c} = m.{c}' for c in levels)}
 """

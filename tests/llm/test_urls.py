@@ -1,3 +1,7 @@
+import random
+
+import duckdb
+
 from octaframe.llm import urls
 
 SCHEMA = "page_id long, url string, verdict string"
@@ -38,3 +42,32 @@ def test_merge_keeps_different_branches_apart(spark):
 
 def test_empty(spark):
     assert judge(spark, []) == {}
+
+
+def test_segments_below_the_third_generalise_too(spark):
+    rules = (("h.com", "bad/", "block"), ("h.com", "good/", "allow"))
+    pages = [f"http://h.com/{a}/b/c/d/u{chr(97 + k % 26)}x{chr(97 + k // 26)}/end/x" for a in ("bad", "good", "new") for k in range(60)]
+    got = judge(spark, pages, rules=rules)
+    assert {r.template.split("/")[5] for r in got.values()} == {"*"} and {r.template.split("/")[6] for r in got.values()} == {"end"}
+    assert {got[i].verdict for i in range(60)} == {"block"} and {got[i].verdict for i in range(60, 120)} == {"allow"}
+
+
+def test_deep_paths_against_sql(spark):
+    """Paths of up to 14 segments, in DuckDB by the same steps with a fixed depth."""
+    rng = random.Random(6)
+    hosts = ["a.com", "x.example.com", "b.net", "c.org", "d.io"]
+    urls_ = [None, "", "no scheme"]
+    for _ in range(3000):
+        n = rng.choice([0, 1, 2, 3, 5, 8, 14])
+        path = "/".join(rng.choice(["en", "de", "es", "a", "b", f"i{rng.randrange(60)}", f"w{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}"]) for _ in range(n))
+        urls_.append(f"http://{rng.choice(hosts)}/{path}{rng.choice(['', '/', '?q', '#f'])}")
+    urls_ += ["http://a.com/" + "z/" * 3000, "http://a.com//x//y"]
+    rows = [(i, u, "x", "mine") for i, u in enumerate(urls_)] + [(5, urls_[5], "x", "mine")] * 3 + [(None, urls_[9], None, None)]
+    docs = spark.createDataFrame(rows, SCHEMA + ", s1 string")
+    con = duckdb.connect()
+    con.register("rows", docs.toArrow())
+    con.sql("CREATE TABLE pages AS SELECT * FROM rows")
+    got = urls.judge(docs)
+    want = con.sql(urls.oracle())
+    key = lambda rs: sorted((tuple(r) for r in rs), key=str)
+    assert key(got.select(*want.columns).collect()) == key(want.fetchall())
