@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ AXES_SAMPLE = 8192
 GRID_DIMS = 4
 #: Vectors in a stored sequence interval, and in the intervals at which recursion ends.
 INTERVAL, LEAF = 1024, 64
+#: Bytes of neighbouring intervals that travel together, about, and are joined with those of another such tile.
+TILE_BYTES = 4 << 20
 #: What double arithmetic may be off by, far above its error for unit vectors.
 SLACK = 1e-9
 
@@ -76,36 +79,46 @@ def _placed(axes: np.ndarray, eps: float):
     return run
 
 
-INTERVALS = "iid long, label int, dim int, lo array<long>, hi array<long>, ids binary, copies binary, cells binary, vecs binary"
-
-
-def _intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cut the sorted rows of a partition into intervals of one label and dimension."""
-    for b in batches:
-        col = dict(zip(b.schema.names, b.columns, strict=True))
-        label, dim, ids, copies = (col[c].to_numpy() for c in ("label", "dim", "id", "copies"))
-        cells = np.stack([col[f"c{i}"].to_numpy() for i in range(GRID_DIMS)], axis=1)
-        flat = col["vec"].flatten().to_numpy()
-        at = np.r_[0, np.cumsum(dim)]
-        starts = np.flatnonzero(np.r_[True, (label[1:] != label[:-1]) | (dim[1:] != dim[:-1])]) if len(ids) else []
-        for s, e in zip(starts, [*starts[1:], len(ids)], strict=True):
-            for x in range(s, e, INTERVAL):
-                y = min(e, x + INTERVAL)
-                key = xxhash.xxh3_64_intdigest(ids[x:y].tobytes() + flat[at[x] : at[y]].tobytes() + label[x : x + 1].tobytes())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([key - (1 << 64) if key >> 63 else key], pa.int64()),
-                        pa.array([label[x]], pa.int32()),
-                        pa.array([dim[x]], pa.int32()),
-                        pa.array([cells[x:y].min(axis=0).tolist()], pa.list_(pa.int64())),
-                        pa.array([cells[x:y].max(axis=0).tolist()], pa.list_(pa.int64())),
-                        pa.array([ids[x:y].tobytes()], pa.binary()),
-                        pa.array([copies[x:y].tobytes()], pa.binary()),
-                        pa.array([cells[x:y].tobytes()], pa.binary()),
-                        pa.array([flat[at[x] : at[y]].tobytes()], pa.binary()),
-                    ],
-                    names=["iid", "label", "dim", "lo", "hi", "ids", "copies", "cells", "vecs"],
-                )
+INTERVALS = "iid long, tile long, label int, dim int, lo array<long>, hi array<long>, ids binary, copies binary, cells binary, vecs binary"
+
+
+def _intervals(interval: int, tile_bytes: int):
+    """Cut the sorted rows of a partition into intervals of one label and dimension, and these into tiles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, tile, held = TaskContext.get().partitionId() << 32, 0, 0
+        for b in batches:
+            col = dict(zip(b.schema.names, b.columns, strict=True))
+            label, dim, ids, copies = (col[c].to_numpy() for c in ("label", "dim", "id", "copies"))
+            cells = np.stack([col[f"c{i}"].to_numpy() for i in range(GRID_DIMS)], axis=1)
+            flat = col["vec"].flatten().to_numpy()
+            at = np.r_[0, np.cumsum(dim)]
+            starts = np.flatnonzero(np.r_[True, (label[1:] != label[:-1]) | (dim[1:] != dim[:-1])]) if len(ids) else []
+            for s, e in zip(starts, [*starts[1:], len(ids)], strict=True):
+                for x in range(s, e, interval):
+                    y = min(e, x + interval)
+                    size = 8 * int(at[y] - at[x])
+                    if held and held + size > tile_bytes:
+                        tile, held = tile + 1, 0
+                    held += size
+                    key = xxhash.xxh3_64_intdigest(ids[x:y].tobytes() + flat[at[x] : at[y]].tobytes() + label[x : x + 1].tobytes())
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([key - (1 << 64) if key >> 63 else key], pa.int64()),
+                            pa.array([part + tile], pa.int64()),
+                            pa.array([label[x]], pa.int32()),
+                            pa.array([dim[x]], pa.int32()),
+                            pa.array([cells[x:y].min(axis=0).tolist()], pa.list_(pa.int64())),
+                            pa.array([cells[x:y].max(axis=0).tolist()], pa.list_(pa.int64())),
+                            pa.array([ids[x:y].tobytes()], pa.binary()),
+                            pa.array([copies[x:y].tobytes()], pa.binary()),
+                            pa.array([cells[x:y].tobytes()], pa.binary()),
+                            pa.array([flat[at[x] : at[y]].tobytes()], pa.binary()),
+                        ],
+                        names=["iid", "tile", "label", "dim", "lo", "hi", "ids", "copies", "cells", "vecs"],
+                    )
+
+    return run
 
 
 class _Side:
@@ -119,8 +132,8 @@ class _Side:
 class _Join:
     """Recursive join of two sequence intervals."""
 
-    def __init__(self, a: _Side, b: _Side, same: bool, least: float):
-        self.a, self.b, self.same, self.least = a, b, same, least
+    def __init__(self, a: _Side, b: _Side, same: bool, least: float, end: int):
+        self.a, self.b, self.same, self.least, self.end = a, b, same, least, end
         self.links_a, self.links_b = np.zeros(len(a.ids), np.int64), np.zeros(len(b.ids), np.int64)
         n = len(a.ids) + (0 if same else len(b.ids))
         self.parent = list(range(n))
@@ -138,11 +151,11 @@ class _Join:
         # Cells two apart on any axis are more than epsilon apart.
         if (np.maximum(cb.min(axis=0) - ca.max(axis=0), ca.min(axis=0) - cb.max(axis=0)) > 1).any():
             return
-        if a1 - a0 <= LEAF and b1 - b0 <= LEAF:
+        if a1 - a0 <= self.end and b1 - b0 <= self.end:
             self.leaf(a0, a1, b0, b1)
             return
-        halves_a = [(a0, a1)] if a1 - a0 <= LEAF else [(a0, (a0 + a1) // 2), ((a0 + a1) // 2, a1)]
-        halves_b = [(b0, b1)] if b1 - b0 <= LEAF else [(b0, (b0 + b1) // 2), ((b0 + b1) // 2, b1)]
+        halves_a = [(a0, a1)] if a1 - a0 <= self.end else [(a0, (a0 + a1) // 2), ((a0 + a1) // 2, a1)]
+        halves_b = [(b0, b1)] if b1 - b0 <= self.end else [(b0, (b0 + b1) // 2), ((b0 + b1) // 2, b1)]
         for x in halves_a:
             for y in halves_b:
                 if not self.same or x[0] <= y[0]:
@@ -173,25 +186,29 @@ class _Join:
 FOUND = "id long, links long, other long"
 
 
-def _joined(least: float):
+def _joined(least: float, end: int):
     """Rows (id, links, null) add links to a vector; rows (id, 0, other) are a forest of links."""
 
-    def run(pair: pa.Table) -> pa.Table:
-        row = pair.to_pylist()[0]
-        same = row["ida"] == row["idb"]
-        a = _Side(row)
-        j = _Join(a, a if same else _Side({c: row[c + "2"] for c in ("ids", "copies", "cells", "vecs")}), same, least)
-        j.run(0, len(j.a.ids), 0, len(j.b.ids))
-        ids, links = (a.ids, j.links_a + j.links_b) if same else (np.r_[a.ids, j.b.ids], np.r_[j.links_a, j.links_b])
-        some = np.flatnonzero(links)
-        left, right = [e[0] for e in j.edges], [e[1] for e in j.edges]
-        return pa.table(
-            {
-                "id": pa.array(np.r_[ids[some], np.array(left, np.int64)], pa.int64()),
-                "links": pa.array(np.r_[links[some], np.zeros(len(left), np.int64)], pa.int64()),
-                "other": pa.array([None] * len(some) + right, pa.int64()),
-            }
-        )
+    def run(unit: pa.Table) -> pa.Table:
+        """The intervals of one tile among themselves, or of two with each other."""
+        rows = sorted(unit.to_pylist(), key=lambda r: (r["tile"], r["iid"]))
+        sides = [_Side(r) for r in rows]
+        one, out = rows[0]["ta"] == rows[0]["tb"], []
+        for i, a in enumerate(rows):
+            for j in range(i, len(rows)):
+                b = rows[j]
+                if (a["label"], a["dim"]) != (b["label"], b["dim"]) or (not one and a["tile"] == b["tile"]):
+                    continue
+                join = _Join(sides[i], sides[j], i == j, least, end)
+                join.run(0, len(sides[i].ids), 0, len(sides[j].ids))
+                ids, links = (sides[i].ids, join.links_a + join.links_b) if i == j else (np.r_[sides[i].ids, sides[j].ids], np.r_[join.links_a, join.links_b])
+                some = np.flatnonzero(links)
+                left, right = ([e[k] for e in join.edges] for k in (0, 1))
+                out.append((np.r_[ids[some], np.array(left, np.int64)], np.r_[links[some], np.zeros(len(left), np.int64)], [None] * len(some) + right))
+        if not out:
+            return pa.table({"id": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "other": pa.array([], pa.int64())})
+        ids, links = (np.concatenate([x[k] for x in out]) for k in (0, 1))
+        return pa.table({"id": pa.array(ids, pa.int64()), "links": pa.array(links, pa.int64()), "other": pa.array([o for x in out for o in x[2]], pa.int64())})
 
     return run
 
@@ -207,8 +224,9 @@ def epsilon_join(
     are components of their own (with a null id: null, kept).  Equal vectors of
     a label are joined once and counted as often as they occur.  Repeated rows
     count as vectors of their own in n_links; different vectors under one id are
-    one node.  An empty table gives
-    an empty result.
+    one node.  A cosine of exactly ``least`` links, ties need no order.  Vectors of
+    any length are taken whole, in tiles of bounded bytes.  Other columns are not
+    looked at, whatever their names.  An empty table gives an empty result.
     """
     eps = float(np.sqrt(2 - 2 * least)) + SLACK
     plain = vectors.select(
@@ -222,25 +240,25 @@ def epsilon_join(
     cells = [f"c{i}" for i in range(GRID_DIMS)]
     schema = "id long, label int, copies long, vec array<double>, dim int, " + ", ".join(f"{c} long" for c in cells)
     placed = unique.select("id", "label", "copies", "vec").mapInArrow(_placed(_axes(unique), eps), schema)
-    parts = max(1, min(10_000, -(-unique.count() // (4 * INTERVAL))))
+    parts = max(1, min(10_000, -(-unique.count() // (8 * INTERVAL))))
     order = ["label", "dim", *cells, "id"]
     ordered = placed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    intervals = cut(ordered.mapInArrow(_intervals, INTERVALS), "ego-intervals")
-    boxes = cut(intervals.select("iid", "label", "dim", "lo", "hi"), "ego-boxes")
+    intervals = cut(ordered.mapInArrow(_intervals(INTERVAL, TILE_BYTES), INTERVALS), "ego-intervals")
+    boxes = cut(intervals.select("iid", "tile", "label", "dim", "lo", "hi"), "ego-boxes")
     # Intervals that may touch on the first axis meet in a common cell; then all axes are held against each other.
     reach = boxes.withColumn("cell", F.explode(F.sequence(F.col("lo")[0], F.col("hi")[0] + 1)))
     far = boxes.select(
-        F.col("iid").alias("iid2"), F.col("label").alias("l2"), F.col("dim").alias("d2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2")
+        F.col("iid").alias("iid2"), F.col("tile").alias("tile2"), F.col("label").alias("l2"), F.col("dim").alias("d2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2")
     ).withColumn("cell2", F.explode(F.sequence(F.col("lo2")[0], F.col("hi2")[0] + 1)))
     touch = (F.col("label") == F.col("l2")) & (F.col("dim") == F.col("d2")) & (F.col("cell") == F.col("cell2")) & (F.col("iid") <= F.col("iid2"))
     for k in range(GRID_DIMS):
         touch &= (F.col("lo2")[k] - F.col("hi")[k] <= 1) & (F.col("lo")[k] - F.col("hi2")[k] <= 1)
-    pairs = cut(reach.join(far, touch).select(F.col("iid").alias("ida"), F.col("iid2").alias("idb")).distinct(), "ego-pairs")
-    load = ["ids", "copies", "cells", "vecs"]
-    data = intervals.select("iid", *load)
-    right = data.select(F.col("iid").alias("i2"), *(F.col(c).alias(c + "2") for c in load))
-    work = pairs.join(data, F.col("ida") == F.col("iid")).drop("iid").join(right, F.col("idb") == F.col("i2")).drop("i2")
-    found = cut(work.groupBy("ida", "idb").applyInArrow(_joined(least), FOUND), "ego-found")
+    pairs = cut(reach.join(far, touch).select(F.col("iid").alias("ida"), F.col("iid2").alias("idb"), "tile", "tile2").distinct(), "ego-pairs")
+    # An interval travels once to each unit, a pair of tiles, in which it may touch another.
+    unit = [F.least("tile", "tile2").alias("ta"), F.greatest("tile", "tile2").alias("tb")]
+    asked = pairs.select(*unit, F.col("ida").alias("asked")).union(pairs.select(*unit, F.col("idb"))).distinct()
+    work = asked.join(intervals.select("iid", "tile", "label", "dim", "ids", "copies", "cells", "vecs"), F.col("asked") == F.col("iid")).drop("asked")
+    found = cut(work.groupBy("ta", "tb").applyInArrow(_joined(least, LEAF), FOUND), "ego-found")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     comp = components(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
 
@@ -326,15 +344,15 @@ def _accumulated(matrix: np.ndarray, index: _Postings, n: int) -> np.ndarray:
     return scores
 
 
-def _searcher(block, k: int):
+def _searcher(block, k: int, rows: int, tile: int):
     """Top k of a partition for each query of a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, matrix = block.value
         best = (np.zeros(0, np.int64),) * 3
         for whole in batches:
-            for at in range(0, whole.num_rows, CANDIDATE_BLOCK):
-                b = whole.slice(at, CANDIDATE_BLOCK)
+            for at in range(0, whole.num_rows, rows):
+                b = whole.slice(at, rows)
                 cand = b.column(0).to_numpy()
                 sizes = np.diff(b.column(1).offsets.to_numpy())
                 flat = b.column(1).flatten().to_numpy()
@@ -342,9 +360,9 @@ def _searcher(block, k: int):
                 most = top * top * max(matrix.shape[1], 1)
                 exact = np.int32 if most < 1 << 31 else np.int64 if most < 1 << 62 else object
                 index = _Postings(sizes, flat.astype(exact))
-                for q in range(0, len(own), QUERY_TILE):
-                    mine = own[q : q + QUERY_TILE]
-                    scores = _accumulated(matrix[q : q + QUERY_TILE].astype(exact), index, len(cand))
+                for q in range(0, len(own), tile):
+                    mine = own[q : q + tile]
+                    scores = _accumulated(matrix[q : q + tile].astype(exact), index, len(cand))
                     scores = np.clip(scores, -(1 << 63) + 1, (1 << 63) - 1).astype(np.int64)
                     scores[cand[None, :] == mine[:, None]] = -(1 << 63)
                     least = np.partition(scores, max(len(cand) - k, 0), axis=1)[:, max(len(cand) - k, 0)] if len(cand) else 0
@@ -365,7 +383,11 @@ def top_k(
     smaller vec_id; repeated rows are reported as often as they occur.  Vectors
     that are null, or hold null or non-finite components, and null ids take no
     part.  Missing components of shorter vectors count as 0.  Scores beyond the
-    range of a long are clamped to it.  Empty tables give an empty result.
+    range of a long are clamped to it.  Vectors of any length are taken whole.
+    Other columns are not looked at, whatever their names.  Empty tables give an
+    empty result.  Queries are taken in blocks of about QUERY_BLOCK; of several
+    blocks each is stored before the next one is read, so that the driver holds
+    one at a time.
     """
 
     def rows(df: DataFrame) -> DataFrame:
@@ -390,11 +412,12 @@ def top_k(
             matrix[np.repeat(np.arange(len(ids)), sizes), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = (
                 lists.flatten().to_numpy()
             )
-        found = candidates.mapInArrow(_searcher(spark.sparkContext.broadcast((ids, matrix)), k), "qn long, vec_id long, score long")
+        found = candidates.mapInArrow(_searcher(spark.sparkContext.broadcast((ids, matrix)), k, CANDIDATE_BLOCK, QUERY_TILE), "qn long, vec_id long, score long")
         best = Window.partitionBy("qn").orderBy(F.desc("score"), "vec_id")
         found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
         named = spark.createDataFrame(pa.table({"qn": pa.array(range(len(ids)), pa.int64()), "query_id": pa.array(ids, pa.int64())}))
-        parts.append(found.join(named, "qn").select("query_id", "rank", "vec_id", "score"))
+        part = found.join(named, "qn").select("query_id", "rank", "vec_id", "score")
+        parts.append(cut(part, "topk-block") if blocks > 1 else part)
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)

@@ -25,6 +25,7 @@ def good(v, zero=False):
 def test_epsilon_join_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(vectors, "INTERVAL", 32)
     monkeypatch.setattr(vectors, "LEAF", 8)
+    monkeypatch.setattr(vectors, "TILE_BYTES", 5000)
     rows = table(spark)
     got = {r.vec_id: tuple(r) for r in vectors.epsilon_join(spark.createDataFrame(rows, SCHEMA)).collect()}
     links = {r[0]: set() for r in rows}
