@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from heapq import heapify, heappop, heappush
+
 from ..errors import corrupt
 
 
@@ -53,6 +55,10 @@ class LsbWriter:
             self.acc >>= 8
             self.n -= 8
 
+    def raw(self, data: bytes) -> None:
+        """Bytes at a byte boundary."""
+        self.out += data
+
     def done(self) -> bytes:
         if self.n:
             self.out.append(self.acc & 255)
@@ -112,15 +118,70 @@ def reverse_bits(code: int, n: int) -> int:
     return int(format(code, f"0{n}b")[::-1], 2) if n else 0
 
 
+def limited_lengths(counts: list[int], most: int) -> list[int]:
+    """Lengths of an optimal prefix code of at most ``most`` bits: Huffman's, or by package-merge if that is too long.  Counts are positive."""
+    n = len(counts)
+    if n > 1 << most:
+        raise ValueError(f"{n} symbols do not fit {most} bits")
+    if n == 1:
+        return [1]
+    heap = [(c, i) for i, c in enumerate(counts)]
+    heapify(heap)
+    above = [0] * (2 * n - 1)
+    for node in range(n, 2 * n - 1):
+        (a, i), (b, j) = heappop(heap), heappop(heap)
+        above[i] = above[j] = node
+        heappush(heap, (a + b, node))
+    depth = [0] * (2 * n - 1)
+    for i in range(2 * n - 3, -1, -1):
+        depth[i] = depth[above[i]] + 1
+    if max(depth[:n]) <= most:
+        return depth[:n]
+    leaves = sorted((c, (i,)) for i, c in enumerate(counts))
+    level = leaves
+    for _ in range(most - 1):
+        pairs = [(a[0] + b[0], a[1] + b[1]) for a, b in zip(level[::2], level[1::2], strict=False)]
+        level = sorted(leaves + pairs, key=lambda x: x[0])
+    out = [0] * n
+    for _, symbols in level[: 2 * n - 2]:
+        for i in symbols:
+            out[i] += 1
+    return out
+
+
+#: Bits that a prefix code looks up at once.
+_AT_ONCE = 9
+
+
 class PrefixCode:
-    """Decodes canonical codes bit by bit, first bit most significant; ``flip`` inverts the bits."""
+    """Decodes canonical codes, first bit most significant; ``flip`` inverts the bits.
+
+    Codes of up to _AT_ONCE bits are looked up at once by the bits ahead, longer
+    ones are followed bit by bit.
+    """
 
     def __init__(self, lengths: list[int], flip: bool = False):
         self.table = {(n, c): s for s, (c, n) in canonical(lengths).items()}
         self.longest = max(lengths, default=0)
         self.flip = int(flip)
+        self.ahead = min(self.longest, _AT_ONCE)
+        self.mask = (1 << self.ahead) - 1
+        self.turn = self.mask if flip else 0
+        self.quick: list[tuple[int, int] | None] = [None] * (self.mask + 1)
+        for (n, c), symbol in self.table.items():
+            if n <= self.ahead:
+                self.quick[reverse_bits(c, n) :: 1 << n] = [(symbol, n)] * (1 << self.ahead - n)
 
     def read(self, src: LsbReader) -> int:
+        while src.n < self.ahead and src.at < len(src.data):
+            src.acc |= src.data[src.at] << src.n
+            src.at += 1
+            src.n += 8
+        told = self.quick[src.acc & self.mask ^ self.turn]
+        if told is not None and told[1] <= src.n:
+            src.acc >>= told[1]
+            src.n -= told[1]
+            return told[0]
         code = 0
         for n in range(1, self.longest + 1):
             code = (code << 1) | (src.bits(1) ^ self.flip)

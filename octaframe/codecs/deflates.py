@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import struct
 import zlib
+from bisect import bisect_right
+from collections import Counter
 
 from ..errors import INVALID_ARG, LIMIT, CodecError, corrupt
-from .bits import LsbReader, LsbWriter, PrefixCode, canonical, copy_match, greedy, reverse_bits
+from .bits import LsbReader, LsbWriter, PrefixCode, canonical, copy_match, greedy, limited_lengths, reverse_bits
 
 STRATEGIES = {"default": zlib.Z_DEFAULT_STRATEGY, "lazy": zlib.Z_DEFAULT_STRATEGY, "huffman_only": zlib.Z_HUFFMAN_ONLY, "rle": zlib.Z_RLE, "fixed": zlib.Z_FIXED}
 
@@ -140,6 +142,7 @@ def gzip_decode(data: bytes, o: dict) -> bytes:
 
 # Deflate64: DEFLATE with a window of 64 KiB, lengths to 65538 and two more distance codes.
 _LEN_EXTRA = [0] * 8 + [n for n in range(1, 6) for _ in range(4)]
+# Fixed values of the format: the order of the code lengths' own code, the extra bits of lengths and distances, the fixed codes.
 _ORDER = (16, 17, 18, 0, 8, 7, 9, 6, 10, 5, 11, 4, 12, 3, 13, 2, 14, 1, 15)
 
 
@@ -220,28 +223,115 @@ def _stored(data: bytes) -> bytes:
     return bytes(out)
 
 
+#: Tokens of a block, about: codes are fitted to each block.
+_BLOCK_TOKENS = 20_000
+_STARTS = [b for b, _ in _DISTANCES]
+_LENGTH_STARTS = [b for b, _ in _LENGTHS[:28]]
+
+
+def _symbols(data: bytes, lo: int, hi: int, distance: int, n: int):
+    """(literal or length symbol, extra, its bits, distance symbol, extra, its bits) of a run of literals and a match."""
+    for b in data[lo:hi]:
+        yield b, 0, 0, None, 0, 0
+    if distance:
+        k = 28 if n > 257 else bisect_right(_LENGTH_STARTS, n) - 1
+        base, extra = _LENGTHS[k]
+        d = bisect_right(_STARTS, distance) - 1
+        yield 257 + k, n - base, extra, d, distance - _STARTS[d], _DISTANCES[d][1]
+
+
+def _fitted(counts: Counter, symbols: int, most: int) -> list[int]:
+    """Code lengths (0: unused) for the symbols that occur; two at least, since a code of one is not complete."""
+    used = sorted(set(counts) | set([s for s in (0, 1) if s not in counts][: max(0, 2 - len(counts))]))
+    out = [0] * symbols
+    for s, n in zip(used, limited_lengths([max(1, counts[s]) for s in used], most), strict=True):
+        out[s] = n
+    return out
+
+
+def _run_coded(lengths: list[int]) -> list[tuple[int, int, int]]:
+    """Lengths as (symbol, extra, its bits): runs of zeros by 17 and 18, repeats of the last length by 16."""
+    out, at = [], 0
+    while at < len(lengths):
+        n, run = lengths[at], 1
+        while at + run < len(lengths) and lengths[at + run] == n:
+            run += 1
+        at += run
+        if n:
+            out.append((n, 0, 0))
+            run -= 1
+        while run >= 3:
+            if n:
+                k = min(run, 6)
+                out.append((16, k - 3, 2))
+            else:
+                k = min(run, 138)
+                out.append((18, k - 11, 7) if k > 10 else (17, k - 3, 3))
+            run -= k
+        out += [(n, 0, 0)] * run
+    return out
+
+
+def _written(lengths: list[int]) -> dict[int, tuple[int, int]]:
+    return {s: (reverse_bits(c, n), n) for s, (c, n) in canonical(lengths).items()}
+
+
+def _block(w: LsbWriter, tokens: list[tuple], plain: bytes, last: bool) -> None:
+    """A block in the form that takes the fewest bits: stored, with fixed codes, or with codes of its own."""
+    main, far = Counter(t[0] for t in tokens), Counter(t[3] for t in tokens if t[3] is not None)
+    main[256] += 1
+    extra = sum(t[2] + t[5] for t in tokens)
+    lengths, distances = _fitted(main, 286, 15), _fitted(far, 32, 15)
+    nl = max(257, max(s for s, n in enumerate(lengths) if n) + 1)
+    nd = max(s for s, n in enumerate(distances) if n) + 1
+    coded = _run_coded(lengths[:nl] + distances[:nd])
+    meta = _fitted(Counter(c[0] for c in coded), 19, 7)
+    nc = max(4, max(i for i, s in enumerate(_ORDER) if meta[s]) + 1)
+    own = 14 + 3 * nc + sum(meta[s] + bits for s, _, bits in coded) + sum(lengths[s] * n for s, n in main.items()) + sum(distances[s] * n for s, n in far.items())
+    fixed = sum(_FIXED[s] * n for s, n in main.items()) + 5 * sum(far.values())
+    stored = 8 * len(plain) + (7 + 32) * -(-len(plain) // 65535)
+    if stored < min(own, fixed) + extra:
+        pieces = [plain[at : at + 65535] for at in range(0, len(plain), 65535)]
+        for k, piece in enumerate(pieces):
+            w.bits(last and k == len(pieces) - 1, 3)
+            w.bits(0, -w.n % 8)
+            w.bits(len(piece) | (len(piece) ^ 0xFFFF) << 16, 32)
+            w.raw(piece)
+        return
+    w.bits(last | (2 if own < fixed else 1) << 1, 3)
+    if own < fixed:
+        w.bits(nl - 257 | (nd - 1) << 5 | (nc - 4) << 10, 14)
+        for s in _ORDER[:nc]:
+            w.bits(meta[s], 3)
+        codes = _written(meta)
+        for s, x, bits in coded:
+            w.bits(*codes[s])
+            w.bits(x, bits)
+    else:
+        lengths, distances = _FIXED, [5] * 32
+    first, second = _written(lengths), _written(distances)
+    for s, x, xn, d, y, yn in tokens:
+        c, n = first[s]
+        w.bits(c | x << n, n + xn)
+        if d is not None:
+            c, n = second[d]
+            w.bits(c | y << n, n + yn)
+    w.bits(*first[256])
+
+
 def deflate64_encode(data: bytes, o: dict) -> bytes:
-    """One block of fixed codes, or stored blocks where these are shorter."""
-    stored = _stored(data)
+    """Blocks of about _BLOCK_TOKENS tokens, each in its shortest form; level 0 stores."""
     if o["deflate64.level"] == 0 or not data:
-        return stored
-    w = LsbWriter()
-    w.bits(3, 3)
-    codes = {s: (reverse_bits(c, n), n) for s, (c, n) in canonical(_FIXED).items()}
-    starts = [b for b, _ in _DISTANCES]
+        return _stored(data)
+    w, tokens, start, end = LsbWriter(), [], 0, 0
     for lo, hi, distance, n in greedy(data, 0, 65536, 4, 65538):
-        for b in data[lo:hi]:
-            w.bits(*codes[b])
-        if distance:
-            if n > 257:
-                w.bits(*codes[285])
-                w.bits(n - 3, 16)
-            else:
-                k = max(i for i in range(28) if _LENGTHS[i][0] <= n)
-                w.bits(*codes[257 + k])
-                w.bits(n - _LENGTHS[k][0], _LENGTHS[k][1])
-            k = max(i for i in range(32) if starts[i] <= distance)
-            w.bits(reverse_bits(k, 5), 5)
-            w.bits(distance - starts[k], _DISTANCES[k][1])
-    w.bits(*codes[256])
-    return min(w.done(), stored, key=len)
+        for at in range(lo, max(hi, lo + 1), _BLOCK_TOKENS):
+            if len(tokens) >= _BLOCK_TOKENS:
+                _block(w, tokens, data[start:end], False)
+                tokens, start = [], end
+            stop = min(hi, at + _BLOCK_TOKENS)
+            ends = stop == hi
+            tokens += _symbols(data, at, stop, distance if ends else 0, n)
+            end = stop + (n if ends else 0)
+    _block(w, tokens, data[start:end], True)
+    return min(w.done(), _stored(data), key=len)

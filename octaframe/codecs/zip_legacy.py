@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 
 from ..errors import INVALID_ARG, LIMIT, CodecError, corrupt
-from .bits import LsbReader, LsbWriter, PrefixCode, canonical, copy_match, greedy
+from .bits import LsbReader, LsbWriter, PrefixCode, canonical, copy_match, greedy, limited_lengths, reverse_bits
 
 
 def _full(out: bytearray, most: int) -> None:
@@ -218,10 +218,10 @@ def _read_tree(src: LsbReader, symbols: int) -> PrefixCode:
     return PrefixCode(lengths, flip=True)
 
 
-def _flat(symbols: int) -> tuple[list[int], dict[int, tuple[int, int]]]:
-    lengths = [symbols.bit_length() - 1] * symbols
-    flipped = {s: (int(format(c ^ ((1 << n) - 1), f"0{n}b")[::-1], 2), n) for s, (c, n) in canonical(lengths).items()}
-    return lengths, flipped
+def _fitted(counts: Counter, symbols: int) -> tuple[list[int], dict[int, tuple[int, int]]]:
+    """Lengths of 1 to 16 bits for all symbols, the frequent ones short, and the codes as they are written."""
+    lengths = limited_lengths([counts[s] + 1 for s in range(symbols)], 16)
+    return lengths, {s: (reverse_bits(c ^ ((1 << n) - 1), n), n) for s, (c, n) in canonical(lengths).items()}
 
 
 def implode_encode(data: bytes, o: dict) -> bytes:
@@ -230,22 +230,28 @@ def implode_encode(data: bytes, o: dict) -> bytes:
     if low is None:
         raise CodecError(INVALID_ARG, "implode.dictionary_size is 4096 or 8192")
     least = 3 if tree else 2
-    lit_lengths, lit = _flat(256)
-    lengths, code = _flat(64)
+    tokens = list(greedy(data, 0, 64 << low, least + 1, least + 63 + 255))
+    matches = [(distance - 1, n - least) for _, _, distance, n in tokens if distance]
+    literals: Counter = Counter()
+    for lo, hi, _, _ in tokens:
+        literals.update(data[lo:hi])
+    lit_lengths, lit = _fitted(literals, 256)
+    lengths, length = _fitted(Counter(min(m, 63) for _, m in matches), 64)
+    places, place = _fitted(Counter(d >> low for d, _ in matches), 64)
     if tree:
         _write_tree(w, lit_lengths)
     _write_tree(w, lengths)
-    _write_tree(w, lengths)
-    for lo, hi, distance, n in greedy(data, 0, 64 << low, least + 1, least + 63 + 255):
+    _write_tree(w, places)
+    for lo, hi, distance, n in tokens:
         for b in data[lo:hi]:
             w.bits(1, 1)
             w.bits(*(lit[b] if tree else (b, 8)))
         if distance:
             w.bits(0, 1)
             w.bits((distance - 1) & ((1 << low) - 1), low)
-            w.bits(*code[(distance - 1) >> low])
+            w.bits(*place[(distance - 1) >> low])
             m = n - least
-            w.bits(*code[min(m, 63)])
+            w.bits(*length[min(m, 63)])
             if m >= 63:
                 w.bits(m - 63, 8)
     return w.done()

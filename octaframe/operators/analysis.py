@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..codecs.bits import limited_lengths
+
 
 def _counted(df: DataFrame, keys: list[str], value: str, kernel, out: str, fields: str) -> DataFrame:
     """Sum ``kernel(list of byte values) -> frame of fields`` by keys; counts are added up within a batch first."""
@@ -126,25 +128,6 @@ def canonical_codes(lengths: DataFrame, keys: list[str]) -> DataFrame:
     return spans.select(*keys, "symbol", "length", (before / F.pow(F.lit(2.0), F.col("_l") - F.col("length"))).cast("long").alias("code"))
 
 
-def limited_lengths(counts: list[int], most: int) -> list[int]:
-    """Lengths of an optimal prefix code of at most ``most`` bits, by package-merge; counts are positive."""
-    n = len(counts)
-    if n > 1 << most:
-        raise ValueError(f"{n} symbols do not fit {most} bits")
-    if n == 1:
-        return [1]
-    leaves = sorted((c, (i,)) for i, c in enumerate(counts))
-    level = leaves
-    for _ in range(most - 1):
-        pairs = [(a[0] + b[0], a[1] + b[1]) for a, b in zip(level[::2], level[1::2], strict=False)]
-        level = sorted(leaves + pairs, key=lambda x: x[0])
-    out = [0] * n
-    for _, symbols in level[: 2 * n - 2]:
-        for i in symbols:
-            out[i] += 1
-    return out
-
-
 def huffman_lengths(histogram: DataFrame, keys: list[str], most: int = 15) -> DataFrame:
     """keys, byte, n, length of the byte in an optimal prefix code for the group; groups have 256 rows at most."""
 

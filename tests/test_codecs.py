@@ -172,3 +172,67 @@ def test_seek_tables_that_lie():
         bad[at] = value
         with pytest.raises(CodecError):
             zstds.read_seek_table(bytes(bad))
+
+
+# Vectors from outside: streams that others published or that another decoder reads -----------------------------
+
+
+def test_gif_stream_of_a_published_image():
+    """The 10 by 10 sample image of a well-known description of GIF, with a minimum code size of 2."""
+    packed = bytes.fromhex("8c2d99872a1cdc33a00275ec95faa8de608c04914c01")
+    rows = ["1111122222"] * 3 + ["1110000222"] * 2 + ["2220000111"] * 2 + ["2222211111"] * 3
+    pixels = bytes(int(c) for c in "".join(rows))
+    assert decode_bytes(packed, "lzw", {"lzw.format": "gif", "lzw.lit_width": 2}) == pixels
+    assert encode_bytes(pixels, "lzw", {"lzw.format": "gif", "lzw.lit_width": 2}) == packed
+
+
+def test_packbits_stream_of_a_published_note():
+    packed = bytes.fromhex("feaa0280002afdaa0380002a22f7aa")
+    plain = bytes.fromhex("aaaaaa80002aaaaaaaaa80002a22" + "aa" * 10)
+    assert decode_bytes(packed, "rle") == plain and encode_bytes(plain, "rle") == packed
+
+
+def test_tga_packets_of_the_format():
+    assert decode_bytes(bytes.fromhex("8241" + "014243" + "ff00"), "rle", {"rle.format": "tga"}) == b"AAABC" + b"\0" * 128
+
+
+def test_deflate64_blocks_are_read_by_another_decoder():
+    """Without long matches and far distances a Deflate64 stream is a DEFLATE stream."""
+    rng = random.Random(12)
+    words = [bytes(rng.choice(b"etaoinshrdlu") for _ in range(rng.randrange(2, 9))) for _ in range(300)]
+    for n in (1, 5, 300, 5000):
+        plain = b" ".join(rng.choice(words) for _ in range(n))
+        packed = encode_bytes(plain, "deflate64")
+        if len(plain) <= 32768:
+            assert zlib.decompress(packed, -15) == plain
+        assert decode_bytes(packed, "deflate64") == plain
+        if n > 100:
+            assert len(packed) < 1.15 * len(zlib.compress(plain)) and packed[0] >> 1 & 3 == 2
+    noise = rng.randbytes(100_000)
+    assert len(encode_bytes(noise, "deflate64")) <= len(noise) + 16
+    # Another encoder's DEFLATE is Deflate64 too, as long as no match has 258 bytes.
+    plain = b" ".join(rng.choice(words) for _ in range(3000))
+    assert decode_bytes(zlib.compress(plain)[2:-4], "deflate64") == plain
+
+
+def test_implode_codes_follow_the_counts():
+    plain = b"the frequent letters take few bits and the others more of them; " * 4 + bytes(range(256))
+    text = b" ".join(plain[k : k + 9] for k in range(0, 250)) * 3
+    for options in ({}, {"implode.literal_tree": False}, {"implode.dictionary_size": 4096}):
+        packed = encode_bytes(text, "implode", options)
+        assert decode_bytes(packed, "implode", options | {"implode.uncompressed_size": len(text)}) == text
+    assert len(encode_bytes(b"ab" * 50 + bytes(97 + k % 7 for k in range(2000)), "implode")) < 400
+
+
+def test_prefix_codes_longer_than_the_quick_table():
+    from octaframe.codecs.bits import LsbReader, LsbWriter, PrefixCode, canonical, reverse_bits
+
+    lengths = list(range(1, 15)) + [15, 15]
+    codes = canonical(lengths)
+    for flip in (False, True):
+        w, symbols = LsbWriter(), [k % 16 for k in range(100)]
+        for s in symbols:
+            c, n = codes[s]
+            w.bits(reverse_bits(c ^ ((1 << n) - 1 if flip else 0), n), n)
+        src, code = LsbReader(w.done()), PrefixCode(lengths, flip)
+        assert [code.read(src) for _ in symbols] == symbols
