@@ -10,8 +10,9 @@ tokens that stay, those with digits not among them, are most of the line.  What
 is left is the line's template.  Templates that recur across documents are
 dropped, but for the document of smallest id that has them.
 
-Lines travel as hashes.  Support is counted by (leaf, position, token), never
-gathered by leaf, so a leaf of any size is spread out.
+Texts are parsed once: the masked lines are stored, and read again only for
+leaves with several.  Else lines travel as hashes.  Support is counted by (leaf,
+position, token), never gathered by leaf, so a leaf of any size is spread out.
 """
 
 from __future__ import annotations
@@ -49,14 +50,15 @@ def _lined(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     masked = F.when(most & (F.col("_digits") > 0), F.regexp_replace("_m", WITH_DIGITS, VARIABLE)).otherwise(F.col("_m"))
     rows = rows.select("_id", "_th", "_pos", masked.alias("_m"), "_len", most.alias("_most"))
     leaf = F.when(F.col("_most"), F.xxhash64("_len", F.substring_index("_m", " ", LEADING)))
-    return rows.select("_id", "_th", "_pos", "_m", "_len", F.xxhash64("_m").alias("_h"), F.hash("_m").alias("_g"), leaf.alias("_leaf"))
+    rows = rows.select("_id", "_th", "_pos", "_m", "_len", F.xxhash64("_m").alias("_h"), F.hash("_m").alias("_g"), leaf.alias("_leaf"))
+    return rows.withColumn("_m", F.when(F.col("_leaf").isNotNull(), F.col("_m")))
 
 
-def _templates(lines: DataFrame, lined: DataFrame) -> DataFrame:
+def _templates(lines: DataFrame) -> DataFrame:
     """(_h, _g) of lines that a leaf generalises -> hashes of the template."""
     different = lines.where("_leaf is not null").select("_leaf", "_h", "_g").distinct()
     several = cut(different.groupBy("_leaf").agg(F.count("*").alias("_k")).where(F.col("_k") >= SUPPORT).select("_leaf"), "line-leaves")
-    some = lined.join(broadcast_if_small(several.withColumnRenamed("_leaf", "_l2"), 1_000_000), F.col("_leaf") == F.col("_l2"), "left_semi")
+    some = lines.join(broadcast_if_small(several.withColumnRenamed("_leaf", "_l2"), 1_000_000), F.col("_leaf") == F.col("_l2"), "left_semi")
     some = cut(some.select("_leaf", "_h", "_g", "_m").distinct(), "line-several")
     some = some.select("_leaf", "_h", "_g", F.split("_m", " ", -1).alias("_t"))
     spread = some.select("_leaf", "_h", "_g", F.posexplode("_t").alias("_p", "_w")).where(F.col("_w") != VARIABLE)
@@ -76,16 +78,17 @@ def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Lines end at a newline; blank lines stay and are no templates.  A template
     recurs if it is in LONG_DOCS different documents (lines of LONG_LINE tokens
     or more) or OTHER_DOCS (shorter ones).  Null and empty texts come back as
-    they are, with 0 lines dropped.  Rows of one id are one document.  Rows with
+    they are, with 0 lines dropped.  Lines of any length are parsed whole; of
+    documents with a recurring line the smallest id keeps it.  Rows of one id are
+    one document.  Rows with
     a null id are no document of their own: they lose what recurs among others.
     Columns of docs named n_lines and n_dropped are replaced.  An empty table
     gives an empty result.
     """
     docs, names = positional(docs.drop("n_lines", "n_dropped"))
     id_col, text_col = names[id_col], names[text_col]
-    lined = _lined(docs, id_col, text_col)
-    lines = cut(lined.drop("_m"), "line-lines")
-    general = _templates(lines, lined)
+    lines = cut(_lined(docs, id_col, text_col), "line-lines")
+    general = _templates(lines)
     named = lines.join(broadcast_if_small(general), (F.col("_h") == F.col("_fh")) & (F.col("_g") == F.col("_fg")), "left")
     named = named.select("_id", "_th", "_pos", "_len", F.coalesce("_xh", "_h").alias("_a"), F.coalesce("_xg", "_g").alias("_b"))
     by_doc = named.where("_id is not null").groupBy("_a", "_b", "_id").agg(F.max("_len").alias("_len"))
