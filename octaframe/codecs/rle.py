@@ -54,3 +54,30 @@ def decode(data: bytes, o: dict) -> bytes:
         if most and len(out) > most:
             raise CodecError(LIMIT, f"more than {most} bytes of output")
     return bytes(out)
+
+
+def rle1_encode(data: bytes) -> bytes:
+    """The run stage of bzip2: four to 255 equal bytes become four and a count of the rest."""
+    out = bytearray()
+    for m in re.finditer(rb"(.)\1*", data, re.S):
+        b, n = m[1], m.end() - m.start()
+        full, rest = divmod(n, 255)
+        out += (b * 4 + b"\xfb") * full + (b * rest if rest < 4 else b * 4 + bytes([rest - 4]))
+    return bytes(out)
+
+
+def rle1_decode(data: bytes) -> bytes:
+    out, at = bytearray(), 0
+    while at < len(data):
+        b = data[at : at + 1]
+        n = 1
+        while n < 4 and data[at + n : at + n + 1] == b:
+            n += 1
+        at += n
+        out += b * n
+        if n == 4:
+            if at >= len(data):
+                raise corrupt("run without its count")
+            out += b * data[at]
+            at += 1
+    return bytes(out)

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..codecs import fse
 from ..codecs.bits import limited_lengths
 
 
@@ -180,3 +181,89 @@ def move_to_front(c: Column | str) -> Column:
         return F.struct(F.concat(F.array(b), F.array_remove(acc["list"], b)).alias("list"), F.concat(acc["out"], F.array(at)).alias("out"))
 
     return F.aggregate(bytes_of(c), start, step, lambda acc: acc["out"])
+
+
+def fse_counts(histogram: DataFrame, keys: list[str], log: int) -> DataFrame:
+    """keys, byte, n, norm: counts scaled to a sum of 2^log, as finite state entropy asks; see codecs.fse.normalised."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        norm = fse.normalised(dict(zip(pdf["byte"].tolist(), pdf["n"].tolist(), strict=True)), log)
+        return pdf.assign(norm=pdf["byte"].map(norm))
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in histogram.schema.fields)
+    return histogram.groupBy(*keys).applyInPandas(run, fields + ", norm long")
+
+
+def _bits(counts: np.ndarray) -> np.ndarray:
+    """Bits that an ideal code takes for rows of counts."""
+    total = counts.sum(axis=-1, keepdims=True)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(counts > 0, counts * np.log2(total / np.where(counts > 0, counts, 1)), 0.0).sum(axis=-1)
+
+
+def merged_contexts(counts: np.ndarray, most: int, price: float) -> list[int]:
+    """Cluster of each context (a row of counts): the pair whose merge costs least is merged, again and again.
+
+    Merges go on while there are more than ``most`` clusters, or while one saves
+    more than it costs, ``price`` bits being those of a further code.  Of equal
+    merges the first pair counts.  Clusters are named by their first context.
+    """
+    rows = {i: counts[i].astype(np.float64) for i in range(len(counts))}
+    of = list(range(len(counts)))
+    while len(rows) > 1:
+        names = sorted(rows)
+        stack = np.stack([rows[i] for i in names])
+        own = _bits(stack)
+        cost = np.full((len(names), len(names)), np.inf)
+        for k in range(len(names) - 1):
+            cost[k, k + 1 :] = _bits(stack[k + 1 :] + stack[k]) - own[k + 1 :] - own[k]
+        k = int(np.argmin(cost))
+        i, j = names[k // len(names)], names[k % len(names)]
+        if len(names) <= most and cost.flat[k] >= price:
+            break
+        rows[i] = rows[i] + rows.pop(j)
+        of = [i if c == j else c for c in of]
+    return of
+
+
+def context_clusters(pairs: DataFrame, keys: list[str], most: int = 16, price: float = 1000.0) -> DataFrame:
+    """keys, prev, cluster: the bytes that may precede another one, in clusters that share a code; pairs (keys, prev, cur, n), at most 256 contexts a group."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        contexts = sorted(pdf["prev"].unique().tolist())
+        counts = np.zeros((len(contexts), 256))
+        counts[np.searchsorted(contexts, pdf["prev"]), pdf["cur"]] = pdf["n"]
+        got = merged_contexts(counts, most, price)
+        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, "prev": contexts, "cluster": [contexts[c] for c in got]})
+
+    types = dict(pairs.dtypes)
+    return pairs.groupBy(*keys).applyInPandas(run, ", ".join([*(f"{k} {types[k]}" for k in keys), "prev int", "cluster int"]))
+
+
+def block_splits(data: bytes, grain: int = 1024, price: float = 600.0) -> list[int]:
+    """Where blocks with codes of their own begin: neighbouring blocks are merged while that costs less than ``price`` bits, the cheapest first."""
+    x = np.frombuffer(data, dtype=np.uint8)
+    starts = list(range(0, len(x), grain))
+    counts = [np.bincount(x[a : a + grain], minlength=256).astype(np.float64) for a in starts]
+    while len(starts) > 1:
+        stack = np.stack(counts)
+        cost = _bits(stack[1:] + stack[:-1]) - _bits(stack[1:]) - _bits(stack[:-1])
+        k = int(np.argmin(cost))
+        if cost[k] >= price:
+            break
+        counts[k] = counts[k] + counts.pop(k + 1)
+        starts.pop(k + 1)
+    return starts
+
+
+def blocks_of(c: Column | str, grain: int = 1024, price: float = 600.0) -> Column:
+    """Starts of the blocks that block_splits makes of each value."""
+    run = F.pandas_udf(lambda s: s.map(lambda b: None if b is None else block_splits(bytes(b), grain, price)), "array<int>")
+    return run((F.col(c) if isinstance(c, str) else c).cast("binary"))
+
+
+def block_form(c: Column | str) -> Column:
+    """How the first block of a DEFLATE stream is coded (stored, fixed, dynamic), by built-in functions: what an encoder chose or fell back to."""
+    b = (F.col(c) if isinstance(c, str) else c).cast("binary")
+    kind = F.shiftright(F.conv(F.hex(F.substring(b, 1, 1)), 16, 10).cast("int"), 1) % 4
+    return F.when(F.octet_length(b) > 0, F.element_at(F.array(*map(F.lit, ("stored", "fixed", "dynamic", "reserved"))), kind + 1))

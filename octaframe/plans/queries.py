@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..catalog import Method, codec_methods, codec_options, methods, register
+from ..codecs import rle
 from ..functions import checksums as sums
 from ..functions import codec
 from ..operators import analysis, dictionary, frames
@@ -716,3 +717,56 @@ def watermark_days(spark, sf_dir):
     days = stream.withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("messages"))
     got = _ran(spark, days.select(F.col("w.start").alias("start"), "messages"), path, "start timestamp, messages long")
     return got.select(F.col("start").cast("timestamp_ntz").alias("start"), "messages")
+
+
+# Stages of entropy coders -----------------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH p AS ({_PAIRS}), s AS (SELECT doc_id, i, sum(CASE WHEN i > 1 AND cur = prev THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM p),
+    r AS (SELECT doc_id, run, count(*) AS n FROM s GROUP BY doc_id, run)
+    SELECT doc_id, CAST(sum(n // 255 * 5 + CASE WHEN n % 255 < 4 THEN n % 255 ELSE 5 END) AS BIGINT) AS size, true AS ok FROM r GROUP BY doc_id"""
+)
+def rle1_sizes(spark, sf_dir):
+    """Bytes of each document after the run stage of bzip2, and whether it comes back."""
+    docs = table(spark, sf_dir, "documents").where(F.octet_length("text") > 0).select("doc_id", F.encode("text", "UTF-8").alias("b"))
+    there = F.pandas_udf(lambda s: s.map(lambda b: None if b is None else rle.rle1_encode(bytes(b))), "binary")
+    back = F.pandas_udf(lambda s: s.map(lambda b: None if b is None else rle.rle1_decode(bytes(b))), "binary")
+    docs = docs.withColumn("r", there("b"))
+    return docs.select("doc_id", F.octet_length("r").cast("long").alias("size"), (back("r") == F.col("b")).alias("ok"))
+
+
+@query(
+    f"""WITH h AS (SELECT lang, byte, CAST(count(*) AS BIGINT) AS n FROM ({_EACH}) GROUP BY lang, byte), f AS (SELECT lang, byte, n, greatest(1, n * 4096 // sum(n) OVER (PARTITION BY lang)) AS norm FROM h)
+    SELECT lang, byte, n, CAST(norm + CASE WHEN row_number() OVER (PARTITION BY lang ORDER BY n DESC, byte) = 1 THEN 4096 - sum(norm) OVER (PARTITION BY lang) ELSE 0 END AS BIGINT) AS norm FROM f"""
+)
+def fse_counts_by_lang(spark, sf_dir):
+    """Byte counts of each language scaled to 4096 states."""
+    return analysis.fse_counts(analysis.byte_histogram(table(spark, sf_dir, "documents"), "text", ["lang"]), ["lang"], 12)
+
+
+@query("SELECT unnest(['stored', 'fixed']) AS form, unnest(['level 0', 'strategy fixed']) AS setting, count(*) AS n FROM documents WHERE octet_length(encode(text)) > 0")
+def block_forms(spark, sf_dir):
+    """How DEFLATE codes the documents when it is told to store, or to use fixed codes."""
+    docs = table(spark, sf_dir, "documents").where(F.octet_length("text") > 0)
+    told = docs.select(
+        F.explode(
+            F.array(
+                F.struct(analysis.block_form(codec.encode("text", "deflate", deflate__level=0)).alias("form"), F.lit("level 0").alias("setting")),
+                F.struct(analysis.block_form(codec.encode("text", "deflate", deflate__strategy="fixed")).alias("form"), F.lit("strategy fixed").alias("setting")),
+            )
+        ).alias("x")
+    )
+    return told.groupBy("x.form", "x.setting").agg(F.count("*").alias("n"))
+
+
+@query()
+def context_clusters_by_lang(spark, sf_dir):
+    """Bytes in clusters of contexts that share a code, by language."""
+    return analysis.context_clusters(analysis.bigrams(table(spark, sf_dir, "documents"), "text", ["lang"]), ["lang"])
+
+
+@query()
+def block_starts(spark, sf_dir):
+    """Where blocks with codes of their own begin in each document."""
+    return table(spark, sf_dir, "documents").select("doc_id", analysis.blocks_of("text").alias("starts"))

@@ -461,3 +461,65 @@ def test_limited_huffman_lengths():
         assert free is None or sum(c * x for c, x in zip(counts, free)) == best
     with pytest.raises(ValueError):
         analysis.limited_lengths([1, 1, 1], 1)
+
+
+def test_finite_state_entropy():
+    from octaframe.codecs import fse
+
+    for n, log in ((1, 5), (2, 5), (7, 6), (200, 9), (256, 12)):
+        counts = {s: R.randrange(1, 1 + 3 ** R.randrange(9)) for s in range(n)}
+        norm = fse.normalised(counts, log)
+        assert sum(norm.values()) == 1 << log and min(norm.values()) >= 1 and set(norm) == set(counts)
+        assert Counter(fse.spread(norm, log)) == norm
+        symbols = R.choices(list(counts), weights=list(counts.values()), k=500)
+        first, bits = fse.encode(symbols, norm, log)
+        assert fse.decode(first, bits, len(symbols), norm, log) == symbols
+    skewed = fse.normalised({0: 10**6, **{s: 1 for s in range(1, 32)}}, 5)
+    assert sum(skewed.values()) == 32 and min(skewed.values()) == 1
+    with pytest.raises(CodecError):
+        fse.normalised({s: 1 for s in range(33)}, 5)
+
+
+def test_run_stage_of_bzip2():
+    from octaframe.codecs import rle
+
+    assert rle.rle1_encode(b"aaa") == b"aaa" and rle.rle1_encode(b"aaaa") == b"aaaa\0" and rle.rle1_encode(b"b" * 256) == b"bbbb\xfbb"
+    for v in [x for x in VALUES if x is not None] + [b"\n" * 1000 + b"x" * 4 + b"\0" * 258]:
+        assert rle.rle1_decode(rle.rle1_encode(v)) == v
+    with pytest.raises(CodecError):
+        rle.rle1_decode(b"zzzz")
+
+
+def test_contexts_and_blocks(spark):
+    import numpy as np
+
+    kinds = np.array([[900, 100, 0, 0], [0, 0, 700, 300], [880, 120, 0, 0], [0, 0, 690, 310], [25, 25, 25, 25]])
+    assert analysis.merged_contexts(kinds, 4, 50.0) == [0, 1, 0, 1, 4] and len(set(analysis.merged_contexts(kinds, 2, 0.0))) == 2
+
+    def bits(rows):
+        c = np.sum(rows, axis=0)
+        return float(sum(x * np.log2(c.sum() / x) for x in c if x))
+
+    def brute(rows, most, price):
+        groups = [[i] for i in range(len(rows))]
+        while len(groups) > 1:
+            cost = [(bits(rows[a + b]) - bits(rows[a]) - bits(rows[b]), x, y) for x, a in enumerate(groups) for y, b in enumerate(groups) if x < y]
+            c, x, y = min(cost, key=lambda t: (round(t[0], 6), t[1], t[2]))
+            if len(groups) <= most and c >= price:
+                break
+            groups[x] += groups.pop(y)
+        return [next(min(g) for g in groups if i in g) for i in range(len(rows))]
+
+    rng = np.random.default_rng(4)
+    for _ in range(10):
+        rows = rng.integers(0, 60, (9, 5))
+        assert analysis.merged_contexts(rows, 4, 15.0) == brute(rows, 4, 15.0)
+    data = b"abab" * 2048 + bytes(range(200, 250)) * 102 + b"\xfa" * 20 + b"abab" * 1024
+    starts = analysis.block_splits(data)
+    assert starts == [0, 8192, 13312]
+    assert analysis.block_splits(b"") == [] and analysis.block_splits(b"x" * 50_000) == [0]
+    df = spark.createDataFrame([(1, bytearray(data)), (2, None)], "i long, b binary")
+    assert {r.i: r.s for r in df.select("i", analysis.blocks_of("b").alias("s")).collect()} == {1: starts, 2: None}
+    pairs = analysis.bigrams(df, "b", ["i"])
+    got = analysis.context_clusters(pairs, ["i"], most=3).collect()
+    assert {r.prev for r in got} == set(data) and len({r.cluster for r in got}) <= 3
