@@ -244,6 +244,7 @@ def _bound_lzw(a, n, o):
     return a.div((n + 3 + a.div(n, span)) * top + 7, 8) + 1
 
 
+# The methods with the keys, ranges and defaults of their options.
 _METHODS = [
     Method("deflate", "RFC 1951", deflates.deflate_encode, deflates.deflate_decode, (*_DEFLATE, *_limits(1032, _BIG, _MEM, 32768)), _bound_deflate, _peek_nothing, flush="sync"),
     Method("zlib", "RFC 1950", deflates.zlib_encode, deflates.zlib_decode, (Option("zlib.dictionary", "bytes"), *_DEFLATE, *_limits(1032, _BIG, _MEM)), _bound_zlib, _peek_zlib, flush="sync", inner=("deflate",)),

@@ -26,7 +26,7 @@ def _window(w: LsbWriter, bits: int) -> None:
 
 def encode(data: bytes, o: dict) -> bytes:
     if o["brotli.level"] and native.has("brotli"):
-        return native.compress(data, "brotli", o["brotli.level"])
+        return native.packed(data, "brotli", o["brotli.level"])
     w = LsbWriter()
     _window(w, o["brotli.lgwin"])
     for at in range(0, len(data), CHUNK):

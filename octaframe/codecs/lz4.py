@@ -20,7 +20,7 @@ def _length(n: int) -> bytes:
 def block_encode(data: bytes, history: bytes = b"") -> bytes:
     """One block; matches start 12 bytes before the end at most and leave 5 literals."""
     if not history and native.has("lz4_raw"):
-        return native.compress(data, "lz4_raw")
+        return native.packed(data, "lz4_raw")
     out, start = bytearray(), len(history)
     whole = history + data
     for lo, hi, distance, n in greedy(whole, start, 65535, 4, 1 << 30, 12):

@@ -17,7 +17,7 @@ def has(name: str) -> bool:
     return pa is not None and pa.Codec.is_available(name)
 
 
-def compress(data: bytes, name: str, level: int | None = None) -> bytes:
+def packed(data: bytes, name: str, level: int | None = None) -> bytes:
     return pa.Codec(name, compression_level=level).compress(data, asbytes=True)
 
 

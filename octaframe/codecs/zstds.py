@@ -1,10 +1,11 @@
-"""Zstandard over the zstandard package, with frame walking and the seekable format."""
+"""Zstandard over the zstandard package, or else the Arrow library's codec, with frame walking and the seekable format."""
 
 from __future__ import annotations
 
 import struct
 
 from ..errors import INVALID_ARG, LIMIT, UNSUPPORTED, CodecError, corrupt
+from . import native
 from .checksums import xxh64
 
 try:
@@ -25,6 +26,13 @@ def window_log(level: int) -> int:
     return next((w for most, w in ((3, 17), (6, 19), (10, 21), (16, 23)) if level <= most), 25)
 
 
+def _frame(data: bytes, o: dict) -> bytes:
+    """One frame.  The Arrow library's codec knows levels alone."""
+    if zstandard is None and native.has("zstd") and not (o["zstd.dictionary"] or o["zstd.checksum"] or o["zstd.window_log"] or o["zstd.long"]):
+        return native.packed(data, "zstd", o["zstd.level"] or 3)
+    return _compressor(o, True).compress(data)
+
+
 def _compressor(o: dict, size: bool):
     z = _library()
     d = o["zstd.dictionary"]
@@ -44,11 +52,11 @@ def encode(data: bytes, o: dict) -> bytes:
     if o["zstd.content_size"] is not None and o["zstd.content_size"] != len(data):
         raise CodecError(INVALID_ARG, "zstd.content_size differs from the input")
     if not o["zstd.seekable"]:
-        return _compressor(o, True).compress(data)
+        return _frame(data, o)
     if o["threads.count"] > 1:
         raise CodecError(INVALID_ARG, "seekable output has one thread")
     step = o["zstd.seekable_frame_size"]
-    frames = [(data[at : at + step], _compressor(o, True).compress(data[at : at + step])) for at in range(0, len(data), step)]
+    frames = [(data[at : at + step], _frame(data[at : at + step], o)) for at in range(0, len(data), step)]
     sums = o["zstd.seekable_checksum"]
     rows = [(len(c), len(p), xxh64(p) & 0xFFFFFFFF if sums else None) for p, c in frames]
     return b"".join(c for _, c in frames) + seek_table(rows, sums)
@@ -135,7 +143,7 @@ def walk(data: bytes):
 
 
 def decode(data: bytes, o: dict) -> bytes:
-    z, most, d = _library(), o["limits.max_output_bytes"], o["zstd.dictionary"]
+    most, d = o["limits.max_output_bytes"], o["zstd.dictionary"]
     frames = [(at, n) for kind, at, n, _, _ in walk(data) if kind == "frame"]
     if not data:
         raise corrupt("empty input")
@@ -146,6 +154,12 @@ def decode(data: bytes, o: dict) -> bytes:
             raise CodecError(INVALID_ARG, f"the frame names dictionary {head['dictionary_id']}")
         if o["limits.max_window_bytes"] and (head["window_size"] or 0) > max(o["limits.max_window_bytes"], 1024) and head["content_size"] != head["window_size"]:
             raise CodecError(LIMIT, f"a window of {head['window_size']} bytes")
+        if zstandard is None and native.has("zstd") and not d:
+            out += native.stream(data[at : at + n], "zstd", max(1, most - len(out)) if most else 0)
+            if most and len(out) > most:
+                raise CodecError(LIMIT, f"more than {most} bytes of output")
+            continue
+        z = _library()
         r = z.ZstdDecompressor(dict_data=z.ZstdCompressionDict(d) if d else None, max_window_size=1 << 31).stream_reader(data[at : at + n])
         try:
             while piece := r.read(1 << 20):

@@ -236,3 +236,19 @@ def test_prefix_codes_longer_than_the_quick_table():
             w.bits(reverse_bits(c ^ ((1 << n) - 1 if flip else 0), n), n)
         src, code = LsbReader(w.done()), PrefixCode(lengths, flip)
         assert [code.read(src) for _ in symbols] == symbols
+
+
+def test_zstandard_without_its_package(monkeypatch):
+    plain = [b"", b"a", b"text and more text; " * 500, random.Random(1).randbytes(3000)]
+    before = [encode_bytes(p, "zstd") for p in plain]
+    monkeypatch.setattr(zstds, "zstandard", None)
+    for p, old in zip(plain, before):
+        assert decode_bytes(old, "zstd") == p and decode_bytes(encode_bytes(p, "zstd", {"zstd.level": 7}), "zstd") == p
+        seekable = encode_bytes(p, "zstd", {"zstd.seekable": True, "zstd.seekable_frame_size": 1024})
+        assert decode_bytes(seekable + old, "zstd") == p + p
+    with pytest.raises(CodecError) as e:
+        decode_bytes(before[2], "zstd", {"limits.max_output_bytes": 100})
+    assert e.value.status == "LIMIT"
+    with pytest.raises(CodecError) as e:
+        encode_bytes(b"x", "zstd", {"zstd.dictionary": b"some words"})
+    assert e.value.status == "UNSUPPORTED"
