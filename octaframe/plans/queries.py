@@ -66,20 +66,39 @@ def compression_report(spark, sf_dir):
     )
 
 
+#: The first bytes of each format that has a magic number or a header that the defaults make.
+_HEADS = {"zlib": "789C", "gzip": "1F8B0800", "bzip2": "425A6839", "xz": "FD377A585A000004", "lzma": "5D00008000", "lz4": "04224D18", "zstd": "28B52FFD"}
+#: What of a text of 4000 bytes or more the methods take at most; filters keep the length, runs of text are none.
+_MOST = {"delta": 1.0, "bcj": 1.0, "rle": 1.04, "reduce": 0.75}
+
+
 def _round_trip(method: str):
+    head, most = _HEADS.get(method, ""), _MOST.get(method, 0.6)
+
     def run(spark, sf_dir):
         docs = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("b"))
         # Early ZIP streams do not say where they end: the container tells the decoder the size.
         size = F.octet_length("b") if method in ("reduce", "implode") else None
-        docs = docs.withColumn("back", codec.decode(codec.encode("b", method), method, size))
-        return docs.select("doc_id", F.octet_length("back").cast("long").alias("n_bytes"), (F.col("back") == F.col("b")).alias("ok"))
-
-    run.__doc__ = f"decode(encode(text)) by {method} for every document."
+        docs = docs.withColumn("packed", codec.encode("b", method))
+        docs = docs.withColumn("back", codec.decode("packed", method, size))
+        n = F.octet_length("b")
+        return docs.select(
+            "doc_id",
+            F.octet_length("back").cast("long").alias("n_bytes"),
+            (F.col("back") == F.col("b")).alias("ok"),
+            F.hex(F.substring("packed", 1, len(head) // 2)).alias("head"),
+            ((n < 4000) | (F.octet_length("packed") <= n * most)).alias("small"),
+        )
+
+    run.__doc__ = f"decode(encode(text)) by {method} for every document, how its streams begin, and whether texts of 4000 bytes or more take as little as they should."
     return run
 
 
 for _m in methods():
-    query("SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes, true AS ok FROM documents", f"roundtrip_{_m.name}")(_round_trip(_m.name))
+    query(
+        f"SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes, true AS ok, '{_HEADS.get(_m.name, '')}' AS head, true AS small FROM documents",
+        f"roundtrip_{_m.name}",
+    )(_round_trip(_m.name))
 
 
 @query("SELECT doc_id, sha256(encode(text)) AS digest FROM documents")
