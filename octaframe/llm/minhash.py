@@ -38,7 +38,7 @@ BITS = 512
 #: Pairs below this estimate are not confirmed: over four standard deviations under 0.75.
 LEAST_ESTIMATE = 0.60
 #: Members of a bucket whose sketches are compared in one unit, about, and members of a cluster whose sets are.
-BLOCK, SETS = 1024, 128
+BLOCK, SETS = 1024, 64
 #: Rows of small buckets that share a unit, about, and partners of a class that are confirmed in one group of rows.
 SHARED, PARTNERS = 1024, 256
 #: Pairs, and shingles, that are held at once.
