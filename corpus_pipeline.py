@@ -35,9 +35,24 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _named(scored.where("predicted = 0"), names)
 
 
+def _with_copies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs with a column _same: the id, or the smallest id of those with the same text."""
+    mark = F.md5(F.col(text_col).cast("binary"))
+    copies = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).groupBy(mark.alias("_mark"))
+    copies = copies.agg(F.min(id_col).alias("_least"), F.max(id_col).alias("_most")).where("_least < _most")
+    few = broadcast_if_small(cut(copies.select("_mark", "_least"), "pipeline-copies"), 1_000_000, 64 << 20)
+    marked = docs.join(few, mark == F.col("_mark"), "left")
+    same = F.when(F.col(id_col).isNotNull(), F.coalesce("_least", id_col))
+    return marked.withColumn("_same", same).drop("_mark", "_least")
+
+
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without recurring lines; those that consisted of nothing else go.
 
+    Copies of a text are one document here: what recurs only among them is no
+    recurring line, and they keep and lose the same lines, so that they are still
+    copies for the stage that drops copies.
+
     Null and empty texts stay as they are.  Rows of one id are one document, so
     lines that recur only among them stay; rows of a null id lose what recurs
     among others.  Of equal lines those of the smallest id stay.  n_chars, where
@@ -45,7 +60,7 @@ def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     columns stay as they are.  An empty table gives an empty one.
     """
     docs, names = positional(docs)
-    out = lines.drop_recurring(docs, names["doc_id"], names["text"])
+    out = lines.drop_recurring(_with_copies(docs, names["doc_id"], names["text"]), "_same", names["text"])
     out = out.where((F.col("n_dropped") == 0) | (word_count(F.col(names["text"])) > 0))
     if "n_chars" in names:
         kind = dict(docs.dtypes)[names["n_chars"]]
