@@ -5,6 +5,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from octaframe.llm import common, lines, mixing, packing, toxicity
@@ -15,8 +16,12 @@ from tests.llm.test_toxicity import brute as brute_likelihoods
 SF = "/root/testdata/sf0.001"
 
 
-def in_sql(docs, sql):
-    """Rows of a query over docs as the table documents."""
+def in_sql(docs, sql, copies=False):
+    """Rows of a query over docs as the table documents; with copies of a text under the smallest of their ids."""
+    if copies:
+        least = docs.groupBy(F.col("text").alias("t")).agg(F.min("doc_id").alias("least"))
+        docs = docs.join(least, F.col("text").eqNullSafe(F.col("t")))
+        docs = docs.select(F.when(F.col("text").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("doc_id"), "text").distinct()
     con = duckdb.connect()
     con.register("rows", docs.toArrow())
     con.sql("CREATE TABLE documents AS SELECT * FROM rows")
@@ -63,10 +68,15 @@ def test_toxic_documents_by_brute_force(spark, tables):
 
 
 def test_recurring_lines_go(tables):
-    want = {}
-    for doc, _, dropped, text in in_sql(tables[1], lines.ORACLE):
+    texts, want = {}, {}
+    for r in tables[1].collect():
+        texts.setdefault(r.text, []).append(r.doc_id)
+    same = {i: min(ids) if t is not None else i for t, ids in texts.items() for i in ids}
+    kept = {doc: (dropped, text) for doc, _, dropped, text in in_sql(tables[1], lines.ORACLE, copies=True)}
+    for i, first in same.items():
+        dropped, text = kept[first]
         if not dropped or text.split():
-            want[doc] = text
+            want[i] = text
     assert {r.doc_id: r.text for r in tables[2].collect()} == want
     changed = {r.doc_id: r for r in tables[2].collect()}
     assert all(r.n_chars == len(r.text) for r in changed.values() if r.text != {x.doc_id: x.text for x in tables[1].collect()}[r.doc_id])
@@ -173,3 +183,14 @@ def test_repeated_rows_stay_once(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = corpus_pipeline.keep_one_of_each_group(spark, docs, "")
     assert sorted((r.doc_id for r in got.collect()), key=str) == [1, 3, None]
+
+
+def test_copies_are_still_copies_after_line_dedup(spark):
+    """A copy loses the lines that its original loses, and no more; the next stage then drops it whole."""
+    own = [" ".join(f"own{d}word{k}" for k in range(20)) for d in range(4)]
+    passage = " ".join(f"passage{k}" for k in range(60))
+    texts = [f"{own[0]}\n{passage}", f"{own[0]}\n{passage}", f"{passage}\n{own[1]}", f"{passage}\n{own[1]}", f"{own[2]}\n{own[3]}", f"{own[2]}\n{own[3]}"]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    got = common.cut(corpus_pipeline.drop_recurring_lines(spark, docs, ""), "copies")
+    assert {r.doc_id: r.text for r in got.collect()} == {0: texts[0], 1: texts[0], 2: own[1], 3: own[1], 4: texts[4], 5: texts[4]}
+    assert sorted(r.doc_id for r in corpus_pipeline.keep_one_of_each_group(spark, got, "").collect()) == [0, 2, 4]
