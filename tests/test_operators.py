@@ -490,6 +490,30 @@ def test_run_stage_of_bzip2():
         rle.rle1_decode(b"zzzz")
 
 
+def test_rle_round_trips_whatever_the_runs(spark, tmp_path):
+    import duckdb
+
+    from octaframe.plans import queries
+
+    texts = [None, "", "a", "aab" * 2000, "aabbcée" * 900, "x" * 129 + "y" * 257 + "z", "abc" * 2000, "a" * 5000, "\n".join("ab" * i for i in range(100))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.QUERIES["roundtrip_rle"](spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(map(tuple, got)) == sorted(con.execute(queries.ORACLE_SQL["roundtrip_rle"]).fetchall())
+
+
+def test_rle_takes_what_the_runs_make():
+    from octaframe.codecs import rle
+
+    assert rle.size(b"aab" * 2000) == 8000 and rle.size(b"a" * 129) == 4 and rle.size(b"ab" * 64) == 129 and rle.size(b"") == 0
+    own = random.Random(5)
+    values = [v for v in VALUES if v is not None] + [b"".join(bytes([own.randrange(3)]) * own.choice((1, 1, 2, 3, 127, 128, 129, 256, 257)) for _ in range(own.randrange(300))) for _ in range(50)]
+    for v in values:
+        for profile in ("packbits", "tga"):
+            assert rle.size(v) == len(encode_bytes(v, "rle", {"rle.format": profile}))
+
+
 def test_contexts_and_blocks(spark):
     import numpy as np
 
